@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, chat, packing, rules, simhash, topk, urls
-from orrery.llm.common import table
+from orrery.llm import bpe, chat, langid, maxent, packing, quality, rules, simhash, topk, urls
+from orrery.llm.common import split_of, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -20,6 +20,20 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    docs, fold = table(spark, sf_dir, "documents"), split_of("doc_id", 4)
+    found = langid.identify(docs, langid.train(docs, fold != 2))
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op3_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability under a model of nine tenths of them."""
+    fold = split_of("doc_id", 10)
+    found = maxent.scored(table(spark, sf_dir, "documents"), fold != 0)
+    return found.select("doc_id", F.coalesce(fold == 0, F.lit(True)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the one with control strings in its texts, formatted and read back."""
     turns = table(spark, sf_dir, "conversations").select(*chat.TURN_COLUMNS)
@@ -43,6 +57,13 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learned from four fifths of the labels."""
+    docs, fold = table(spark, sf_dir, "documents"), split_of("doc_id", 5)
+    found = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), fold != 0))
+    return found.select("doc_id", F.coalesce(fold == 0, F.lit(True)).alias("held_out"), "score", quality.predicted().alias("predicted"), "n_passages")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule ledger of all documents and its verdicts."""
     columns = ("doc_id", *rules.MEASURES[:5], "base_failed", "kept", "failed")
@@ -55,7 +76,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op4_chat_windows, op5_url_filter, op6_best_fit_packing, op7_exact_top_k, op9_quality_rules, op10_byte_bpe)
+    f.__name__: f for f in (op1_simhash, op2_language_id, op3_maxent_scores, op4_chat_windows, op5_url_filter, op6_best_fit_packing, op7_exact_top_k, op8_quality_classifier, op9_quality_rules, op10_byte_bpe)
 }
 
 _ANY = lambda terms: "|".join(terms)
