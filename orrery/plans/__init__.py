@@ -1 +1 @@
-
+"""Whole queries over the given tables."""
