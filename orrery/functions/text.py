@@ -25,7 +25,7 @@ def words(text: Column) -> Column:
 
 
 def word_grams(terms: Column, n: int) -> Column:
-    """Runs of n terms, joined by spaces."""
+    """Runs of n terms, joined by spaces. Give it a column that holds the terms: an expression is made anew for each run."""
     last = F.size(terms) - (n - 1)
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(terms, i, n), " "))).otherwise(F.array().cast("array<string>"))
 

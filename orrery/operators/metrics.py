@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.text import word_grams, words
+
 MEASURES = ("r1", "r5", "r10", "n10", "mrr")
 
 
 def overlap_judgements(docs: DataFrame, queries: DataFrame, width: int = 8) -> DataFrame:
     """`query_id`, `doc_id` that share a run of `width` words (lower-cased, between white space)."""
-    from orrery.functions.text import word_grams, words
+    def runs(df: DataFrame, key: str) -> DataFrame:
+        # The words are a column of their own, so that they are made once a row and not once a run.
+        told = df.select(key, words(F.lower("text")).alias("terms")).filter(F.size("terms") >= width)
+        return told.select(key, F.explode(F.array_distinct(word_grams(F.col("terms"), width))).alias("run"))
 
-    runs = lambda df, key: df.select(key, F.explode(F.array_distinct(word_grams(words(F.lower("text")), width))).alias("run"))
     return runs(docs, "doc_id").join(runs(queries, "query_id"), "run").select("query_id", "doc_id").distinct()
 
 

@@ -268,7 +268,7 @@ def generation_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def generation_contexts(spark: SparkSession, d: str) -> DataFrame:
-    return generation.contexts(_bm25_run(spark, d), frames.documents(spark, d)).select("query_id", "doc_ids", F.md5("context").alias("context_md5"))
+    return generation.contexts(_bm25_run(spark, d), frames.documents(spark, d)).select("query_id", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"), F.md5("context").alias("context_md5"))
 
 
 @query

@@ -50,8 +50,8 @@ def _qrels(docs: str, queries: str) -> str:
 def _measured(run: str, queries: str, by: str = "method") -> str:
     share = lambda k: f"CASE WHEN n_rel > 0 THEN h{k} / n_rel ELSE 0.0 END AS r{k}"
     hits = ", ".join(f"sum(CASE WHEN rank <= {k} AND gain >= 1 THEN 1 ELSE 0 END) AS h{k}" for k in (1, 5, 10))
-    return f"""ideal AS (SELECT query_id, count(*) AS n_rel, sum(CASE WHEN at <= 10 THEN gain / log2(at + 1) END) AS ideal
-  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, doc_id) AS at FROM qrels WHERE gain >= 1) GROUP BY query_id),
+    return f"""ideal AS (SELECT query_id, count(*) AS n_rel, sum(CASE WHEN pos <= 10 THEN gain / log2(pos + 1) END) AS ideal
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, doc_id) AS pos FROM qrels WHERE gain >= 1) GROUP BY query_id),
 found AS (SELECT {by}, r.query_id, {hits}, sum(CASE WHEN rank <= 10 THEN coalesce(gain, 0) / log2(rank + 1) ELSE 0 END) AS dcg, min(CASE WHEN gain >= 1 THEN rank END) AS first
   FROM {run} r LEFT JOIN qrels g ON r.query_id = g.query_id AND r.doc_id = g.doc_id GROUP BY {by}, r.query_id),
 measured AS (SELECT {by}, f.query_id, {share(1)}, {share(5)}, {share(10)}, CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0.0 END AS n10, coalesce(1.0 / first, 0.0) AS mrr
@@ -182,6 +182,6 @@ ORACLES: dict[str, str] = {
     "resume": "SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "citation_precision": f"WITH {_RECORDS} SELECT query_id, turn, CAST(n_citations AS INTEGER) AS n_citations, round(citation_precision, 6) AS citation_precision FROM cited",
     "generation_summary": f"WITH {_RECORDS} SELECT system, dataset, {_SUMMARY} FROM cited GROUP BY system, dataset UNION ALL SELECT system, NULL, {_SUMMARY} FROM cited GROUP BY system",
-    "generation_contexts": f"{_A} SELECT query_id, list(doc_id ORDER BY rank) AS doc_ids, md5(string_agg('[' || rank || '] ' || substr(text, 1, 1200), chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM run JOIN docs USING (doc_id) WHERE rank <= 5 GROUP BY query_id",
+    "generation_contexts": f"{_A} SELECT query_id, string_agg(doc_id, ',' ORDER BY rank) AS doc_ids, md5(string_agg('[' || rank || '] ' || substr(text, 1, 1200), chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM run JOIN docs USING (doc_id) WHERE rank <= 5 GROUP BY query_id",
     "folds": "SELECT item_id AS query_id, CAST(floor(CAST(('0x' || substr(md5('42|' || item_id), 1, 8)) AS BIGINT) / 4294967296.0 * 5) AS INTEGER) AS fold FROM benchmark",
 }
