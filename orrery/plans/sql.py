@@ -117,7 +117,7 @@ def _unit(seed: str, key: str, i: str) -> str:
 
 
 def _dropped(share: float) -> str:
-    kept = f"list_filter({_words('text')}, lambda x, i: {_unit('42', 'query_id', 'i - 1')} > {share})"
+    kept = f"list_filter({_words('text')}, lambda x, i: {_unit('42', 'items.query_id', 'i - 1')} > {share})"
     return f"array_to_string(CASE WHEN len({kept}) > 0 THEN {kept} ELSE {_words('text')}[1:1] END, ' ')"
 
 
