@@ -212,7 +212,9 @@ def robustness(spark: SparkSession, d: str) -> DataFrame:
     qrels = frames.judged(spark, d, docs, items)
     noisy = None
     for share in (0.1, 0.2, 0.3, 0.4):
-        dropped = items.select(F.concat(F.lit(f"{share}|"), "query_id").alias("query_id"), T.drop_words(F.col("text"), F.col("query_id"), share).alias("text"))
+        # Two steps: within the lambda that drops words, a name made in the same select would stand for the new column.
+        dropped = items.select("query_id", T.drop_words(F.col("text"), F.col("query_id"), share).alias("text"))
+        dropped = dropped.withColumn("query_id", F.concat(F.lit(f"{share}|"), "query_id"))
         noisy = dropped if noisy is None else noisy.unionByName(dropped)
     run = retrieval.ranked(retrieval.bm25(docs, noisy), ["query_id"])
     run = run.withColumn("method", F.substring_index("query_id", "|", 1)).withColumn("query_id", F.substring_index("query_id", "|", -1).cast("long"))
