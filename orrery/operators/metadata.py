@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.functions.text import hash_unit
 from orrery.operators.stats import mann_whitney
 
 YEAR = 2024
@@ -50,3 +51,14 @@ def diagnostics(docs: DataFrame, relevant: DataFrame) -> DataFrame:
     figures = known.agg(*side(F.col("positive"), "positive"), *side(~F.col("positive"), "background"))
     area = mann_whitney(known.withColumn("one", F.lit(1)), ["one"], "citations", "positive").drop("one")
     return coverage.crossJoin(F.broadcast(figures)).crossJoin(F.broadcast(area))
+
+
+def sampled_background(known: DataFrame, relevant: DataFrame, times: int = 10, most: int = 25_000, seed: int = 7) -> DataFrame:
+    """`doc_id`: a sample, without replacement, of the documents with metadata that are relevant for no query.
+
+    As many as `times` the relevant ones, at most `most` and all there are; those with the smallest md5 of seed and id.
+    """
+    positive = relevant.select("doc_id").distinct()
+    size = min(most, times * positive.count())
+    pool = known.select("doc_id").join(positive, "doc_id", "left_anti")
+    return pool.orderBy(hash_unit(F.lit(seed), F.col("doc_id")), "doc_id").limit(size)

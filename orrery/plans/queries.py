@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import text as T
-from orrery.operators import generation, metadata, metrics, policy, retrieval, stats
+from orrery.operators import generation, latent, metadata, metrics, policy, retrieval, router, stats
 from orrery.plans import frames
 from orrery.sources.readers import first_supplied, table
 from orrery.sources.writers import missing
@@ -278,7 +278,8 @@ def folds(spark: SparkSession, d: str) -> DataFrame:
     return policy.with_folds(frames.items(spark, d)).select("query_id", "fold")
 
 
-def _route(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _policy_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries, what each content base gives them, and what each action gives on each base."""
     runs = retrieval.all_runs(frames.scored(spark, d)).filter(F.col("method").isin("Alpha-Hybrid", "Neural-Hybrid"))
     bases = _measured(spark, d, runs).select(F.col("method").alias("base"), "query_id", F.col("mrr").alias("outcome"))
     grid = None
@@ -287,7 +288,12 @@ def _route(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         grid = part if grid is None else grid.unionByName(part)
     run = retrieval.reranked(frames.scored(spark, d), grid)
     outcomes = _measured(spark, d, run, "variant").select(F.substring_index("variant", "|", 1).alias("base"), "query_id", F.substring_index("variant", "|", -1).alias("action"), F.col("mrr").alias("outcome"))
-    return policy.route(frames.topics(spark, d).select("query_id", "text"), bases, outcomes)
+    # A few numbers for each query, which every step of the policy reads again.
+    return frames.topics(spark, d).select("query_id", "text"), bases.persist(), outcomes.persist()
+
+
+def _route(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return policy.route(*_policy_tables(spark, d))
 
 
 @query
@@ -303,3 +309,65 @@ def policy_summary(spark: SparkSession, d: str) -> DataFrame:
 @query
 def risk_coverage(spark: SparkSession, d: str) -> DataFrame:
     return rounded(policy.risk_coverage(_route(spark, d)[1]), "coverage")
+
+
+@query
+def policy_ablations(spark: SparkSession, d: str) -> DataFrame:
+    """The strict policy with one family of features, and with half and double the neighbours."""
+    tables, every = _policy_tables(spark, d), None
+    for name, mode, multiplier in (("word_only", "word", 1.0), ("char_only", "char", 1.0), ("k_half", "both", 0.5), ("k_double", "both", 2.0)):
+        one = policy.summary(policy.route(*tables, mode=mode, multiplier=multiplier)[0]).withColumn("ablation", F.lit(name))
+        every = one if every is None else every.unionByName(one)
+    return rounded(every.filter("policy = 'pessimistic'"), "outcome", "fallback", "gain", "coverage")
+
+
+@query
+def policy_repeats(spark: SparkSession, d: str) -> DataFrame:
+    out = policy.repeated_summary(policy.repeated(*_policy_tables(spark, d)))
+    return rounded(out, *[c for c in out.columns if c not in ("policy", "n_seeds")])
+
+
+@query
+def policy_transfer(spark: SparkSession, d: str) -> DataFrame:
+    """Learned from three fifths of the queries, used on the others."""
+    queries, bases, outcomes = _policy_tables(spark, d)
+    told = policy.with_folds(queries)
+    routes, _ = policy.transfer(told.filter("fold < 3"), told.filter("fold >= 3"), bases, outcomes)
+    return rounded(policy.summary(routes), "outcome", "fallback", "gain", "coverage")
+
+
+@query
+def router_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The method that each query is best served by, and its fold."""
+    return router.stratified_folds(router.labelled(_all_measured(spark, d), ROUTED), "label")
+
+
+@query
+def router_summary(spark: SparkSession, d: str) -> DataFrame:
+    measured = _all_measured(spark, d).persist()
+    routes = router.route(frames.topics(spark, d).select("query_id", "text"), router.labelled(measured, ROUTED))
+    return rounded(router.summary(routes, measured, ROUTED), "accuracy", "macro_f1", "kappa", *metrics.MEASURES)
+
+
+@query
+def sensitivity_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Each pair of weights against the hybrid without metadata, by signed ranks; p-values after Holm over the grid."""
+    grid = retrieval.sensitivity_variants(spark)
+    measured = _measured(spark, d, retrieval.reranked(frames.scored(spark, d), grid), "variant")
+    base = measured.filter("variant = '0.00/0.00'").select("query_id", F.col("n10").alias("own"))
+    diffs = measured.filter("variant <> '0.00/0.00'").join(base, "query_id").select("variant", "query_id", (F.col("n10") - F.col("own")).alias("diff"))
+    gains = diffs.groupBy("variant").agg(F.avg("diff").alias("gain"))
+    tests = stats.wilcoxon(diffs, ["variant"]).withColumn("family", F.lit("grid")).select("family", "variant", "p")
+    return rounded(stats.holm(tests, ["family"]).join(gains, "variant"), "p", "p_holm", "gain")
+
+
+@query
+def background_sample(spark: SparkSession, d: str) -> DataFrame:
+    papers = frames.documents(spark, d).join(frames.bibliography(spark, d), "doc_id").filter("has_record AND citations IS NOT NULL")
+    return metadata.sampled_background(papers, frames.judged(spark, d, frames.documents(spark, d), frames.items(spark, d)))
+
+
+@query
+def latent_topk(spark: SparkSession, d: str) -> DataFrame:
+    docs, queries = latent.latent_vectors(frames.documents(spark, d), frames.items(spark, d), rank=64)
+    return rounded(retrieval.ranked(retrieval.dense(docs, queries), ["query_id"]), "score")

@@ -184,4 +184,9 @@ ORACLES: dict[str, str] = {
     "generation_summary": f"WITH {_RECORDS} SELECT system, dataset, {_SUMMARY} FROM cited GROUP BY system, dataset UNION ALL SELECT system, NULL, {_SUMMARY} FROM cited GROUP BY system",
     "generation_contexts": f"{_A} SELECT query_id, string_agg(doc_id, ',' ORDER BY rank) AS doc_ids, md5(string_agg('[' || rank || '] ' || substr(text, 1, 1200), chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM run JOIN docs USING (doc_id) WHERE rank <= 5 GROUP BY query_id",
     "folds": "SELECT item_id AS query_id, CAST(floor(CAST(('0x' || substr(md5('42|' || item_id), 1, 8)) AS BIGINT) / 4294967296.0 * 5) AS INTEGER) AS fold FROM benchmark",
+    "router_labels": f"""{_ALL_MEASURED}, wide AS (SELECT query_id, max(n10) FILTER (method = 'UMA-RAG') AS a, max(n10) FILTER (method = 'LP-RAG') AS b, max(n10) FILTER (method = 'CA-HR') AS c FROM measured WHERE method IN ('UMA-RAG', 'LP-RAG', 'CA-HR') GROUP BY query_id),
+      told AS (SELECT query_id, CASE WHEN c >= greatest(a, b, c) - 1e-9 THEN 2 WHEN a = greatest(a, b, c) THEN 0 ELSE 1 END AS label FROM wide)
+      SELECT query_id, CAST(label AS INTEGER) AS label, CAST((row_number() OVER (PARTITION BY label ORDER BY substr(md5('42|' || query_id), 1, 8), query_id) - 1) % 5 AS INTEGER) AS fold FROM told""",
+    "background_sample": f"""WITH {_DOCS}, {_ITEMS}, {_BIB}, {_qrels('docs', 'items')}, known AS (SELECT doc_id FROM docs JOIN bib USING (doc_id) WHERE has_record AND citations IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM qrels))
+      SELECT doc_id FROM known QUALIFY row_number() OVER (ORDER BY substr(md5('7|' || doc_id), 1, 8), doc_id) <= least(25000, 10 * (SELECT count(DISTINCT doc_id) FROM qrels))""",
 }

@@ -2,11 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import text as T
-from orrery.operators import generation, metadata, metrics, policy, retrieval, stats
+from orrery.operators import generation, latent, metadata, metrics, policy, retrieval, router, stats
 from orrery.sources import readers, writers
 
 
@@ -153,3 +154,69 @@ def test_policy_abstains_and_acts(spark):
     assert {r.policy for r in policy.summary(routes).collect()} == set(policy.POLICIES)
     coverage = [r.coverage for r in policy.risk_coverage(scored).orderBy("scale").collect()]
     assert coverage == sorted(coverage, reverse=True)
+
+
+def test_policy_repeats_and_transfer(spark):
+    texts = [(i, "alpha beta gamma" if i % 2 else "delta epsilon zeta") for i in range(24)]
+    queries = spark.createDataFrame(texts, "query_id int, text string")
+    bases = spark.createDataFrame([("b", i, 0.5) for i, _ in texts], "base string, query_id int, outcome double")
+    outcomes = spark.createDataFrame([("b", i, a, 0.9 if i % 2 and a == "up" else 0.1) for i, _ in texts for a in ("up", "down")], "base string, query_id int, action string, outcome double")
+    got = {r.policy: r for r in policy.repeated_summary(policy.repeated(queries, bases, outcomes, seeds=2, folds=3)).collect()}
+    assert set(got) == set(policy.POLICIES)
+    assert got["local_mean"].n_seeds == 2 and got["local_mean"].coverage_mean == pytest.approx(0.5) and got["local_mean"].gain_mean == pytest.approx(0.2)
+    routes, _ = policy.transfer(queries.filter("query_id < 16"), queries.filter("query_id >= 16"), bases, outcomes)
+    local = {r.query_id: r.action for r in routes.filter("policy = 'local_mean'").collect()}
+    assert local == {i: "up" if i % 2 else None for i in range(16, 24)}
+    with pytest.raises(ValueError):
+        policy.transfer(queries, queries.filter("query_id = 3"), bases, outcomes)
+
+
+def test_router(spark):
+    rows_ = [(m, i, *[float(m == ("A" if i % 3 == 0 else "C"))] * 5) for i in range(60) for m in "ABC"] + [(m, 60, 0.5, 0.5, 0.5, 0.5, 0.5) for m in "ABC"]
+    measured = spark.createDataFrame(rows_, "method string, query_id int, r1 double, r5 double, r10 double, n10 double, mrr double")
+    labels = router.labelled(measured, ["A", "B", "C"])
+    assert {r.query_id: r.label for r in labels.collect()} == {**{i: 0 if i % 3 == 0 else 2 for i in range(60)}, 60: 2}
+    folds = router.stratified_folds(labels, "label").groupBy("label", "fold").count().collect()
+    assert {(r.label, r.fold): r["count"] for r in folds} == {**{(0, f): 4 for f in range(5)}, **{(2, f): 8 + (f == 0) for f in range(5)}}
+    texts = spark.createDataFrame([(i, "what is 1999" if i % 3 == 0 else "Plain words of no question - HERE") for i in range(61)], "query_id int, text string")
+    got = router.summary(router.route(texts, labels), measured, ["A", "B", "C"]).first()
+    # Query 60 has the text of its label's opposite, and its methods tie at one half.
+    assert got.n_queries == 61 and got.accuracy == pytest.approx(60 / 61) and got.n10 == pytest.approx(60.5 / 61)
+
+
+def test_latent_scores(spark):
+    texts = ["red apple pie", "green apple tart", "red red wine", "blue sea wave", "wave of the sea", "", "unseen"]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    queries = spark.createDataFrame([(0, "apple"), (1, "sea and red"), (2, None)], "query_id int, text string")
+    docs, asked = latent.latent_vectors(corpus, queries, rank=2, stop=["of", "the", "and"])
+    got = {(r.query_id, r.doc_id): r.score for r in retrieval.dense(docs, asked).collect()}
+    known = ["red", "apple", "sea", "wave"]
+    count = lambda t: np.array([t.lower().split().count(w) for w in known], float)
+    tf = np.array([count(t) for t in texts])
+    idf = np.log((1 + len(texts)) / (1 + (tf > 0).sum(axis=0))) + 1
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-9)
+    x = unit(tf * idf)
+    v = np.linalg.svd(x)[2][:2].T
+    want = unit(unit(np.array([count(t) for t in ("apple", "sea and red", "")]) * idf) @ v) @ unit(x @ v).T
+    assert len(got) == 21
+    for (q, d), score in got.items():
+        assert score == pytest.approx(want[q, d], abs=1e-6)
+    none, _ = latent.latent_vectors(corpus.filter("doc_id > 4"), queries)
+    assert [r.embedding for r in none.collect()] == [[0.0], [0.0]]
+
+
+def test_bootstrap(spark):
+    diffs = spark.createDataFrame([(i, float(i % 4)) for i in range(400)], "query_id int, diff double")
+    got = stats.bootstrap(diffs, resamples=2000)
+    low, high = got.first()
+    error = 1.96 * np.std([0, 1, 2, 3]) / 20
+    assert low == pytest.approx(1.5 - error, abs=0.02) and high == pytest.approx(1.5 + error, abs=0.02)
+    assert got.first() == stats.bootstrap(diffs, resamples=2000).first()
+
+
+def test_sampled_background(spark):
+    known = spark.createDataFrame([(i,) for i in range(50)], "doc_id int")
+    relevant = spark.createDataFrame([(3,), (3,), (4,)], "doc_id int")
+    got = [r.doc_id for r in metadata.sampled_background(known, relevant).collect()]
+    assert len(got) == len(set(got)) == 20 and not {3, 4} & set(got)
+    assert len(metadata.sampled_background(known, relevant, times=100).collect()) == 48
