@@ -41,9 +41,8 @@ def char_grams(text: Column, n: int) -> Column:
     return F.flatten(F.transform(words(F.lower(text)), of_word))
 
 
-def query_features(text: Column) -> dict[str, Column]:
-    """The twelve figures on a query's surface."""
-    w = words(text)
+def query_features(text: Column, w: Column) -> dict[str, Column]:
+    """The twelve figures on a query's surface; w: a column of its words."""
     n = F.size(w)
     per = F.greatest(n, F.lit(1))
     count = lambda test: F.size(F.filter(w, test))

@@ -6,7 +6,8 @@ in the same way everywhere.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -23,17 +24,40 @@ YEAR, DECAY = 2024, 0.1
 RRF_K = 60
 #: Queries and documents of a cell of the dense product.
 QUERY_BLOCK, DOC_BLOCK = 1024, 8192
+#: The same where several scores are held at once.
+FUSED_QUERY_BLOCK, FUSED_DOC_BLOCK = 256, 4096
+SIGNALS = ("c", "r", "v", "len")
+#: Shares of BM25 in a content score, for which `score_table` keeps the best pairs.
+ALPHAS = (0.0, 0.5, ALPHA, 1.0)
 
 
-def document_frequencies(corpus: DataFrame) -> DataFrame:
-    """`term`, `df` over the whole corpus. Terms are made different in their row, so partial counts are small."""
-    return corpus.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def term_statistics(corpus: DataFrame) -> DataFrame:
+    """`term`, `df`, `total_len` over the whole corpus, read once: each document adds its different terms, and its length to a row
+    without a term, whose `df` is the number of documents. `total_len` is null for terms.
+
+    Users tell the two kinds apart by `total_len`: unlike a filter on the grouping key it stays above the shuffle, which is then
+    made once for all of them.
+    """
+    t = corpus.select(tokens(F.col("text")).alias("t"))
+    each = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(None).cast("long").alias("len")))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("t").cast("long").alias("len")))
+    return t.select(F.inline(F.concat(each, whole))).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("total_len"))
+
+
+def _corpus_size(statistics: DataFrame) -> DataFrame:
+    """One row: `n_docs`, `mean_len`."""
+    return statistics.filter("total_len IS NOT NULL").agg(F.sum("df").alias("n_docs"), (F.sum("total_len") / F.sum("df")).alias("mean_len"))
 
 
 def inverse_frequencies(corpus: DataFrame) -> DataFrame:
     """`term`, `df`, `idf`: a negative idf becomes EPSILON times the mean of all idf as they were."""
-    n = corpus.agg(F.count(F.lit(1)).alias("n_docs"))
-    raw = document_frequencies(corpus).crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    return _inverse(term_statistics(corpus))
+
+
+def _inverse(statistics: DataFrame) -> DataFrame:
+    n = _corpus_size(statistics).select("n_docs")
+    terms = statistics.filter("total_len IS NULL").drop("total_len")
+    raw = terms.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
@@ -46,39 +70,64 @@ def bm25(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """
     terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     wanted = terms.select("term").distinct()
+    statistics = term_statistics(corpus)
+    mean = _corpus_size(statistics).select("mean_len")
     sized = corpus.select("doc_id", tokens(F.col("text")).alias("t"))
-    mean = sized.agg(F.avg(F.size("t")).alias("mean_len"))
     found = sized.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
     postings = found.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len")).crossJoin(F.broadcast(mean))
-    idf = inverse_frequencies(corpus).join(wanted, "term", "left_semi").select("term", "idf")
+    idf = _inverse(statistics).join(wanted, "term", "left_semi").select("term", "idf")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
     return postings.join(idf, "term").join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
-def dense(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """`query_id`, `doc_id`, `score`: inner products of all `embedding`s, in cells of bounded numbers of both."""
-    n_docs, n_queries = docs.count(), queries.count()
-    doc_blocks, query_blocks = max(1, -(-n_docs // DOC_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-    left = docs.select("doc_id", "embedding", F.pmod(F.xxhash64("doc_id"), F.lit(doc_blocks)).alias("d"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
-    right = queries.select("query_id", F.col("embedding").alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(doc_blocks - 1))).alias("d"))
+def _leading(score: np.ndarray, top: int) -> np.ndarray:
+    """Columns of each row's `top` highest scores as `ranked` orders them, if the columns are sorted by doc_id."""
+    return np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :top]
+
+
+def _blocks(rows: int, size: int) -> int:
+    return max(1, -(-rows // size))
+
+
+def _in_blocks(docs: DataFrame, queries: DataFrame, doc_size: int, query_size: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """Both sides with the numbers d, q of every cell that they take part in, and how many blocks there are of documents and queries."""
+    doc_blocks, query_blocks = _blocks(docs.count(), doc_size), _blocks(queries.count(), query_size)
+    left = docs.withColumns({"d": _block("doc_id", doc_blocks), "q": _every(query_blocks)})
+    right = queries.withColumns({"q": _block("query_id", query_blocks), "d": _every(doc_blocks)})
+    return left, right, doc_blocks, query_blocks
+
+
+def _block(key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks))
+
+
+def _every(blocks: int) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+
+
+def _product(queries: pd.DataFrame, docs: pd.DataFrame) -> np.ndarray:
+    return np.stack(queries.vector).astype(np.float64) @ np.stack(docs.embedding).astype(np.float64).T
+
+
+def dense(docs: DataFrame, queries: DataFrame, top: int | None = None) -> DataFrame:
+    """`query_id`, `doc_id`, `score`: inner products of all `embedding`s, in cells of bounded numbers of both.
+
+    top: of each cell only a query's best rows leave the task, enough to rank that many of all.
+    """
+    left, right, _, _ = _in_blocks(docs.select("doc_id", "embedding"), queries.select("query_id", F.col("embedding").alias("vector")), DOC_BLOCK, QUERY_BLOCK)
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        scores = np.stack(b.vector).astype(np.float64) @ np.stack(a.embedding).astype(np.float64).T
-        return pd.DataFrame({"query_id": np.repeat(b.query_id.to_numpy(), len(a)), "doc_id": np.tile(a.doc_id.to_numpy(), len(b)), "score": scores.ravel()})
+            return pd.DataFrame({"query_id": b.query_id[:0], "doc_id": a.doc_id[:0], "score": np.zeros(0)})
+        a = a.sort_values("doc_id", ignore_index=True)
+        scores = _product(b, a)
+        at = np.tile(np.arange(len(a)), (len(b), 1)) if top is None else _leading(scores, top)
+        return pd.DataFrame({"query_id": np.repeat(b.query_id.to_numpy(), at.shape[1]), "doc_id": a.doc_id.to_numpy()[at.ravel()], "score": np.take_along_axis(scores, at, 1).ravel()})
 
     kinds = dict(docs.dtypes)["doc_id"], dict(queries.dtypes)["query_id"]
     return left.groupBy("d", "q").cogroup(right.groupBy("d", "q")).applyInPandas(product, f"query_id {kinds[1]}, doc_id {kinds[0]}, score double")
 
 
-def scaled(score: str, by: str = "query_id") -> Column:
-    """Min-max over all rows of a query; 0 if they hardly differ."""
-    over = Window.partitionBy(by)
-    least, most = F.min(score).over(over), F.max(score).over(over)
-    return F.when(most - least > 1e-12, (F.col(score) - least) / (most - least)).otherwise(F.lit(0.0))
-
-
 def signals(docs: DataFrame, falsy: bool = True) -> DataFrame:
     """`docs` (doc_id, text, citations, year, venue) with citation, recency and venue signals and length in tokens.
 
@@ -107,39 +156,117 @@ def ranked(scores: DataFrame, by: list[str], top: int | None = TOP, score: str =
     return out if top is None else out.filter(F.col("rank") <= top)
 
 
-def score_table(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """For every pair the raw scores `s_bm`, `s_de`, their scaled forms `bm`, `de`, and the document's signals.
+def _edges(left: DataFrame, right: DataFrame, lexical: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """`query_id` with the least and the greatest of both scores over the whole corpus; a pair that shares no term scores 0."""
 
-    corpus: doc_id, text, embedding, citations, year, venue; queries: query_id, text, embedding.
+    def span(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": b.query_id[:0], "low_de": np.zeros(0), "high_de": np.zeros(0)})
+        scores = _product(b, a)
+        return pd.DataFrame({"query_id": b.query_id, "low_de": scores.min(1), "high_de": scores.max(1)})
+
+    kind = dict(right.dtypes)["query_id"]
+    cells = left.groupBy("d", "q").cogroup(right.groupBy("d", "q")).applyInPandas(span, f"query_id {kind}, low_de double, high_de double")
+    de = cells.groupBy("query_id").agg(F.min("low_de").alias("low_de"), F.max("high_de").alias("high_de"))
+    bm = lexical.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("s_bm").alias("low"), F.max("s_bm").alias("high"))
+    some = F.coalesce("n", F.lit(0)) < F.col("n_docs")
+    return de.join(bm, "query_id", "left").crossJoin(F.broadcast(n_docs)).select(
+        "query_id", "low_de", "high_de",
+        F.when(some, F.least("low", F.lit(0.0))).otherwise(F.col("low")).alias("low_bm"),
+        F.when(some, F.greatest("high", F.lit(0.0))).otherwise(F.col("high")).alias("high_bm"),
+    )
+
+
+def _between(score: np.ndarray, low: pd.Series, high: pd.Series) -> np.ndarray:
+    """Min-max of each query's row; 0 if its scores hardly differ."""
+    low, wide = low.to_numpy()[:, None], (high - low).to_numpy()[:, None]
+    return np.where(wide > 1e-12, (score - low) / np.where(wide > 1e-12, wide, 1.0), 0.0)
+
+
+def _cells(left: DataFrame, right: DataFrame, lexical: DataFrame, doc_blocks: int, query_blocks: int) -> DataFrame:
+    """Documents, queries and the lexical scores of their pairs as one table, to be grouped by cell."""
+    shared = lexical.withColumns({"d": _block("doc_id", doc_blocks), "q": _block("query_id", query_blocks)})
+    # An id that a row doesn't have is 0 rather than null, since integers with nulls would reach pandas as floats.
+    left = left.withColumn("query_id", F.lit(0).cast(dict(right.dtypes)["query_id"]))
+    right = right.withColumn("doc_id", F.lit(0).cast(dict(left.dtypes)["doc_id"]))
+    return left.unionByName(right, True).unionByName(shared, True)
+
+
+def _opened(cell: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray] | None:
+    """A cell's documents by id, its queries, and both scores of all its pairs."""
+    docs = cell[cell.embedding.notna()].sort_values("doc_id", ignore_index=True)
+    queries = cell[cell.vector.notna()].sort_values("query_id", ignore_index=True)
+    if not len(docs) or not len(queries):
+        return None
+    s_bm = np.zeros((len(queries), len(docs)))
+    shared = cell[cell.s_bm.notna()]
+    s_bm[queries.query_id.searchsorted(shared.query_id), docs.doc_id.searchsorted(shared.doc_id)] = shared.s_bm
+    return docs, queries, s_bm, _product(queries, docs)
+
+
+def _no_pairs(cell: pd.DataFrame, *numbers: str) -> pd.DataFrame:
+    """No rows, with columns of the right kinds."""
+    return cell[["query_id", "doc_id"]].iloc[:0].assign(**{n: np.zeros(0) for n in numbers})
+
+
+def _kept(docs: pd.DataFrame, queries: pd.DataFrame, rows: np.ndarray, at: np.ndarray, **matrices: np.ndarray) -> pd.DataFrame:
+    """Pairs of a cell as rows, with the documents' signals."""
+    out = docs.loc[at, ["doc_id", *SIGNALS]].reset_index(drop=True)
+    return out.assign(query_id=queries.query_id.to_numpy()[rows], **{n: m[rows, at] for n, m in matrices.items()})
+
+
+def score_table(corpus: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
+    """Pairs with the raw scores `s_bm`, `s_de`, their scaled forms `bm`, `de` over the whole corpus, and the document's signals.
+
+    corpus: doc_id, text, embedding, citations, year, venue; queries: query_id, text, embedding. All pairs are scored, in cells of
+    bounded numbers of documents and queries; those leave a cell that are among the `top` of it for a query by one of `methods` or
+    by the content score with a share of ALPHAS, so that these rankings, up to `top`, are those of all pairs.
     """
-    pairs = dense(corpus, queries).withColumnRenamed("score", "s_de")
+    docs = corpus.select("doc_id", "embedding").join(signals(corpus), "doc_id")
     lexical = bm25(corpus, queries).withColumnRenamed("score", "s_bm")
-    both = pairs.join(lexical, ["query_id", "doc_id"], "left").fillna(0.0, ["s_bm"])
-    both = both.withColumn("bm", scaled("s_bm")).withColumn("de", scaled("s_de"))
-    return both.join(signals(corpus), "doc_id")
-
-
-def mixed(alpha: float = ALPHA) -> Column:
+    asked = queries.select("query_id", F.col("embedding").alias("vector"))
+    left, right, doc_blocks, query_blocks = _in_blocks(docs, asked, FUSED_DOC_BLOCK, FUSED_QUERY_BLOCK)
+    edges = _edges(left.select("doc_id", "embedding", "d", "q"), right, lexical, corpus.agg(F.count(F.lit(1)).alias("n_docs")))
+
+    def best(cell: pd.DataFrame) -> pd.DataFrame:
+        if not (found := _opened(cell)):
+            return _no_pairs(cell, *names)
+        docs, queries, s_bm, s_de = found
+        t = {"s_bm": s_bm, "s_de": s_de, "bm": _between(s_bm, queries.low_bm, queries.high_bm), "de": _between(s_de, queries.low_de, queries.high_de)}
+        told = t | {c: docs[c].to_numpy(float)[None, :] for c in SIGNALS}
+        keep = np.zeros(s_bm.shape, bool)
+        for score in [*methods(told, np.exp).values(), *(mixed(told, alpha) for alpha in ALPHAS)]:
+            np.put_along_axis(keep, _leading(score, top), True, 1)
+        return _kept(docs, queries, *np.nonzero(keep), **t)
+
+    kinds = dict(docs.dtypes)["doc_id"], dict(asked.dtypes)["query_id"]
+    names = ["s_bm", "s_de", "bm", "de", *SIGNALS]
+    cells = _cells(left, right.join(edges, "query_id"), lexical, doc_blocks, query_blocks)
+    return cells.groupBy("d", "q").applyInPandas(best, f"query_id {kinds[1]}, doc_id {kinds[0]}, s_bm double, s_de double, bm double, de double, c double, r double, v double, len double")
+
+
+def mixed(t: Mapping[str, Any], alpha: float = ALPHA) -> Any:
     """The content score: a share alpha of the scaled BM25, the rest of the scaled dense score."""
-    return alpha * F.col("bm") + (1 - alpha) * F.col("de")
+    return alpha * t["bm"] + (1 - alpha) * t["de"]
 
 
-def methods() -> dict[str, Column]:
-    """Scores of the methods that rank the whole corpus at once."""
+def methods(t: Mapping[str, Any], exp: Callable[[Any], Any]) -> dict[str, Any]:
+    """Scores of the methods that rank the whole corpus at once, from columns or from arrays."""
     return {
-        "BM25": F.col("s_bm"),
-        "SBERT-Dense": F.col("s_de"),
-        "Neural-Hybrid": mixed(0.5),
-        "Alpha-Hybrid": mixed(),
-        "UMA-RAG": mixed() + UMA_WEIGHT * F.col("v") + UMA_WEIGHT * F.col("c"),
-        "LP-RAG": mixed() * (1 + LENGTH_WEIGHT * F.exp(-F.col("len") / LENGTH_SCALE)),
+        "BM25": t["s_bm"],
+        "SBERT-Dense": t["s_de"],
+        "Neural-Hybrid": mixed(t, 0.5),
+        "Alpha-Hybrid": mixed(t),
+        "UMA-RAG": mixed(t) + UMA_WEIGHT * t["v"] + UMA_WEIGHT * t["c"],
+        "LP-RAG": mixed(t) * (1 + LENGTH_WEIGHT * exp(-t["len"] / LENGTH_SCALE)),
     }
 
 
 def reranked(table: DataFrame, grid: DataFrame) -> DataFrame:
     """Content scores' best candidates, ranked again with each row of a grid of parameters.
 
-    grid: `variant`, `alpha`, `beta`, `gamma`, a few rows. Candidates are chosen for each alpha; beta weighs citations, gamma recency.
+    table: as `score_table` gives it. grid: `variant`, `alpha` (one of ALPHAS), `beta`, `gamma`, a few rows. Candidates are chosen for
+    each alpha; beta weighs citations, gamma recency.
     """
     alphas = grid.select("alpha").distinct()
     content = table.crossJoin(F.broadcast(alphas)).withColumn("content", F.col("alpha") * F.col("bm") + (1 - F.col("alpha")) * F.col("de"))
@@ -151,17 +278,59 @@ def reranked(table: DataFrame, grid: DataFrame) -> DataFrame:
 def all_runs(table: DataFrame) -> DataFrame:
     """`method`, `query_id`, `doc_id`, `score`, `rank` of all methods, up to TOP."""
     spark = table.sparkSession
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("method"), score.alias("score")) for name, score in methods().items()]))
+    columns = {c: F.col(c) for c in ("s_bm", "s_de", "bm", "de", *SIGNALS)}
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("method"), score.alias("score")) for name, score in methods(columns, F.exp).items()]))
     whole = ranked(table.select("query_id", "doc_id", each.alias("m")).select("m.method", "query_id", "doc_id", "m.score"), ["method", "query_id"])
     grid = spark.createDataFrame([("CA-HR", ALPHA, CITATION_WEIGHT, RECENCY_WEIGHT)], "variant string, alpha double, beta double, gamma double")
     return whole.unionByName(reranked(table, grid).withColumnRenamed("variant", "method"))
 
 
-def reciprocal_ranks(table: DataFrame, k: int = RRF_K) -> DataFrame:
-    """Sum of 1 / (k + rank) over both retrievers' rankings of the whole corpus, ranks from 0."""
-    first, second = (F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(s, 9).desc(), "doc_id")) - 1 for s in ("s_bm", "s_de"))
-    fused = table.select("query_id", "doc_id", first.alias("a"), second.alias("b"))
-    return ranked(fused.select("query_id", "doc_id", (1 / (k + F.col("a")) + 1 / (k + F.col("b"))).alias("score")), ["query_id"])
+def reciprocal_ranks(corpus: DataFrame, queries: DataFrame, k: int = RRF_K, top: int = TOP) -> DataFrame:
+    """Sum of 1 / (k + rank) over both retrievers' rankings of the whole corpus, ranks from 0; the best `top` of each query.
+
+    A list's first `top` documents have 1 / (k + top - 1) or more, so one behind place k + 2 * top in both lists can't be among the
+    best. Candidates are the others, at most twice that many a query; their places are counted over all cells, so they are exact.
+    """
+    reach = k + 2 * top
+    docs = corpus.select("doc_id", "embedding", *[F.lit(0.0).alias(c) for c in SIGNALS])
+    lexical = bm25(corpus, queries).withColumnRenamed("score", "s_bm")
+    asked = queries.select("query_id", F.col("embedding").alias("vector"))
+    left, right, doc_blocks, query_blocks = _in_blocks(docs, asked, FUSED_DOC_BLOCK, FUSED_QUERY_BLOCK)
+    cells = _cells(left, right, lexical, doc_blocks, query_blocks)
+
+    def first(cell: pd.DataFrame) -> pd.DataFrame:
+        if not (found := _opened(cell)):
+            return _no_pairs(cell, "c_bm", "c_de")
+        docs, queries, s_bm, s_de = found
+        keep = np.zeros(s_bm.shape, bool)
+        for score in (s_bm, s_de):
+            np.put_along_axis(keep, _leading(score, reach), True, 1)
+        return _kept(docs, queries, *np.nonzero(keep), c_bm=s_bm, c_de=s_de)[["query_id", "doc_id", "c_bm", "c_de"]]
+
+    def before(cell: pd.DataFrame) -> pd.DataFrame:
+        wanted = cell[cell.c_bm.notna()]
+        if not (found := _opened(cell)) or not len(wanted):
+            return _no_pairs(cell, "a", "b")
+        docs, queries, *both = found
+        ids, parts = docs.doc_id.to_numpy(), []
+        for at, (_, group) in zip(queries.query_id.searchsorted(sorted(wanted.query_id.unique())), wanted.groupby("query_id", sort=True)):
+            places = {}
+            for name, own, score in zip("ab", (group.c_bm, group.c_de), both):
+                order = _leading(score[at : at + 1], len(ids))[0]
+                falling, own = -np.round(score[at][order], 9), -np.round(own.to_numpy(), 9)
+                low, high = falling.searchsorted(own), falling.searchsorted(own, "right")
+                places[name] = [lo + ids[order[lo:hi]].searchsorted(i) for lo, hi, i in zip(low, high, group.doc_id)]
+            parts.append(pd.DataFrame({"query_id": group.query_id, "doc_id": group.doc_id, **places}))
+        return pd.concat(parts)
+
+    kinds = f"query_id {dict(asked.dtypes)['query_id']}, doc_id {dict(docs.dtypes)['doc_id']}"
+    near = cells.groupBy("d", "q").applyInPandas(first, f"{kinds}, c_bm double, c_de double")
+    places = [F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(s, 9).desc(), "doc_id")) for s in ("c_bm", "c_de")]
+    near = near.withColumns({"_a": places[0], "_b": places[1]}).filter(F.least("_a", "_b") <= reach).drop("_a", "_b")
+    near = near.withColumns({"q": _block("query_id", query_blocks), "d": _every(doc_blocks)})
+    counted = cells.unionByName(near, True).groupBy("d", "q").applyInPandas(before, f"{kinds}, a long, b long")
+    fused = counted.groupBy("query_id", "doc_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return ranked(fused.select("query_id", "doc_id", (1 / (k + F.col("a")) + 1 / (k + F.col("b"))).alias("score")), ["query_id"], top)
 
 
 def action_grid(spark) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.text import hash_unit, query_features
+from orrery.functions.text import hash_unit, query_features, words
 from orrery.operators.metrics import MEASURES
 from orrery.operators.stats import confusion
 
@@ -46,9 +46,9 @@ def route(queries: DataFrame, labels: DataFrame, folds: int = 5, seed: int = 42,
     queries: query_id, text; labels: query_id, label. Features are scaled by the mean and deviation of the folds learned from.
     Each of the few folds is one model. If the others have a single label, that is the prediction.
     """
-    features = query_features(F.coalesce("text", F.lit("")))
+    features = query_features(F.coalesce("text", F.lit("")), F.col("w"))
     names = list(features)
-    told = stratified_folds(labels, "label", folds=folds, seed=seed).join(queries.select("query_id", *[e.alias(n) for n, e in features.items()]), "query_id").persist()
+    told = stratified_folds(labels, "label", folds=folds, seed=seed).join(queries.withColumn("w", words(F.col("text"))).select("query_id", *[e.alias(n) for n, e in features.items()]), "query_id").persist()
     every = None
     for fold in range(folds):
         train = told.filter(F.col("fold") != fold)

@@ -50,5 +50,5 @@ def judged(spark: SparkSession, d: str, docs: DataFrame, queries: DataFrame) ->
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of topics and papers with their scores and signals."""
+    """Pairs of topics and papers with their scores and signals, as many as the rankings need."""
     return score_table(papers(spark, d), topics(spark, d))

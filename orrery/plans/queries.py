@@ -71,7 +71,7 @@ def _dense_run(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
     docs = vectors.select(F.col("vec_id").alias("doc_id"), "embedding")
     queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return retrieval.ranked(retrieval.dense(docs, queries).filter("query_id <> doc_id"), ["query_id"])
+    return retrieval.ranked(retrieval.dense(docs, queries, retrieval.TOP + 1).filter("query_id <> doc_id"), ["query_id"])  # one more, for its own
 
 
 @query
@@ -105,7 +105,7 @@ QUERIES.update({name: _run_of(method) for name, method in RUNS.items()})
 
 @query
 def rrf_topk(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(retrieval.reciprocal_ranks(frames.scored(spark, d)), "score")
+    return rounded(retrieval.reciprocal_ranks(frames.papers(spark, d), frames.topics(spark, d)), "score")
 
 
 def _measured(spark: SparkSession, d: str, run: DataFrame, by: str = "method") -> DataFrame:
@@ -196,8 +196,9 @@ def metadata_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def query_features(spark: SparkSession, d: str) -> DataFrame:
-    texts = frames.documents(spark, d)
-    features = T.query_features(F.col("text"))
+    # The words in a step of their own, so that they are found once for all features.
+    texts = frames.documents(spark, d).withColumn("w", T.words(F.col("text")))
+    features = T.query_features(F.col("text"), F.col("w"))
     return texts.select("doc_id", *[F.round(c, 6).alias(name) for name, c in features.items()])
 
 
@@ -370,4 +371,4 @@ def background_sample(spark: SparkSession, d: str) -> DataFrame:
 @query
 def latent_topk(spark: SparkSession, d: str) -> DataFrame:
     docs, queries = latent.latent_vectors(frames.documents(spark, d), frames.items(spark, d), rank=64)
-    return rounded(retrieval.ranked(retrieval.dense(docs, queries), ["query_id"]), "score")
+    return rounded(retrieval.ranked(retrieval.dense(docs, queries, retrieval.TOP), ["query_id"]), "score")

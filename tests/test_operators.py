@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,15 +30,80 @@ def test_measures(spark):
     assert (got[1].r10, got[1].n10, got[1].mrr) == (0, 0, 0)
 
 
-def test_scaled(spark):
-    df = spark.createDataFrame([(1, 3.0), (1, 3.0), (2, 0.0), (2, 5.0), (2, 10.0)], "query_id int, s double")
-    assert sorted(r.x for r in df.select(retrieval.scaled("s").alias("x")).collect()) == [0, 0, 0, 0.5, 1]
-
-
-def test_reciprocal_ranks(spark):
-    df = spark.createDataFrame([(1, 1, 9.0, 1.0), (1, 2, 5.0, 3.0), (1, 3, 1.0, 2.0)], "query_id int, doc_id int, s_bm double, s_de double")
-    got = {r.doc_id: r.score for r in retrieval.reciprocal_ranks(df).collect()}
-    assert got[1] == pytest.approx(1 / 60 + 1 / 62)
+def test_scaled():
+    low, high = pd.Series([3.0, 0.0]), pd.Series([3.0, 10.0])
+    got = retrieval._between(np.array([[3.0, 3.0, 3.0], [0.0, 5.0, 10.0]]), low, high)
+    assert got.tolist() == [[0, 0, 0], [0, 0.5, 1]]
+
+
+def small_corpus(spark, n=60, key=str):
+    """Documents of few words with vectors of few values, so that scores tie, and three queries; one shares no word with any document."""
+    rng = np.random.default_rng(3)
+    terms = np.array("red green blue black white".split())
+    docs = [(key(i), " ".join(rng.choice(terms, rng.integers(1, 5))), rng.integers(-1, 2, 3).astype(float).tolist(), int(rng.integers(0, 9)), 2000 + int(rng.integers(0, 20)), "v" + str(rng.integers(0, 3))) for i in range(n)]
+    queries = [(1, "red green", [1.0, 0.0, 1.0]), (2, "blue blue", [0.0, -1.0, 0.5]), (3, "unknown", [1.0, 1.0, 1.0])]
+    kind = "string" if key is str else "long"
+    return spark.createDataFrame(docs, f"doc_id {kind}, text string, embedding array<double>, citations int, year int, venue string"), spark.createDataFrame(queries, "query_id int, text string, embedding array<double>")
+
+
+def plain_scores(corpus, queries):
+    """All pairs' raw and scaled scores, pair by pair."""
+    docs, asked = corpus.toPandas(), queries.toPandas()
+    bm = {(r.query_id, r.doc_id): r.score for r in retrieval.bm25(corpus, queries).collect()}
+    out = {}
+    for q in asked.itertuples():
+        raw = {d.doc_id: (bm.get((q.query_id, d.doc_id), 0.0), float(np.dot(q.embedding, d.embedding))) for d in docs.itertuples()}
+        edges = [(min(x), max(x)) for x in zip(*raw.values())]
+        out[q.query_id] = {d: (*x, *[(v - lo) / (hi - lo) if hi - lo > 1e-12 else 0.0 for v, (lo, hi) in zip(x, edges)]) for d, x in raw.items()}
+    return out
+
+
+def first(scores, top):
+    return sorted(scores, key=lambda d: (-round(scores[d], 9), d))[:top]
+
+
+@pytest.mark.parametrize("key", (str, int))
+def test_fused_rankings_over_many_cells(spark, monkeypatch, key):
+    monkeypatch.setattr(retrieval, "FUSED_DOC_BLOCK", 16)
+    monkeypatch.setattr(retrieval, "FUSED_QUERY_BLOCK", 2)
+    corpus, queries = small_corpus(spark, key=key)
+    plain, table = plain_scores(corpus, queries), retrieval.score_table(corpus, queries, top=5)
+    got = {m: {} for m in ("BM25", "SBERT-Dense", "Neural-Hybrid", "Alpha-Hybrid")}
+    for r in retrieval.all_runs(table).filter("rank <= 5").orderBy("rank").collect():
+        if r.method in got:
+            got[r.method].setdefault(r.query_id, []).append(r.doc_id)
+    ways = {"BM25": lambda x: x[0], "SBERT-Dense": lambda x: x[1], "Neural-Hybrid": lambda x: 0.5 * x[2] + 0.5 * x[3], "Alpha-Hybrid": lambda x: 0.6 * x[2] + 0.4 * x[3]}
+    for method, way in ways.items():
+        assert got[method] == {q: first({d: way(x) for d, x in s.items()}, 5) for q, s in plain.items()}, method
+
+
+@pytest.mark.parametrize("key", (str, int))
+def test_reciprocal_ranks(spark, monkeypatch, key):
+    monkeypatch.setattr(retrieval, "FUSED_DOC_BLOCK", 16)
+    monkeypatch.setattr(retrieval, "FUSED_QUERY_BLOCK", 2)
+    corpus, queries = small_corpus(spark, key=key)
+    got = {}
+    for r in retrieval.reciprocal_ranks(corpus, queries, k=2, top=5).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, round(r.score, 9)))
+    for q, s in plain_scores(corpus, queries).items():
+        places = [{d: i for i, d in enumerate(first({d: x[at] for d, x in s.items()}, None))} for at in (0, 1)]
+        fused = {d: 1 / (2 + places[0][d]) + 1 / (2 + places[1][d]) for d in s}
+        assert got[q] == [(d, round(fused[d], 9)) for d in first(fused, 5)]
+
+
+def test_dense_leaves_enough_for_the_top(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "DOC_BLOCK", 16)
+    corpus, queries = small_corpus(spark)
+    few, every = (rows(retrieval.ranked(retrieval.dense(corpus, queries, top), ["query_id"], 5), "query_id", "rank") for top in (5, None))
+    assert few == every and len(few) == 15
+
+
+def test_no_documents_or_queries(spark):
+    corpus, queries = small_corpus(spark)
+    for c, q in ((corpus.limit(0), queries), (corpus, queries.limit(0))):
+        assert not retrieval.all_runs(retrieval.score_table(c, q)).count()
+        assert not retrieval.reciprocal_ranks(c, q).count()
+        assert not retrieval.bm25(c, q).count()
 
 
 def test_holm(spark):
