@@ -39,9 +39,8 @@ def term_statistics(corpus: DataFrame) -> DataFrame:
     made once for all of them.
     """
     t = corpus.select(tokens(F.col("text")).alias("t"))
-    each = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(None).cast("long").alias("len")))
-    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("t").cast("long").alias("len")))
-    return t.select(F.inline(F.concat(each, whole))).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("total_len"))
+    each = t.select(F.size("t").alias("len"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))).alias("term"))
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("len"))).alias("total_len"))
 
 
 def _corpus_size(statistics: DataFrame) -> DataFrame:
@@ -89,12 +88,13 @@ def _blocks(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
 
 
-def _in_blocks(docs: DataFrame, queries: DataFrame, doc_size: int, query_size: int) -> tuple[DataFrame, DataFrame, int, int]:
-    """Both sides with the numbers d, q of every cell that they take part in, and how many blocks there are of documents and queries."""
-    doc_blocks, query_blocks = _blocks(docs.count(), doc_size), _blocks(queries.count(), query_size)
-    left = docs.withColumns({"d": _block("doc_id", doc_blocks), "q": _every(query_blocks)})
-    right = queries.withColumns({"q": _block("query_id", query_blocks), "d": _every(doc_blocks)})
-    return left, right, doc_blocks, query_blocks
+def _docs_in_cells(docs: DataFrame, doc_blocks: int, query_blocks: int) -> DataFrame:
+    """Documents with the numbers d, q of every cell that they take part in."""
+    return docs.withColumns({"d": _block("doc_id", doc_blocks), "q": _every(query_blocks)})
+
+
+def _queries_in_cells(queries: DataFrame, doc_blocks: int, query_blocks: int) -> DataFrame:
+    return queries.withColumns({"q": _block("query_id", query_blocks), "d": _every(doc_blocks)})
 
 
 def _block(key: str, blocks: int) -> Column:
@@ -114,7 +114,9 @@ def dense(docs: DataFrame, queries: DataFrame, top: int | None = None) -> DataFr
 
     top: of each cell only a query's best rows leave the task, enough to rank that many of all.
     """
-    left, right, _, _ = _in_blocks(docs.select("doc_id", "embedding"), queries.select("query_id", F.col("embedding").alias("vector")), DOC_BLOCK, QUERY_BLOCK)
+    blocks = _blocks(docs.count(), DOC_BLOCK), _blocks(queries.count(), QUERY_BLOCK)
+    left = _docs_in_cells(docs.select("doc_id", "embedding"), *blocks)
+    right = _queries_in_cells(queries.select("query_id", F.col("embedding").alias("vector")), *blocks)
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -156,7 +158,7 @@ def ranked(scores: DataFrame, by: list[str], top: int | None = TOP, score: str =
     return out if top is None else out.filter(F.col("rank") <= top)
 
 
-def _edges(left: DataFrame, right: DataFrame, lexical: DataFrame, n_docs: DataFrame) -> DataFrame:
+def _edges(left: DataFrame, right: DataFrame, lexical: DataFrame, n_docs: int) -> DataFrame:
     """`query_id` with the least and the greatest of both scores over the whole corpus; a pair that shares no term scores 0."""
 
     def span(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -169,8 +171,8 @@ def _edges(left: DataFrame, right: DataFrame, lexical: DataFrame, n_docs: DataFr
     cells = left.groupBy("d", "q").cogroup(right.groupBy("d", "q")).applyInPandas(span, f"query_id {kind}, low_de double, high_de double")
     de = cells.groupBy("query_id").agg(F.min("low_de").alias("low_de"), F.max("high_de").alias("high_de"))
     bm = lexical.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("s_bm").alias("low"), F.max("s_bm").alias("high"))
-    some = F.coalesce("n", F.lit(0)) < F.col("n_docs")
-    return de.join(bm, "query_id", "left").crossJoin(F.broadcast(n_docs)).select(
+    some = F.coalesce("n", F.lit(0)) < n_docs
+    return de.join(bm, "query_id", "left").select(
         "query_id", "low_de", "high_de",
         F.when(some, F.least("low", F.lit(0.0))).otherwise(F.col("low")).alias("low_bm"),
         F.when(some, F.greatest("high", F.lit(0.0))).otherwise(F.col("high")).alias("high_bm"),
@@ -222,11 +224,13 @@ def score_table(corpus: DataFrame, queries: DataFrame, top: int = TOP) -> DataFr
     bounded numbers of documents and queries; those leave a cell that are among the `top` of it for a query by one of `methods` or
     by the content score with a share of ALPHAS, so that these rankings, up to `top`, are those of all pairs.
     """
-    docs = corpus.select("doc_id", "embedding").join(signals(corpus), "doc_id")
+    docs, asked = corpus.select("doc_id", "embedding"), queries.select("query_id", F.col("embedding").alias("vector"))
     lexical = bm25(corpus, queries).withColumnRenamed("score", "s_bm")
-    asked = queries.select("query_id", F.col("embedding").alias("vector"))
-    left, right, doc_blocks, query_blocks = _in_blocks(docs, asked, FUSED_DOC_BLOCK, FUSED_QUERY_BLOCK)
-    edges = _edges(left.select("doc_id", "embedding", "d", "q"), right, lexical, corpus.agg(F.count(F.lit(1)).alias("n_docs")))
+    n_docs = corpus.count()
+    blocks = _blocks(n_docs, FUSED_DOC_BLOCK), _blocks(queries.count(), FUSED_QUERY_BLOCK)
+    left, right = _docs_in_cells(docs, *blocks), _queries_in_cells(asked, *blocks)
+    edges = _edges(left, right, lexical, n_docs)
+    left = _docs_in_cells(docs.join(signals(corpus), "doc_id"), *blocks)
 
     def best(cell: pd.DataFrame) -> pd.DataFrame:
         if not (found := _opened(cell)):
@@ -241,7 +245,7 @@ def score_table(corpus: DataFrame, queries: DataFrame, top: int = TOP) -> DataFr
 
     kinds = dict(docs.dtypes)["doc_id"], dict(asked.dtypes)["query_id"]
     names = ["s_bm", "s_de", "bm", "de", *SIGNALS]
-    cells = _cells(left, right.join(edges, "query_id"), lexical, doc_blocks, query_blocks)
+    cells = _cells(left, right.join(edges, "query_id"), lexical, *blocks)
     return cells.groupBy("d", "q").applyInPandas(best, f"query_id {kinds[1]}, doc_id {kinds[0]}, s_bm double, s_de double, bm double, de double, c double, r double, v double, len double")
 
 
@@ -295,8 +299,8 @@ def reciprocal_ranks(corpus: DataFrame, queries: DataFrame, k: int = RRF_K, top:
     docs = corpus.select("doc_id", "embedding", *[F.lit(0.0).alias(c) for c in SIGNALS])
     lexical = bm25(corpus, queries).withColumnRenamed("score", "s_bm")
     asked = queries.select("query_id", F.col("embedding").alias("vector"))
-    left, right, doc_blocks, query_blocks = _in_blocks(docs, asked, FUSED_DOC_BLOCK, FUSED_QUERY_BLOCK)
-    cells = _cells(left, right, lexical, doc_blocks, query_blocks)
+    blocks = _blocks(docs.count(), FUSED_DOC_BLOCK), _blocks(queries.count(), FUSED_QUERY_BLOCK)
+    cells = _cells(_docs_in_cells(docs, *blocks), _queries_in_cells(asked, *blocks), lexical, *blocks)
 
     def first(cell: pd.DataFrame) -> pd.DataFrame:
         if not (found := _opened(cell)):
@@ -327,7 +331,7 @@ def reciprocal_ranks(corpus: DataFrame, queries: DataFrame, k: int = RRF_K, top:
     near = cells.groupBy("d", "q").applyInPandas(first, f"{kinds}, c_bm double, c_de double")
     places = [F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(s, 9).desc(), "doc_id")) for s in ("c_bm", "c_de")]
     near = near.withColumns({"_a": places[0], "_b": places[1]}).filter(F.least("_a", "_b") <= reach).drop("_a", "_b")
-    near = near.withColumns({"q": _block("query_id", query_blocks), "d": _every(doc_blocks)})
+    near = _queries_in_cells(near, *blocks)
     counted = cells.unionByName(near, True).groupBy("d", "q").applyInPandas(before, f"{kinds}, a long, b long")
     fused = counted.groupBy("query_id", "doc_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     return ranked(fused.select("query_id", "doc_id", (1 / (k + F.col("a")) + 1 / (k + F.col("b"))).alias("score")), ["query_id"], top)
