@@ -17,7 +17,7 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents."""
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.fingerprint_groups(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,14 @@ fewer than it has members.
 How groups are found. Each linked fingerprint takes the smallest label of its neighbours and then the label of that
 label, until nothing changes; every round is written to the shared folder.
 
+Similar texts. `near_duplicates` and `keep_first` compare whole texts: two are linked if the sets of their five-word shingles
+have a Jaccard similarity of 0.8 or more. Fingerprints of such pairs differ by 10 bits of 64 on average and by 20 at times, so no
+radius that still tells unlike texts apart finds them all. Candidates are found without loss instead: put the shingles of every
+set into one order; two sets that are similar enough share a shingle among the first of both (all but 0.8 of a set, and one).
+Any order is right; the common shingles of a sample come last, so that few texts meet by them. Sets with a shared first shingle
+are compared with the least of them, components are made, and pairs that are not in one component yet are compared too. Sizes
+and parities of hashed bits rule out pairs that can't be similar enough; the others are compared in full.
+
 Edge cases. Null, empty and blank texts have no words: their fingerprint is zero and links like any other. A text with
 fewer words than the shingle has one shingle, all its words. Repeated rows stay and share a group. Null ids take part and
 get their group's id, the smallest that isn't null (null if there is none). Empty tables give empty results. Other columns
@@ -36,6 +44,14 @@ BITS = 64
 SEED = 42
 #: A shard with more members than this is divided again.
 SHARD_SIZE = 1024
+#: Of `near_duplicates` and `keep_first`: words of a shingle, and the least similarity.
+WIDTH, SIMILARITY = 5, 0.8
+#: Texts whose shingles are counted, and how many common shingles are told to the tasks.
+SAMPLE, COMMON = 5000, 20_000
+#: Words of 64 bits of the parities, and of those that they are folded to, that pairs are held against before their texts are read.
+PARITIES, FOLDED = 32, 4
+#: A table with more rows than this is never broadcast.
+BROADCAST_ROWS = 500_000
 #: Sorts after every document id.
 NO_ID = 2**63 - 1
 
@@ -221,8 +237,8 @@ def components(links: DataFrame, ids: DataFrame) -> DataFrame:
             return labels.select("fp", "first")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_size: int = SHARD_SIZE) -> DataFrame:
-    """`doc_id`, `fingerprint` (16 hex digits), `component_id` for every row of `docs`."""
+def fingerprint_groups(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_size: int = SHARD_SIZE) -> DataFrame:
+    """`doc_id`, `fingerprint` (16 hex digits), `component_id` for every row of `docs`, linked by fingerprints alone."""
     rows = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
     ids = written(rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("first")), "distinct")
     links = written(links_of(ids, radius, shard_size), "links")
@@ -233,12 +249,230 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: st
     return told.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif("first", F.lit(NO_ID)).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is their group's smallest, one row of each id, with all their columns.
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The different shingles' hashes, sorted."""
+    return np.unique(shingle_hashes(text, width))
+
+
+def _possible(size: np.ndarray, bits: np.ndarray, size_b: np.ndarray, bits_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes and parities can be similar enough; their difference has at least as many members as parities differ."""
+    fits = np.minimum(size, size_b) >= similarity * np.maximum(size, size_b) - 1e-9
+    return fits & (np.bitwise_count(bits.view(np.uint64) ^ bits_b.view(np.uint64)) <= (size + size_b) * (1 - similarity) / (1 + similarity) + 1e-9)
+
+
+def _parities(h: np.ndarray) -> bytes:
+    """For each of 64 * PARITIES bits whether an odd number of hashes falls on it."""
+    counts = np.bincount((h >> np.uint64(6) & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES)
+    return np.packbits(counts & 1).tobytes()
+
+
+def _folded(parities: bytes) -> bytes:
+    """The same for FOLDED words of bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(parities, np.uint64).reshape(-1, FOLDED)).tobytes()
+
+
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """`df` written, to be broadcast if it has a bounded number of rows."""
+    df = written(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _common(texts: DataFrame, width: int) -> np.ndarray:
+    """Hashes of the most common shingles of some texts, the rarest first: a bounded number from a bounded sample."""
+    n = texts.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), width).view(np.int64))], ["h"])
+
+    some = texts.filter(F.pmod(F.xxhash64("_row"), F.lit(-(-n // SAMPLE) or 1)) == 0).select("_text").mapInArrow(run, "h long")
+    found = some.groupBy("h").count().filter(F.col("count") >= 5).orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    return np.array([r.h for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def _sets(texts: DataFrame, common: np.ndarray, width: int, similarity: float) -> DataFrame:
+    """`_row`, `doc_id`, `fp` (a hash of the whole set), `size`, `bits`, `folded` and `parities` (of ever more bits), `first` (the set's first shingles) of every text."""
+    order = np.argsort(common)
+    ranked = common[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(2):
+                h = shingle_set(text.as_py(), width)
+                least = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
+                rank = np.full(len(h), -1)
+                if len(ranked):
+                    at = np.minimum(ranked.searchsorted(h), len(ranked) - 1)
+                    rank[ranked[at] == h] = order[at[ranked[at] == h]]
+                first = h[np.argsort(rank, kind="stable")[:least]].view(np.int64)
+                bits = np.bitwise_xor.reduce(np.left_shift(np.uint64(1), h & np.uint64(63)), initial=np.uint64(0))
+                fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED), bits], np.uint64).view(np.int64)
+                out.append((int(fp[0]), len(h), int(fp[1]), (parities := _parities(h)), _folded(parities), first))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]], ["_row", "doc_id", "fp", "size", "bits", "parities", "folded", "first"])
+
+    return texts.select("_row", "doc_id", "_text").mapInArrow(run, "_row long, doc_id long, fp long, size long, bits long, parities binary, folded binary, first array<long>")
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first one, so cut that rows with the same value of it stay together."""
+    held = None
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        if held is not None:
+            columns = [np.concatenate(both) for both in zip(held, columns)]
+        cut = int(np.flatnonzero(columns[0] != columns[0][-1])[-1]) + 1 if columns[0][0] != columns[0][-1] else 0
+        if cut:
+            yield [c[:cut] for c in columns]
+        held = [c[cut:] for c in columns]
+    if held is not None:
+        yield held
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """`h`, `fp`, `pivot`: different sets that share a first shingle, and the least of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, fp in _lists(batches):
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])))
+            h, fp = h[new], fp[new]
+            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            sizes = np.diff(np.append(starts, len(h)))
+            pivot, more = np.repeat(fp[starts], sizes), np.repeat(sizes > 1, sizes)
+            for i in range(0, len(h), 50_000):
+                part = slice(i, i + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x[part][more[part]]) for x in (h, fp, pivot)], ["h", "fp", "pivot"])
+
+    postings = sets.select(F.explode("first").alias("h"), "fp").repartition("h").sortWithinPartitions("h", "fp")
+    return postings.mapInArrow(run, "h long, fp long, pivot long")
+
+
+def _pivot_pairs(shared: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """`a`, `b`: each set with the least ones that it shares a first shingle with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, *known = (c.to_numpy() for c in batch.columns)
+            keep = _possible(*known, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    pairs = shared.filter("pivot <> fp").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct()
+    for side in "ab":
+        pairs = pairs.join(sizes.select(F.col("fp").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    return pairs.select("a", "b", "size_a", "bits_a", "size_b", "bits_b").mapInArrow(run, "a long, b long")
+
+
+def _other_pairs(shared: DataFrame, sizes: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """`a`, `b`: the other pairs that share a first shingle and aren't in one group yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        for h, fp, size, bits, group in _lists(batches):
+            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            mixed = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
+            for a, b in zip(starts[mixed].tolist(), np.append(starts, len(h))[1:][mixed].tolist()):
+                for i in range(a, b - 1):
+                    to = slice(i + 1, b)
+                    keep = (group[to] != group[i]) & _possible(size[i], bits[i : i + 1], size[to], bits[to], similarity)
+                    if keep.any():
+                        ends = fp[to][keep]
+                        found.append((np.full(len(ends), fp[i]), ends))
+                        held += len(ends)
+                    if held > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
+                        found, held = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
+
+    told = shared.filter("pivot <> fp").select("h", "fp").join(sizes, "fp").join(groups.withColumnRenamed("first", "group"), "fp")
+    dealt = told.repartition("h").sortWithinPartitions("h", "fp").select("h", "fp", "size", "bits", "group")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs `a`, `b` whose sets, made again from their texts, are similar enough."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["fp", "data"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5)] if batch.num_rows else []
+            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64) if bits else size
+            keep = apart <= size * (1 - similarity) / (1 + similarity) + 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    # Few bits first: most pairs end there, and what goes with each pair through the shuffles stays small.
+    for kind in ("folded", "parities"):
+        known = sets.select("fp", "size", kind).dropDuplicates(["fp"])
+        for side in "ab":
+            pairs = pairs.join(known.select(F.col("fp").alias(side), F.col("size").alias(f"size_{side}"), F.col(kind).alias(f"{kind}_{side}")), side)
+        pairs = written(pairs.select("a", "b", "size_a", "size_b", f"{kind}_a", f"{kind}_b").mapInArrow(near, "a long, b long"), "pairs")
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    rows = _small(sets.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("_row").alias("_row")), "wanted")
+    data = written(texts.select("_row", "_text").join(rows, "_row").select("fp", "_text").mapInArrow(hashed, "fp long, data binary"), "data")
+    told = pairs
+    for side in "ab":
+        told = told.join(data.select(F.col("fp").alias(side), F.col("data").alias(f"data_{side}")), side)
+    links = written(told.select("a", "b", "data_a", "data_b").mapInArrow(compared, "a long, b long"), "links")
+    dropped(data)
+    dropped(pairs)
+    return links
+
+
+def _grouped(texts: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """`_row`, `doc_id`, `fp` of every row of `texts` (_row, doc_id, _text), and `fp`, `first`: the least row of its group."""
+    sets = written(_sets(texts, _common(texts, width), width, similarity), "sets")
+    # The order of a group: ids first, the smallest first, then the rows without one.
+    ids = written(sets.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "_row")).alias("first"), F.first("size").alias("size"), F.first("bits").alias("bits")), "distinct")
+    sizes, own = ids.select("fp", "size", "bits"), ids.select("fp", "first")
+    shared = written(_shared(sets), "shared")
+    groups, links = own, _verified(_pivot_pairs(shared, sizes, similarity), sets, texts, width, similarity)
+
+    def united(links: DataFrame) -> DataFrame:
+        found = components(links, own).withColumnRenamed("first", "least")
+        return written(own.join(found, "fp", "left").select("fp", F.coalesce("least", "first").alias("first")), "groups")
+
+    if not links.isEmpty():
+        groups = united(links)
+    numbered = groups.select("fp", F.col("first._row").alias("first"))
+    more = _verified(_other_pairs(shared, sizes, numbered, similarity), sets, texts, width, similarity)
+    if not more.isEmpty():
+        groups = united(links.unionByName(more))
+    return sets.select("_row", "doc_id", "fp"), groups
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """`docs` with a number of each row, written once so that it stays the row's, and the part that is compared."""
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    return keyed, keyed.select("_row", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`doc_id`, `component_id` for every row of `docs`: groups of texts linked by similarity."""
+    rows, groups = _grouped(_keyed(docs.select(id_col, text_col), id_col, text_col)[1], width, similarity)
+    return rows.join(groups, "fp").select("doc_id", F.nullif("first.id", F.lit(NO_ID)).alias("component_id"))
+
 
-    Rows without an id can't be told apart from their group: they stay if the whole group has none.
-    """
-    groups = near_duplicates(docs, width, radius, id_col, text_col)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    return kept
+def keep_first(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of similar texts, with all its columns: a row of the smallest id, or of none if the whole group has none."""
+    keyed, texts = _keyed(docs, id_col, text_col)
+    rows, groups = _grouped(texts, width, similarity)
+    gone = rows.join(groups, "fp").filter(F.col("_row") != F.col("first._row")).select("_row")
+    return keyed.join(_small(gone, "gone"), "_row", "left_anti").drop("_row")

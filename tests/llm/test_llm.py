@@ -66,6 +66,41 @@ def test_near_duplicates(docs, nothing):
     assert {r.doc_id for r in simhash.keep_first(docs).collect()} >= {0, 3, 5, 7} and simhash.keep_first(docs).columns == docs.columns
 
 
+def similar_groups(texts):
+    """Each text's group, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    group = list(range(len(texts)))
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9
+    near = [[j for j, b in enumerate(sets) if alike(a, b)] for a in sets]
+    for _ in texts:
+        group = [min(group[j] for j in n) for n in near]
+    return group
+
+
+def test_similar_texts(spark):
+    """Near copies of 50 to 300 words, chains of them, unlike texts, and texts that share one line."""
+    rng, texts = random.Random(5), []
+    vocabulary = [f"w{i}" for i in range(3000)]
+    line = rng.choices(vocabulary, k=12)
+    for i in range(60):
+        base = rng.choices(vocabulary, k=rng.randrange(50, 300)) + line * (i % 3 == 0)
+        texts.append(" ".join(base))
+        for _ in range(i % 5):
+            at = rng.randrange(len(base))
+            base = base[:at] + rng.choices(vocabulary, k=rng.randrange(3)) + base[at + rng.randrange(1, 4 + len(base) // 60) :]
+            texts.append(" ".join(base))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = similar_groups(texts)
+    assert len(set(wanted)) < len(texts) - 50
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(wanted))
+    assert sorted(r.doc_id for r in simhash.keep_first(docs).collect()) == sorted(set(wanted))
+
+
 def test_byte_bpe(docs, nothing):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
