@@ -223,6 +223,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return picked.mapInArrow(run, "doc_id long, score double, n_passages long, attention double")
 
 
+def scored_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """`doc` (a whole row of `docs`, ids or not) and its `score`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begun, texts in _chunks(batch.column(0).field(text_col)):
+                scores, _ = model.score(*describe(texts), len(texts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begun, len(texts)), pa.array(scores)], ["doc", "score"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return rows.mapInArrow(run, rows.withColumn("score", F.lit(0.0)).schema)
+
+
 def predicted(score_col: str = "score") -> Column:
     """1 for a score of THRESHOLD or more, else 0."""
     return (F.col(score_col) >= THRESHOLD).cast("int")

@@ -130,6 +130,20 @@ def ablation(ledger_rows: DataFrame, name: str, version: int, rules: tuple[Rule,
     )
 
 
+def judged_rows(docs: DataFrame, name: str = "web", version: int = 2, text_col: str = "text") -> DataFrame:
+    """`doc` (a whole row of `docs`, ids or not) and whether it is `kept` under a policy."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [measures(text.as_py()) for text in batch.column(0).field(text_col)]
+            columns = [pa.array(c, pa.int64()) for c in zip(*found)] or [pa.array([], pa.int64())] * len(MEASURES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc", *MEASURES])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    measured = rows.mapInArrow(run, rows.withColumns({m: F.lit(0).cast("long") for m in MEASURES}).schema)
+    return ledger(measured).select("doc", (~rejects(policy_bits("base", 1) | policy_bits(name, version))).alias("kept"))
+
+
 def judged(docs: DataFrame, name: str = "web", version: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ledger of `docs` with `base_failed` and `kept` under a policy. What fails the base policy is never kept."""
     rows = ledger(measure(docs, id_col, text_col))

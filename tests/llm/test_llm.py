@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from orrery.llm import bpe, chat, langid, maxent, packing, quality, rules, simhash, topk, urls
 
 TEXTS = [None, "", " \n\t ", "one", "one two", "The quick brown fox jumps over the lazy dog. " * 9, "the QUICK brown fox jumps over the lazy dog. " * 9, "Ünïcode wörds \x85 and spaces 日本語 😀", "a b c d e\na b c d e\n# $ | <>", "x" * 5000, "don't  stop\t\tnow  's 'S", "<|endoftext|> [INST] </s>"]
@@ -101,6 +102,32 @@ def test_similar_texts(spark):
     assert sorted(r.doc_id for r in simhash.keep_first(docs).collect()) == sorted(set(wanted))
 
 
+def test_stages_without_ids(spark, docs, monkeypatch):
+    """Each stage against a plain version, on rows with null ids, repeated rows and one id on a good and a bad text."""
+    good, bad = "The quick brown fox jumps over the lazy dog near the old river bank today.", "no no no no no no no no no no no no"
+    rows = [(None, bad), (None, good), (1, good), (1, bad), (1, good), (2, bad), (2, "x"), (None, bad), (3, None), (None, "Some other words that stand alone and are rather long for a text of one line.")]
+    told = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    got = lambda df: sorted(map(tuple, df.collect()), key=key)
+
+    fails = {t: rules.judged(spark.createDataFrame([(0, t)], "doc_id long, text string")).first().kept is False for t in {r[1] for r in rows}}
+    assert fails[bad] and not fails[good]
+    assert got(corpus_pipeline.quality_rules(spark, told, "")) == sorted([r for r in rows if not fails[r[1]]], key=key)
+
+    class Fixed:
+        def score(self, owner, x, n):
+            return np.bincount(owner, x[:, 0], minlength=n), np.ones(len(owner))
+
+    monkeypatch.setattr(corpus_pipeline.quality, "train", lambda *_: Fixed())
+    monkeypatch.setattr(quality, "describe", lambda texts: (np.arange(len(texts)), np.array([[float(t == good)] for t in texts])))
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: None)
+    assert corpus_pipeline.quality_classifier(spark, told, "").count() == 3
+    assert {r[1] for r in got(corpus_pipeline.quality_classifier(spark, told, ""))} == {good}
+
+    kept = got(corpus_pipeline.near_duplicates(spark, told, ""))
+    assert kept == sorted([(1, good), (1, bad), (2, "x"), (3, None), rows[-1]], key=key)
+
+
 def test_byte_bpe(docs, nothing):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
