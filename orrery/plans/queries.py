@@ -370,5 +370,5 @@ def background_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def latent_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs, queries = latent.latent_vectors(frames.documents(spark, d), frames.items(spark, d), rank=64)
+    docs, queries = latent.latent_vectors(frames.documents(spark, d), frames.items(spark, d))
     return rounded(retrieval.ranked(retrieval.dense(docs, queries, retrieval.TOP), ["query_id"]), "score")

@@ -27,3 +27,28 @@ def test_same_as_sql(spark, name):
     assert columns == sorted(want.columns)
     plain = lambda df: sorted(tuple("" if v is None or v != v else f"{v:.5g}" if isinstance(v, float) else str(v) for v in r) for r in df[columns].astype(object).itertuples(index=False))
     assert [t for t in plain(got)] == [t for t in plain(want)]
+
+
+def test_latent_rank(monkeypatch):
+    """The registered query takes the operator's own rank."""
+    import inspect
+
+    from orrery.operators import latent
+    from orrery.plans import queries as plans
+
+    seen, real = [], inspect.signature(latent.latent_vectors)
+
+    def told(*given, **named):
+        bound = real.bind(*given, **named)
+        bound.apply_defaults()
+        seen.append(bound.arguments["rank"])
+        raise StopIteration
+
+    monkeypatch.setattr(plans.latent, "latent_vectors", told)
+    for name in ("documents", "items"):
+        monkeypatch.setattr(plans.frames, name, lambda *_: None)
+    try:
+        plans.latent_topk(None, "")
+    except StopIteration:
+        pass
+    assert seen == [latent.RANK] and latent.RANK == 384
