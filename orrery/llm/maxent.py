@@ -1,49 +1,102 @@
 """Language-model scores: a hashed maximum-entropy model beside a smoothed unigram base.
 
-Tokens are words (A-Z lower-cased) and one end for each text. Counts of all training tokens are gathered by shuffles: their
-number, the distinct ones, and each one's count.
+Tokens are words (A-Z lower-cased) and one end for each text. A token has one of `BUCKETS` buckets: short tokens by a hash of the
+whole token, longer ones by hashes of their first and last bytes; buckets form classes.
 
-The model. A token has one of `BUCKETS` buckets: the most frequent tokens one each, the others by hashes of their first and
-last bytes; buckets form classes. log P(token | history) = log P(class | history) + log P(bucket | class, history) +
-log P(token | bucket). The first two are softmaxes over features of the history: the bucket before (an n-gram feature), a
-coarse group of the token before that (a skip feature), and both together, hashed, for the class. The last is the token's
-smoothed share of its bucket. A history is one of finitely many, so all training tokens come down to counts of
-(history, bucket), again by a shuffle. Rounds of gradient updates run over that table in parallel: each task holds some
-histories, gives the gradient of their log likelihood, and the driver adds up the gradients, whose size is the model's, and
-moves the weights by them. Scoring looks tokens up in numpy batches.
+The model. log P(token | history) = log P(class | history) + log P(bucket | class, history) + log P(token | bucket, token before).
+All three are softmaxes.
 
-Where counts meet texts. Documents are dealt into chunks of about `CHUNK` bytes by a hash of the row. Each chunk's distinct
-tokens, not its occurrences, join the counts and come back to the chunk.
+* The first two are over n-gram features (the bucket before with the class or bucket), skip features (the class of the token
+  before that) and, for the class, both together, hashed. Their number is fixed.
+* The third is over the tokens of the bucket, with the smoothed share of each as its bias and an n-gram feature for every pair
+  of tokens that training texts hold at least twice. Tokens are told apart by 64-bit hashes. These features grow with the
+  corpus. Tokens without a feature keep their bias, so the sum of a softmax is 1 and what the features add: it needs the pairs
+  seen, not the whole bucket.
+
+Training maximises the likelihood less a Gaussian prior by rounds of gradient steps, each scaled by the feature's own
+curvature. For the first two, each task holds the counts of some histories and gives their gradients; the driver adds them up
+(their size is the model's) and moves the weights. A softmax of the third depends on one token before and one bucket alone, so
+all its pairs are dealt to one task, which takes the steps there; the weights never pass the driver.
+
+How texts and counts meet. Each task reads its documents in chunks of about `CHUNK` bytes, numbers each chunk's distinct tokens,
+and writes the documents as these numbers. Distinct tokens, not occurrences, go to the task that counts them, and their counts
+come back to the chunk; so do a chunk's distinct pairs and what the third softmax gives them. What travels is arrays, one for a
+chunk and a destination. Pairs behind a frequent token are dealt by bucket too, so that no task gets all of them.
 
 Edge cases: null and empty texts are the end token alone. Null ids are never learned from (they have no fold) and are scored.
-Repeated rows count each time. If nothing can be learned from, every token is unknown. Other columns aren't read.
+Repeated rows count each time. If nothing can be learned from, every token is unknown. A text longer than a chunk is one of its
+own and takes some tens of bytes a token. Other columns aren't read.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import partitions_for, written
 
-CLASSES, HASHED, OWN = 16, 24, 8
-WIDTH = HASHED + OWN
+CLASSES, LONG_WIDTH, SHORT_WIDTH = 16, 24, 8
+WIDTH = LONG_WIDTH + SHORT_WIDTH
 BUCKETS = CLASSES * WIDTH
-#: Histories: the bucket before (or none) and the group of the token before that (or none).
-BEFORE, GROUPS = BUCKETS + 1, 9
+#: Bytes of a token that counts as short.
+SHORT = 4
+#: Histories: the bucket before (or none) and the class of the token before that (or none).
+BEFORE, GROUPS = BUCKETS + 1, CLASSES + 1
 PAIRS = 2048
-ROUNDS, RATE, PRIOR = 8, 0.4, 5.0
+#: Rounds and step of the first two softmaxes, and what their features' counts are smoothed by.
+ROUNDS, RATE, PRIOR = 12, 0.7, 5.0
+#: Rounds and greatest step of the third, the variance of its weights' prior, and how often a pair must be seen.
+PAIR_ROUNDS, PAIR_STEP, VARIANCE, SEEN = 12, 2.0, 8.0, 2
+#: Pairs behind a token that training texts hold this often are dealt by bucket too.
+FREQUENT = 4096
 SMOOTH = 0.1
 END = b""
-CHUNK, LEAST_CHUNKS = 16_000_000, 64
-REMEMBERED = 500_000
+#: Bytes of a chunk, and of the texts that make one destination of tokens and of pairs.
+CHUNK, TOKENS_OF, PAIRS_OF = 8_000_000, 32_000_000, 16_000_000
+#: Parts that the histories are divided into by the bucket before.
+SHARDS = 16
+READ = "chunk long, doc_id long, learns boolean, at array<int>, target int, lid array<int>, token array<binary>, h array<long>, n array<long>, shard int, cell array<int>"
+KNOWN = "chunk long, lid array<int>, h array<long>, c array<long>, total array<long>, members array<long>"
+PAIR_ROWS = "chunk long, target int, before array<long>, runs array<int>, bucket array<short>, token array<int>, share array<float>, n array<int>"
+SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
+def _rows(schema: str, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch with these columns, nulls in the others."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "short": pa.int16(), "float": pa.float32(), "binary": pa.binary()}
+    n = len(next(iter(columns.values())))
+    parts = []
+    for name, kind in (p.split() for p in schema.split(", ")):
+        kind = pa.list_(kinds[kind[6:-1]]) if kind.startswith("array") else kinds[kind]
+        parts.append(columns[name].cast(kind) if name in columns else pa.nulls(n, kind))
+    return pa.RecordBatch.from_arrays(parts, _names(schema))
+
+
+def _lists(values: np.ndarray | pa.Array, ends: np.ndarray) -> pa.ListArray:
+    """One list for each of the runs of `values` that end there."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def _joined(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """All values of a column of lists."""
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return np.concatenate([p.flatten().to_numpy(zero_copy_only=False) for p in parts] or [np.empty(0, np.int64)])
+
+
+def _sizes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -51,29 +104,26 @@ def words_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
-def hashed_bucket(token: bytes) -> int:
-    """The bucket of a token that has none of its own."""
-    return zlib.crc32(token[-2:]) % CLASSES * WIDTH + zlib.crc32(token[:2]) % HASHED
-
-
-def _hashed_bucket(token: str) -> Column:
-    tail = F.expr(f"substring({token}, greatest(1, length({token}) - 1), 2)")
-    return (F.crc32(tail) % CLASSES * WIDTH + F.crc32(F.expr(f"substring({token}, 1, 2)")) % HASHED).cast("int")
+def bucket_of(token: bytes) -> int:
+    """The token's bucket; its class is the bucket by WIDTH."""
+    if len(token) <= SHORT:
+        h = zlib.crc32(token)
+        return h % CLASSES * WIDTH + LONG_WIDTH + h // CLASSES % SHORT_WIDTH
+    return zlib.crc32(token[-2:]) % CLASSES * WIDTH + zlib.crc32(token[:2]) % LONG_WIDTH
 
 
-def own_buckets(frequent: list[bytes]) -> dict[bytes, int]:
-    """Buckets of the end and of the most frequent tokens."""
-    ranked = [END, *(t for t in frequent if t != END)][: CLASSES * OWN]
-    return {token: rank % CLASSES * WIDTH + HASHED + rank // CLASSES for rank, token in enumerate(ranked)}
+def hash_of(token: bytes) -> int:
+    """A signed 64-bit hash of the token whose last bits are its bucket."""
+    h = xxhash.xxh64_intdigest(token, 42) & ~(BUCKETS - 1) | bucket_of(token)
+    return h - 2**64 if h >> 63 else h
 
 
 @dataclass
 class Model:
-    """Weights of both softmaxes and what the counts give."""
+    """Weights of the first two softmaxes and what the counts give."""
 
     n_tokens: int
     n_distinct: int
-    own: dict[bytes, int]
     bucket_total: np.ndarray
     bucket_distinct: np.ndarray
     weights: dict[str, np.ndarray]
@@ -82,9 +132,9 @@ class Model:
         """log10 of the smoothed unigram probability of tokens with these training counts."""
         return np.log10((counts + SMOOTH) / (self.n_tokens + SMOOTH * (self.n_distinct + 1)))
 
-    def in_bucket(self, counts: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-        """log10 of the tokens' shares of their buckets."""
-        return np.log10((counts + SMOOTH) / (self.bucket_total[buckets] + SMOOTH * (self.bucket_distinct[buckets] + 1)))
+    def share(self, counts: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        """The tokens' smoothed shares of their buckets."""
+        return (counts + SMOOTH) / (self.bucket_total[buckets] + SMOOTH * (self.bucket_distinct[buckets] + 1))
 
     def table(self) -> np.ndarray:
         """log10 P(bucket | history) for every history and bucket."""
@@ -108,210 +158,287 @@ def log_softmaxes(w: dict[str, np.ndarray], before: np.ndarray) -> tuple[np.ndar
 
 def histories(buckets: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """The history of every token of texts that stand one behind the other; begins: where each text starts."""
-    before = np.empty(len(buckets), np.int64)
-    group = np.empty(len(buckets), np.int64)
-    before[1:], group[2:] = buckets[:-1], buckets[:-2] // WIDTH % (GROUPS - 1)
+    before, group = np.empty(len(buckets), np.int64), np.empty(len(buckets), np.int64)
+    before[1:], group[2:] = buckets[:-1], buckets[:-2] // WIDTH
     before[begins], group[begins] = BUCKETS, GROUPS - 1
     second = begins + 1
     group[second[second < len(buckets)]] = GROUPS - 1
     return before * GROUPS + group
 
 
-class Bucketer:
-    """Buckets of tokens, those met before remembered up to a bound."""
-
-    def __init__(self, own: dict[bytes, int]) -> None:
-        self.own, self.known = own, dict(own)
-
-    def of(self, tokens: list[bytes]) -> list[int]:
-        found = list(map(self.known.get, tokens))
-        if None in found:
-            if len(self.known) > REMEMBERED:
-                self.known = dict(self.own)
-            for i, bucket in enumerate(found):
-                if bucket is None:
-                    found[i] = self.known[tokens[i]] = hashed_bucket(tokens[i])
-        return found
-
-
-def chunked(docs: DataFrame, learns: Column, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """`doc_id`, `text`, `learns`, `chunk`; and how many chunks there are."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = partitions_for(size, CHUNK, LEAST_CHUNKS)
-    return rows.select("doc_id", "text", F.coalesce(learns, F.lit(False)).alias("learns"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk")), n
+def read_chunks(rows: DataFrame, targets: int) -> DataFrame:
+    """Three kinds of rows in one table (READ): documents as their chunk's token numbers; for a chunk and a destination the
+    distinct tokens, their hashes and training counts; and for a shard of histories the cells and their counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
+        cells = np.zeros(BEFORE * GROUPS * BUCKETS, np.int64)
+        ids, learns, sizes, at, lids, size = [], [], [], [], {}, 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            chunk = (task << 32) + number
+            flat, ends = np.array(at, np.int32), np.cumsum(sizes)
+            for i in range(0, len(ids), 2000):
+                part = ends[i : i + 2000]
+                begin = int(ends[i] - sizes[i])
+                yield _rows(READ, chunk=pa.array([chunk] * len(part)), doc_id=pa.array(ids[i : i + 2000], pa.int64()), learns=pa.array(learns[i : i + 2000]), at=_lists(flat[begin : part[-1]], part - begin))
+            tokens = list(lids)
+            h = np.fromiter(map(hash_of, tokens), np.int64, len(tokens))
+            learned = np.repeat(np.array(learns, bool), sizes)
+            counts = np.bincount(flat[learned], minlength=len(tokens))
+            target = (h >> 9) % targets
+            order = np.argsort(target, kind="stable")
+            ends = np.searchsorted(target[order], np.arange(targets), "right")
+            some = np.flatnonzero(np.diff(ends, prepend=0))
+            values = pa.array(tokens, pa.binary()).take(pa.array(order))
+            yield _rows(READ, chunk=pa.array([chunk] * len(some)), target=pa.array(some), lid=_lists(order, ends[some]), token=_lists(values, ends[some]), h=_lists(h[order], ends[some]), n=_lists(counts[order], ends[some]))
+            buckets = (h & (BUCKETS - 1))[flat]
+            key = histories(buckets, np.cumsum(sizes) - sizes)[learned] * BUCKETS + buckets[learned]
+            np.add.at(cells, key, 1)
 
-def chunk_tokens(rows: DataFrame, n_chunks: int) -> DataFrame:
-    """`chunk`, `token`, `n`: each chunk's distinct tokens and how often its training documents have them."""
+        for batch in batches:
+            for doc_id, text, learn in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                words = words_of(text.as_py())
+                at += [lids.setdefault(w, len(lids)) for w in words]
+                ids.append(doc_id), learns.append(learn), sizes.append(len(words))
+                size += len(text.as_py() or "") + 1
+                if size >= CHUNK:
+                    yield from close()
+                    number += 1
+                    ids, learns, sizes, at, lids, size = [], [], [], [], {}, 0
+        if ids:
+            yield from close()
+        per = -(-BEFORE // SHARDS) * GROUPS * BUCKETS
+        some = np.flatnonzero(cells)
+        if len(some):
+            ends = np.searchsorted(some, per * np.arange(1, SHARDS + 1))
+            yield _rows(READ, shard=pa.array(np.arange(SHARDS)), cell=_lists(some.astype(np.int32), ends), n=_lists(cells[some], ends))
+
+    return rows.mapInArrow(run, READ)
+
+
+def count_tokens(read: DataFrame) -> DataFrame:
+    """KNOWN rows: for a chunk and a destination its tokens' counts in all training texts; on a destination's first row the
+    count and the number of different training tokens of each bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tokens = pa.concat_arrays([c.flatten() for c in table.column("token").chunks])
+        place = tokens.dictionary_encode().indices.to_numpy()
+        h, n, sizes = _joined(table.column("h")), _joined(table.column("n")), _sizes(table.column("token"))
+        c = np.zeros(int(place.max()) + 1, np.int64)
+        np.add.at(c, place, n)
+        first = np.unique(place, return_index=True)[1]
+        first = first[c[place[first]] > 0]
+        bucket = h[first] & (BUCKETS - 1)
+        stats = np.zeros((2, BUCKETS), np.int64)
+        np.add.at(stats[0], bucket, c[place[first]])
+        np.add.at(stats[1], bucket, 1)
+        ends = np.cumsum(sizes)
+        one = [pa.array([s.tolist(), *[None] * (len(sizes) - 1)], pa.list_(pa.int64())) for s in stats]
+        return pa.Table.from_batches([_rows(KNOWN, chunk=table.column("chunk").combine_chunks(), lid=_lists(_joined(table.column("lid")), ends), h=_lists(h, ends), c=_lists(c[place], ends), total=one[0], members=one[1])])
+
+    return read.filter("target IS NOT NULL").select("chunk", "target", "lid", "token", "h", "n").groupBy("target").applyInArrow(run, KNOWN)
+
+
+def history_counts(read: DataFrame) -> DataFrame:
+    """`shard`, `data`: the counts of all cells (bucket before, group, bucket) of a shard."""
+    per = -(-BEFORE // SHARDS) * GROUPS * BUCKETS
+
+    def run(table: pa.Table) -> pa.Table:
+        shard, counts = table.column("shard")[0].as_py(), np.zeros(per)
+        np.add.at(counts, _joined(table.column("cell")) - shard * per, _joined(table.column("n")))
+        return pa.table({"shard": pa.array([shard], pa.int32()), "data": pa.array([counts.astype(np.float32).tobytes()], pa.binary())})
+
+    return read.filter("shard IS NOT NULL").select("shard", "cell", "n").groupBy("shard").applyInArrow(run, "shard int, data binary")
+
+
+def shard_gradient(weights: dict[str, np.ndarray], before: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """For every weight how often its feature is seen and how often it is expected, in the histories of these buckets before."""
+    total = {k: np.zeros((2, *v.shape)) for k, v in weights.items()}
+    log_class, log_bucket = log_softmaxes(weights, before)
+    of_class = counts.reshape(len(before), GROUPS, CLASSES, WIDTH).sum(axis=3)
+    expected = of_class.sum(axis=2, keepdims=True) * np.exp(log_class)
+    for i, value in enumerate((of_class, expected)):
+        total["class_ngram"][i][before] = value.sum(axis=1)
+        total["class_skip"][i] = value.sum(axis=0)
+        np.add.at(total["class_pair"][i], pair_features(before), value)
+    expected = (of_class[..., None] * np.exp(log_bucket)).reshape(counts.shape)
+    for i, value in enumerate((counts, expected)):
+        total["bucket_ngram"][i][before] = value.sum(axis=1)
+        total["bucket_skip"][i] = value.sum(axis=0)
+    return total
+
+
+def gradients(table: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """`shard_gradient` summed over all shards."""
+    per = -(-BEFORE // SHARDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[Counter, set]] = {}
         for batch in batches:
-            for text, learn, chunk in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                counts, others = held.setdefault(chunk, (Counter(), set()))
-                (counts if learn else others).update(words_of(text.as_py()))
-        while held:
-            chunk, (counts, others) = held.popitem()
-            tokens = [*counts, *(t for t in others if t not in counts)]
-            n = np.zeros(len(tokens), np.int64)
-            n[: len(counts)] = np.fromiter(counts.values(), np.int64, len(counts))
-            for i in range(0, len(tokens), 50_000):
-                part = tokens[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk, np.int32)), pa.array(part, pa.binary()), pa.array(n[i : i + 50_000])], ["chunk", "token", "n"])
-
-    return rows.select("text", "learns", "chunk").repartition(n_chunks, "chunk").mapInArrow(run, "chunk int, token binary, n long")
-
-
-def history_counts(rows: DataFrame, own: dict[bytes, int]) -> DataFrame:
-    """`before`, `place` (group and bucket), `n` over all training tokens."""
-    cells = GROUPS * BUCKETS
+            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                before = np.arange(shard * per, min(BEFORE, (shard + 1) * per))
+                counts = np.frombuffer(data.as_buffer(), np.float32).reshape(per, GROUPS, BUCKETS)[: len(before)].astype(float)
+                for k, both in shard_gradient(weights, before, counts).items():
+                    some = np.flatnonzero(both.any(axis=(0, 2)))
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array([both[:, r].tobytes() for r in some], pa.binary())], ["kind", "row", "data"])
+
+    out = {k: np.zeros((2, *v.shape)) for k, v in weights.items()}
+    for kind, row, data in table.mapInArrow(run, "kind string, row int, data binary").collect():
+        out[kind][:, row] += np.frombuffer(data).reshape(2, -1)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucketer, counts = Bucketer(own), np.zeros(BEFORE * cells, np.int64)
 
-        def add(tokens: list[bytes], sizes: list[int]) -> None:
-            buckets = np.array(bucketer.of(tokens), np.int64)
-            keys, n = np.unique(histories(buckets, np.cumsum(sizes) - sizes) * BUCKETS + buckets, return_counts=True)
-            counts[keys] += n
+def train(table: DataFrame, n_tokens: int, n_distinct: int, total: np.ndarray, distinct: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """The first two softmaxes by gradient steps over the histories' counts, from weights that give each bucket its share."""
+    share = (total + SMOOTH).reshape(CLASSES, WIDTH)
+    shapes = {"class_ngram": (BEFORE, CLASSES), "class_skip": (GROUPS, CLASSES), "class_pair": (PAIRS, CLASSES), "bucket_ngram": (BEFORE, BUCKETS), "bucket_skip": (GROUPS, BUCKETS)}
+    weights = {k: np.zeros(s) for k, s in shapes.items()}
+    weights["class_skip"] += np.log(share.sum(axis=1))
+    weights["bucket_skip"] += np.log(share).ravel()
+    moved = {k: np.zeros(s) for k, s in shapes.items()}
+    for _ in range(rounds if n_tokens else 0):
+        for kind, (seen, expected) in gradients(table, {k: weights[k] + moved[k] for k in weights}).items():
+            # The prior pulls towards where the weights began.
+            slope = seen - expected - SMOOTH * PRIOR * moved[kind]
+            moved[kind] += RATE * slope / (np.maximum(seen, expected) + PRIOR)
+    return Model(n_tokens, n_distinct, total, distinct, {k: (weights[k] + moved[k]).astype(np.float32) for k in weights})
 
-        for batch in batches:
-            tokens, sizes = [], []
-            for text in batch.column(0):
-                words = words_of(text.as_py())
-                tokens += words
-                sizes.append(len(words))
-                if len(tokens) > 1_000_000:
-                    add(tokens, sizes)
-                    tokens, sizes = [], []
-            if tokens:
-                add(tokens, sizes)
-        some = np.flatnonzero(counts)
-        for i in range(0, len(some), 50_000):
-            part = some[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array((part // cells).astype(np.int32)), pa.array((part % cells).astype(np.int32)), pa.array(counts[part])], ["before", "place", "n"])
-
-    return rows.filter("learns").select("text").mapInArrow(run, "before int, place int, n long").groupBy("before", "place").agg(F.sum("n").alias("n"))
-
-
-def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Counts of whole groups of `before`, a few at a time: their numbers and an array (before, group, bucket)."""
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not len(table):
-        return
-    before, place, n = (table.column(i).to_numpy() for i in range(3))
-    order = np.argsort(before, kind="stable")
-    before, place, n = before[order], place[order], n[order]
-    values = np.unique(before)
-    for i in range(0, len(values), 64):
-        part = values[i : i + 64].astype(np.int64)
-        a, b = np.searchsorted(before, part[0]), np.searchsorted(before, part[-1], "right")
-        counts = np.zeros((len(part), GROUPS * BUCKETS))
-        counts[np.searchsorted(part, before[a:b]), place[a:b]] = n[a:b]
-        yield part, counts.reshape(len(part), GROUPS, BUCKETS)
-
-
-def gradients(table: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """For every weight the gradient of the log likelihood and the expected count, summed over the table's tasks."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {k: np.zeros((2, *v.shape), np.float64) for k, v in weights.items()}
-        for before, counts in _dense(batches):
-            log_class, log_bucket = log_softmaxes(weights, before)
-            of_class = counts.reshape(len(before), GROUPS, CLASSES, WIDTH).sum(axis=3)
-            expected = of_class.sum(axis=2, keepdims=True) * np.exp(log_class)
-            for i, value in enumerate((of_class - expected, expected)):
-                total["class_ngram"][i][before] += value.sum(axis=1)
-                total["class_skip"][i] += value.sum(axis=0)
-                np.add.at(total["class_pair"][i], pair_features(before), value)
-            expected = (of_class[..., None] * np.exp(log_bucket)).reshape(counts.shape)
-            for i, value in enumerate((counts - expected, expected)):
-                total["bucket_ngram"][i][before] += value.sum(axis=1)
-                total["bucket_skip"][i] += value.sum(axis=0)
-        for k, both in total.items():
-            some = np.flatnonzero(both[1].any(axis=1))
-            data = [both[:, r].astype(np.float32).tobytes() for r in some]
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(data, pa.binary())], ["kind", "row", "data"])
-
-    out = {k: (np.zeros(v.shape), np.zeros(v.shape)) for k, v in weights.items()}
-    for kind, row, data in table.mapInArrow(run, "kind string, row int, data binary").collect():
-        both = np.frombuffer(data, np.float32).reshape(2, -1)
-        out[kind][0][row] += both[0]
-        out[kind][1][row] += both[1]
+@dataclass
+class Chunk:
+    """A chunk's documents and tokens, put together again from their rows. Its pairs don't depend on the order of these."""
+
+    doc_id: pa.Array
+    sizes: np.ndarray
+    learned: np.ndarray
+    at: np.ndarray
+    c: np.ndarray
+    h: np.ndarray
+
+    @classmethod
+    def of(cls, docs: pa.Table, known: pa.Table) -> Chunk:
+        sizes = _sizes(docs.column("at"))
+        lid = _joined(known.column("lid"))
+        c, h = (np.zeros(len(lid), np.int64) for _ in range(2))
+        c[lid], h[lid] = _joined(known.column("c")), _joined(known.column("h"))
+        learns = docs.column("learns").to_numpy(zero_copy_only=False).astype(bool)
+        return cls(docs.column("doc_id"), sizes, np.repeat(learns, sizes), _joined(docs.column("at")), c, h)
+
+    def pairs(self, targets: int) -> tuple[np.ndarray, ...]:
+        """Distinct pairs (numbers of both tokens) whose first token may have features, how often training texts hold them, and
+        their destinations, sorted by destination and pair; and each token's pair, the number of pairs where it has none."""
+        begins = np.cumsum(self.sizes) - self.sizes
+        inside = np.ones(len(self.at), bool)
+        inside[begins] = False
+        inside[1:] &= self.c[self.at[:-1]] >= SEEN
+        where = np.flatnonzero(inside)
+        n = len(self.c)
+        key, which = np.unique(self.at[where - 1].astype(np.int64) * n + self.at[where], return_inverse=True)
+        a, b = np.divmod(key, n)
+        bucket = self.h[b] & (BUCKETS - 1)
+        target = ((self.h[a] >> 9) + np.where(self.c[a] >= FREQUENT, bucket * 7919, 0)) % targets
+        order = np.argsort(target, kind="stable")
+        place = np.empty(len(key), np.int64)
+        place[order] = np.arange(len(key))
+        of_token = np.full(len(self.at), len(key))
+        of_token[where] = place[which]
+        seen = np.bincount(place[which], self.learned[where], len(key)).astype(np.int64)
+        return a[order], b[order], seen, target[order], of_token
+
+
+def chunk_pairs(read: DataFrame, known: DataFrame, model: Model, targets: int) -> DataFrame:
+    """PAIR_ROWS: a chunk's pairs for each destination; `before` has a hash for each of `runs`, the other lists a value for each pair."""
+
+    def run(docs: pa.Table, tokens: pa.Table) -> pa.Table:
+        chunk = Chunk.of(docs, tokens)
+        a, b, seen, target, _ = chunk.pairs(targets)
+        ends = np.searchsorted(target, np.arange(targets), "right")
+        some = np.flatnonzero(np.diff(ends, prepend=0))
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (target[1:] != target[:-1]))) if len(a) else np.zeros(0, bool)
+        starts = np.flatnonzero(new)
+        run_ends = np.searchsorted(starts, ends[some])
+        bucket = chunk.h[b] & (BUCKETS - 1)
+        # A token that can't have a feature is sent without a share.
+        share = np.where(chunk.c[b] >= SEEN, model.share(chunk.c[b], bucket), 0)
+        ends = ends[some]
+        columns = {"before": _lists(chunk.h[a[starts]], run_ends), "runs": _lists(np.diff(np.append(starts, len(a))).astype(np.int32), run_ends), "bucket": _lists(bucket.astype(np.int16), ends), "token": _lists((chunk.h[b] >> 9).astype(np.int32), ends), "share": _lists(share.astype(np.float32), ends), "n": _lists(seen.astype(np.int32), ends)}
+        return pa.Table.from_batches([_rows(PAIR_ROWS, chunk=pa.array(np.full(len(some), docs.column("chunk")[0].as_py() if len(docs) else 0)), target=pa.array(some), **columns)])
+
+    left = read.filter("at IS NOT NULL").select("chunk", "doc_id", "learns", "at")
+    right = known.select(F.col("chunk").alias("of"), "lid", "h", "c")
+    return left.groupBy("chunk").cogroup(right.groupBy("of")).applyInArrow(run, PAIR_ROWS)
+
+
+def fit_pairs(unit: np.ndarray, token: np.ndarray, share: np.ndarray, n: np.ndarray, rounds: int = PAIR_ROUNDS) -> np.ndarray:
+    """What the third softmax adds to log share for every pair; pairs of a unit (token before, bucket) are one softmax.
+
+    Pairs may repeat: their counts n are summed. Only those with a share that are seen SEEN times or more have a feature.
+    """
+    order = np.lexsort((token, unit))
+    unit_s, token_s = unit[order], token[order]
+    new = np.concatenate(([True], (unit_s[1:] != unit_s[:-1]) | (token_s[1:] != token_s[:-1])))
+    starts = np.flatnonzero(new)
+    seen, p = np.add.reduceat(n[order], starts).astype(float), share[order][starts].astype(float)
+    number = np.cumsum(np.concatenate(([True], unit_s[1:] != unit_s[:-1]))) - 1
+    whole = np.bincount(number, n[order])
+    of = number[starts]
+    featured = np.flatnonzero((seen >= SEEN) & (p > 0))
+    w = np.zeros(len(starts))
+    f_of, f_seen, f_p, f_w = of[featured], seen[featured], p[featured], np.zeros(len(featured))
+    all_of = whole[f_of]
+    for _ in range(rounds):
+        raised = f_p * np.exp(f_w)
+        q = raised / (1 + np.bincount(f_of, raised - f_p, len(whole)))[f_of]
+        slope = f_seen - all_of * q - f_w / VARIANCE
+        f_w += np.clip(slope / (all_of * q * (1 - q) + 1 / VARIANCE), -PAIR_STEP, PAIR_STEP)
+    w[featured] = f_w
+    log_sum = np.log1p(np.bincount(f_of, f_p * np.expm1(f_w), len(whole)))
+    out = np.empty(len(unit))
+    out[order] = w[np.cumsum(new) - 1] - log_sum[number]
     return out
 
 
-def _first_weights(table: DataFrame) -> dict[str, np.ndarray]:
-    """Where the updates start: the n-gram features at the logarithms of smoothed shares, the others at zero."""
+def pair_scores(pairs: DataFrame, rounds: int = PAIR_ROUNDS) -> DataFrame:
+    """`chunk`, `target`, `added`: what the third softmax adds to each pair's log10 share, in the order that the pairs came in."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for before, counts in _dense(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(before), pa.array([c.tobytes() for c in counts.sum(axis=1)], pa.binary())], ["before", "data"])
-
-    counts = np.zeros((BEFORE, CLASSES, WIDTH))
-    for before, data in table.mapInArrow(run, "before long, data binary").collect():
-        counts[before] += np.frombuffer(data).reshape(CLASSES, WIDTH)
-    whole = counts.sum(axis=0) + SMOOTH
-    class_share, bucket_share = whole.sum(axis=1) / whole.sum(), whole / whole.sum(axis=1, keepdims=True)
-    of_class = counts.sum(axis=2)
-    return {
-        "class_ngram": np.log(of_class + 20 * class_share) - np.log(of_class.sum(axis=1, keepdims=True) + 20),
-        "class_skip": np.zeros((GROUPS, CLASSES)),
-        "class_pair": np.zeros((PAIRS, CLASSES)),
-        "bucket_ngram": (np.log(counts + 20 * bucket_share) - np.log(of_class[..., None] + 20)).reshape(BEFORE, BUCKETS),
-        "bucket_skip": np.zeros((GROUPS, BUCKETS)),
-    }
-
-
-def train(rows: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Gathers what the model needs from all training rows and counts, and updates its weights by gradients."""
-    n_tokens, n_distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    # As many rows as there are buckets of their own: a fixed number.
-    frequent = [(bytes(r.token), r.c) for r in counts.filter(F.length("token") > 0).orderBy(F.desc("c"), "token").limit(CLASSES * OWN - 1).collect()]
-    own = own_buckets([t for t, _ in frequent])
-    total, distinct = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for bucket, c, n in counts.groupBy(_hashed_bucket("token").alias("b")).agg(F.sum("c"), F.count(F.lit(1))).collect():
-        total[bucket], distinct[bucket] = c, n
-    ends = counts.filter(F.length("token") == 0).first()
-    for token, c in [*frequent, (END, ends.c if ends else 0)]:
-        if c:
-            total[hashed_bucket(token)] -= c
-            distinct[hashed_bucket(token)] -= 1
-            total[own[token]], distinct[own[token]] = c, 1
-    table = written(history_counts(rows, own).repartition("before"), "histories").repartition("before")
-    weights = _first_weights(table)
-    for _ in range(rounds if n_tokens else 0):
-        for kind, (slope, expected) in gradients(table, weights).items():
-            weights[kind] = weights[kind] + RATE * (slope - PRIOR * SMOOTH * weights[kind] * (kind not in ("class_ngram", "bucket_ngram"))) / (expected + PRIOR)
-    return Model(n_tokens, n_distinct, own, total, distinct, {k: v.astype(np.float32) for k, v in weights.items()})
+    def run(table: pa.Table) -> pa.Table:
+        runs, bucket = _joined(table.column("runs")), _joined(table.column("bucket")).astype(np.int64)
+        before = np.unique(_joined(table.column("before")), return_inverse=True)[1]
+        added = fit_pairs(np.repeat(before, runs) * BUCKETS + bucket, *(_joined(table.column(c)) for c in ("token", "share", "n")), rounds) / np.log(10) if len(bucket) else np.empty(0)
+        return pa.table({"chunk": table.column("chunk"), "target": table.column("target"), "added": _lists(added.astype(np.float32), np.cumsum(_sizes(table.column("bucket"))))})
+
+    return pairs.groupBy("target").applyInArrow(run, "chunk long, target int, added array<float>")
 
 
-def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, pair_rounds: int = PAIR_ROUNDS) -> DataFrame:
     """`doc_id`, `n_tokens`, `n_known`, `train_tokens`, `base_score`, `score` of every text; `learns` is a condition on `doc_id`."""
-    rows, n_chunks = chunked(docs, learns, id_col, text_col)
-    tokens = written(chunk_tokens(rows, n_chunks), "tokens")
-    counts = written(tokens.filter("n > 0").groupBy("token").agg(F.sum("n").alias("c")), "counts")
-    model = train(rows, counts, rounds)
-    known = tokens.join(counts, "token", "left").select("chunk", "token", F.coalesce("c", F.lit(0)).alias("c"))
-    schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-    names = [c.split()[0] for c in schema.split(", ")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    read = written(read_chunks(rows.withColumn("learns", F.coalesce(learns, F.lit(False))), partitions_for(size, TOKENS_OF, 1)), "chunks")
+    known = written(count_tokens(read), "known")
+    total, distinct = np.zeros((2, BUCKETS))
+    for bucket, c, n in known.filter("total IS NOT NULL").select(F.posexplode(F.arrays_zip("total", "members"))).groupBy("pos").agg(F.sum("col.total"), F.sum("col.members")).collect():
+        total[bucket], distinct[bucket] = c, n
+    table = written(history_counts(read), "histories").repartition(SHARDS, "shard")
+    model = train(table, int(total.sum()), int(distinct.sum()), total, distinct, rounds)
+    targets = partitions_for(size, PAIRS_OF, 1)
+    added = written(pair_scores(chunk_pairs(read, known, model, targets), pair_rounds), "added")
     expanded: list[np.ndarray] = []  # filled once by each task
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not expanded:
             expanded.append(model.table())
-        table = expanded[0]
-        token, c = right.column("token").to_pylist(), right.column("c").to_numpy()
-        buckets = np.array(Bucketer(model.own).of(token), np.int64)
-        place = {t: i for i, t in enumerate(token)}.__getitem__
-        base, inside = model.base(c), model.in_bucket(c, buckets)
-        out = []
-        for text in left.column("text"):
-            at = np.array(list(map(place, words_of(text.as_py()))), np.int64)
-            history = histories(buckets[at], np.zeros(1, np.int64))
-            out.append((len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(inside[at].sum() + table[history, buckets[at]].sum(dtype=np.float64))))
-        columns = [pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))] if out else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-        return pa.Table.from_arrays([left.column("doc_id"), *columns], names)
-
-    found = rows.select("doc_id", "text", "chunk").groupBy("chunk").cogroup(known.withColumnRenamed("chunk", "of").groupBy("of")).applyInArrow(run, schema)
+        is_known = pa.compute.is_valid(right.column("lid"))
+        chunk = Chunk.of(left, right.filter(is_known))
+        parts = right.filter(pa.compute.invert(is_known)).sort_by("target")
+        of_pair = np.append(_joined(parts.column("added")), 0)
+        buckets, c = (chunk.h & (BUCKETS - 1))[chunk.at], chunk.c[chunk.at]
+        begins = np.cumsum(chunk.sizes) - chunk.sizes
+        inside = np.log10(model.share(c, buckets)) + expanded[0][histories(buckets, begins), buckets] + of_pair[chunk.pairs(targets)[4]]
+        sums = (np.add.reduceat(x, begins) for x in ((c > 0).astype(np.int64), model.base(c), inside.astype(float)))
+        return pa.Table.from_batches([_rows(SCORED, **dict(zip(_names(SCORED), (chunk.doc_id.combine_chunks(), *map(pa.array, (chunk.sizes, *sums))))))])
+
+    left = read.filter("at IS NOT NULL").select("chunk", "doc_id", "learns", "at")
+    right = known.select("chunk", "lid", "h", "c").unionByName(added, True).withColumnRenamed("chunk", "of")
+    found = left.groupBy("chunk").cogroup(right.groupBy("of")).applyInArrow(run, SCORED)
     return found.withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))

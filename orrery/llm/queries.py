@@ -31,7 +31,7 @@ def op3_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probability under a model of nine tenths of them."""
     fold = split_of("doc_id", 10)
     found = maxent.scored(table(spark, sf_dir, "documents"), fold != 0)
-    return found.select("doc_id", F.coalesce(fold == 0, F.lit(True)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", F.coalesce(fold == 0, F.lit(True)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", ((F.col("score") - F.col("base_score")) / F.col("n_tokens")).alias("gain_per_token"))
 
 
 def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
