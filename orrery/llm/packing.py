@@ -6,7 +6,8 @@ partitions, each of a bounded number of items, pack them by best fit again, unti
 hardly saves a bin. Pieces don't move; a table of the bins that were put into others gives their final places.
 
 Edge cases: a null or empty text is the closing token alone. Ids may be null or repeat: each row's pieces are packed, none
-twice. An empty table gives no pieces. Other columns are neither read nor returned.
+twice. A very long text is held once, with its ids (four bytes each). An empty table gives no pieces. Other columns are
+neither read nor returned.
 """
 
 from __future__ import annotations
@@ -32,14 +33,17 @@ NEARLY = 0.01
 #: A round that saves less than this share of its bins is the last.
 WORTHWHILE = 0.005
 REMEMBERED = 600_000
+#: Last bytes of a word that are tokens of their own behind one of these letters (words have A-Z lower-cased).
+MARKS, PLAIN = frozenset((b".", b",")), frozenset(bytes([c]) for c in b"abcdefghijklmnopqrstuvwxyz")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordTokenizer:
     """Ids of texts under a tokenizer that lower-cases and drops white space, so that each word has ids of its own.
 
-    Words are encoded once and remembered, up to a bound. New words that are letters only are encoded many in one string:
-    each makes one run of tokens up to a token that ends a word.
+    Words are encoded once and remembered, up to a bound. New words are encoded many in one string; a token belongs to the
+    word in which it starts. A comma or full stop behind a plain letter is always a token of its own, so such words are put
+    together from two that are known.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,37 +51,26 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
         """Puts the ids of these words among those known."""
-        stems, marked, plain, other = {}, [], [], []
+        stems, marked = {}, []
         for word in words:
-            if word[-1:] in (b".", b",") and word[:-1].decode()[-1:].isalpha():
+            if word[-1:] in MARKS and word[-2:-1] in PLAIN:
                 marked.append(word)
                 stems[word[:-1]] = stems[word[-1:]] = None
             else:
                 stems[word] = None
-        for word in stems.keys() - self.known.keys():
-            (plain if (text := word.decode()).isalpha() else other).append(text)
-        for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
-                other += part
-                continue
-            data, begun = ids.tobytes(), 0
-            for text, cut in zip(part, (4 * cuts).tolist()):
-                self.known[text.encode()] = data[begun:cut]
-                begun = cut
-        for i in range(0, len(other), 1000):
-            part = other[i : i + 1000]
-            for text, encoding in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[text.encode()] = np.array(encoding.ids, "<u4").tobytes()
+        new = [word for word in stems if word not in self.known]
+        for i in range(0, len(new), 1000):
+            part = [word.decode() for word in new[i : i + 1000]]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+            sizes = np.fromiter(map(len, part), np.int64, len(part)) + 1
+            cuts = (4 * np.append(starts.searchsorted(np.cumsum(sizes) - sizes), len(starts))).tolist()
+            data = np.array(found.ids, "<u4").tobytes()
+            self.known.update((word, data[a:b]) for word, a, b in zip(new[i : i + 1000], cuts, cuts[1:]))
         for word in marked:
             self.known[word] = self.known[word[:-1]] + self.known[word[-1:]]
 
@@ -173,7 +166,8 @@ def _pack(items: DataFrame, by: list[str], level: int, capacity: int) -> DataFra
 def pack(parts: DataFrame, capacity: int = CAPACITY, items: int = ITEMS) -> DataFrame:
     """`parts` (any columns besides doc_id, piece and length stay) with `sequence_id` and `offset`."""
     count = parts.count()
-    first = parts.repartition(partitions_for(count, items), "doc_id", "piece")
+    # Dealt in turn, not by a key: an id may be missing or be on many rows.
+    first = parts.repartition(partitions_for(count, items))
     placed = written(_pack(first, ["doc_id", "piece"], 0, capacity), "placed")
     underfull = placed.filter(F.col("fill") < capacity * (1 - NEARLY)).select("bin", F.col("fill").alias("length"))
     moves = None
