@@ -1,18 +1,19 @@
 """Chat formatting in budgeted windows that end at turns.
 
-Prefix sums of the turns' tokens, made by a window function, choose the spans: a span takes as many turns as the budget
-allows. Every span after the first repeats the conversation's opening system turn and as much of the latest history as the
-history budget allows, whole turns only. What is repeated is context: the loss mask covers each assistant text once.
+Prefix sums of the turns' tokens choose the spans: a span takes as many turns as the budget allows. Every span after the
+first repeats the conversation's opening system turn and as much of the latest history as the history budget allows, whole
+turns only. What is repeated is context: the loss mask covers each assistant text once.
 
 Turns are marked `<|im_start|>role`, a line break, the text, `<|im_end|>` and a line break. In texts and roles a backslash
 is put behind the `<` or `[` that begins a control string, also if backslashes already stand there; taking one away again
-gives the original. A line break in a role is written as two escaped characters.
+gives the original. In a role a line break is written `%0A` and a percent sign `%25`.
 
 Turns are dealt by conversation and read in order of turn, role and text; a task holds the turns of one window and its
 history, never a whole conversation, however long it is.
 
 Edge cases: a null role or text counts as empty, null conversation ids form one conversation, null turns come first,
-repeated rows are turns of their own. A single turn beyond the budget gets a window of its own and isn't cut. No rows give
+repeated rows are turns of their own. A single turn beyond the budget gets a window of its own and isn't cut; no other
+window exceeds the budget. The system turn is left out where it and the window's first turn together would. No rows give
 no windows. Columns other than the four are neither read nor returned.
 """
 
@@ -103,14 +104,15 @@ class _Windows:
         self.seen += 1
 
     def _open(self, tokens: int, upto: int) -> None:
-        left = self.budget - tokens - sum(t[2] for t in self.system)
+        system = self.system if tokens + sum(t[2] for t in self.system) <= self.budget else []
+        left = self.budget - tokens - sum(t[2] for t in system)
         context, used = [], 0
         for turn in reversed(self.recent):
             if used + turn[2] > left:
                 break
             context.append(turn)
             used += turn[2]
-        self.context, self.turns, self.begun_at = self.system + context[::-1], [], upto - tokens
+        self.context, self.turns, self.begun_at = system + context[::-1], [], upto - tokens
 
     def close(self) -> tuple:
         text, loss = _format(self.context + self.turns, len(self.context))
