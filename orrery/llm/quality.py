@@ -9,7 +9,7 @@ weighted back to the classes' true shares; a document has at most `MOST` passage
 whole texts count and the sample's size is bounded. Scoring reads every whole text once.
 
 Edge cases: labels other than 0 and 1, null ids, and documents labelled both ways teach nothing; repeated labels count once,
-repeated documents each. Without labels of both classes the score is the share of label 1 (0.5 without any). Null and empty
+and so do rows with one id, of which the one with the least description teaches. Without labels of both classes the score is the share of label 1 (0.5 without any). Null and empty
 texts have one passage without words and get a score like any other. Other columns are neither read nor returned.
 """
 
@@ -197,8 +197,9 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, label_col: str = "
                 part = batch.slice(begun, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["doc_id", "y", "x"])
 
-    found = picked.select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text").mapInArrow(run, "doc_id long, y int, x binary").collect()
-    found.sort(key=lambda r: (r.doc_id, bytes(r.x)))
+    described = picked.select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text").mapInArrow(run, "doc_id long, y int, x binary")
+    # One row for each id that was chosen, however often a document is repeated.
+    found = sorted(described.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("x").alias("x")).collect())
     if not found:
         return Model(0.5)
     xs = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in found]
