@@ -39,7 +39,10 @@ REMEMBERED, CHUNK = 400_000, 6_000_000
 
 #: What counts as a word's character but is no letter: numbers of other kinds than digits, such as fractions.
 _NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+#: The same in two patterns: one of the characters up to U+FFFF, which is searched for quickly, one of all.
+_NUMBER, _ANY_NUMBER = re.compile(f"[{''.join(c for c in _NUMBERS if c <= chr(0xFFFF))}]"), re.compile(f"[{_NUMBERS}]")
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+_WORD = re.compile(r"[^\W\d_]+")
 #: First code point of each range of scripts, in order.
 _RANGES = (
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -57,9 +60,13 @@ _FIRST = [first for first, _ in _RANGES]
 
 
 def lowered(text: str) -> str:
-    """The text in lower case, every character in its place."""
+    """The text in lower case, every character in its place, numbers that `_WORD` would take for letters as spaces."""
     low = text.lower()
-    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+    if len(low) != len(text):
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+    if low.isascii() or not (_NUMBER.search(low) or _BEYOND.search(low)):
+        return low
+    return _ANY_NUMBER.sub(" ", low)
 
 
 def script(word: str) -> str:
@@ -207,7 +214,8 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, id_col: str
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def labelled(labeller: Labeller, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-        words = [_WORD.findall(lowered(text)) if model.langs else [] for text in texts]
+        texts = list(map(lowered, texts))
+        words = [_WORD.findall(text) if model.langs else [] for text in texts]
         names, scores, found = [], [], []
         for text, labels in zip(texts, labeller.label(words)) if model.langs else ((t, []) for t in texts):
             if not len(labels):
@@ -215,7 +223,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, id_col: str
                 continue
             counts = np.bincount(labels)
             names.append(model.langs[counts.argmax()]), scores.append(counts.max() / len(labels))
-            found.append(spans(lowered(text), labels, model.langs))
+            found.append(spans(text, labels, model.langs))
         return pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(found, kind)], ["doc_id", "lang_pred", "score", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

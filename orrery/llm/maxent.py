@@ -20,8 +20,8 @@ all its pairs are dealt to one task, which takes the steps there; the weights ne
 
 How texts and counts meet. Each task reads its documents in chunks of about `CHUNK` bytes, numbers each chunk's distinct tokens,
 and writes the documents as these numbers. Distinct tokens, not occurrences, go to the task that counts them, and their counts
-come back to the chunk; so do a chunk's distinct pairs and what the third softmax gives them. What travels is arrays, one for a
-chunk and a destination. Pairs behind a frequent token are dealt by bucket too, so that no task gets all of them.
+come back to the chunk; so do a chunk's distinct pairs and what the third softmax gives them. What travels is compressed arrays,
+one for a chunk and a destination. Pairs behind a frequent token are dealt by bucket too, so that no task gets all of them.
 
 Edge cases: null and empty texts are the end token alone. Null ids are never learned from (they have no fold) and are scored.
 Repeated rows count each time. If nothing can be learned from, every token is unknown. A text longer than a chunk is one of its
@@ -37,6 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,13 +60,13 @@ PAIR_ROUNDS, PAIR_STEP, VARIANCE, SEEN = 12, 2.0, 8.0, 2
 FREQUENT = 4096
 SMOOTH = 0.1
 END = b""
-#: Bytes of a chunk, and of the texts that make one destination of tokens and of pairs.
-CHUNK, TOKENS_OF, PAIRS_OF = 8_000_000, 32_000_000, 16_000_000
+#: Bytes of a chunk, of the texts in one row of it, and of those that make one destination of tokens and of pairs.
+CHUNK, PART, TOKENS_OF, PAIRS_OF = 8_000_000, 1_000_000, 32_000_000, 16_000_000
 #: Parts that the histories are divided into by the bucket before.
 SHARDS = 16
-READ = "chunk long, doc_id long, learns boolean, at array<int>, target int, lid array<int>, token array<binary>, h array<long>, n array<long>, shard int, cell array<int>"
-KNOWN = "chunk long, lid array<int>, h array<long>, c array<long>, total array<long>, members array<long>"
-PAIR_ROWS = "chunk long, target int, before array<long>, runs array<int>, bucket array<short>, token array<int>, share array<float>, n array<int>"
+READ = "chunk long, doc_id array<long>, learns array<boolean>, size array<long>, at binary, target int, token binary, shard int, cell binary, n binary"
+KNOWN = "chunk long, target int, h binary, c binary, total array<long>, members array<long>"
+PAIR_ROWS = "chunk long, target int, before binary, runs binary, token binary, c binary, n binary"
 SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -73,30 +74,34 @@ def _names(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]
 
 
-def _rows(schema: str, **columns: pa.Array) -> pa.RecordBatch:
+def _rows(schema: str, **columns: list | np.ndarray | pa.Array) -> pa.RecordBatch:
     """A batch with these columns, nulls in the others."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "short": pa.int16(), "float": pa.float32(), "binary": pa.binary()}
-    n = len(next(iter(columns.values())))
-    parts = []
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+    n, parts = len(next(iter(columns.values()))), []
     for name, kind in (p.split() for p in schema.split(", ")):
         kind = pa.list_(kinds[kind[6:-1]]) if kind.startswith("array") else kinds[kind]
-        parts.append(columns[name].cast(kind) if name in columns else pa.nulls(n, kind))
+        parts.append(pa.array(columns[name], kind) if name in columns else pa.nulls(n, kind))
     return pa.RecordBatch.from_arrays(parts, _names(schema))
 
 
-def _lists(values: np.ndarray | pa.Array, ends: np.ndarray) -> pa.ListArray:
-    """One list for each of the runs of `values` that end there."""
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
+def _pack(values: np.ndarray) -> bytes:
+    """An array's bytes, compressed; all first bytes come first, since the last ones are often the same."""
+    return zstandard.compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), 1)
 
 
-def _joined(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """All values of a column of lists."""
-    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
-    return np.concatenate([p.flatten().to_numpy(zero_copy_only=False) for p in parts] or [np.empty(0, np.int64)])
+def _unpack(data: bytes, kind: type = np.int64) -> np.ndarray:
+    flat = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _joined(column: pa.Array | pa.ChunkedArray, kind: type = np.int64) -> np.ndarray:
+    """The arrays in a column of packed ones, one behind the other."""
+    return np.concatenate([np.empty(0, kind), *(_unpack(x.as_buffer(), kind) for x in column)])
 
 
-def _sizes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+def _flat(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """All values of a column of lists."""
+    return pa.concat_arrays([x.flatten() for x in (column.chunks if isinstance(column, pa.ChunkedArray) else [column])])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -104,6 +109,20 @@ def words_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
+def numbered(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """`words_of` many texts: each token's number, each text's number of tokens, and the distinct tokens by number."""
+    # A copy that begins at its buffer's start: splitting goes wrong on parts of an array.
+    whole = pa.concat_arrays([pa.array([], pa.string()), *(c.cast(pa.string()) for c in pa.compute.fill_null(texts, "").chunks)])
+    lists = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(whole))
+    flat, length = lists.flatten(), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+    doc, filled = np.repeat(np.arange(len(length)), length), pa.compute.not_equal(flat, "")
+    coded, doc = flat.filter(filled).dictionary_encode(), doc[filled.to_numpy(zero_copy_only=False)]
+    sizes = np.bincount(doc, minlength=len(length)) + 1
+    code = np.full(len(doc) + len(length), len(coded.dictionary), np.int64)
+    code[np.arange(len(doc)) + doc] = coded.indices.to_numpy()
+    return code, sizes, pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
+
+
 def bucket_of(token: bytes) -> int:
     """The token's bucket; its class is the bucket by WIDTH."""
     if len(token) <= SHORT:
@@ -168,76 +187,81 @@ def histories(buckets: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 def read_chunks(rows: DataFrame, targets: int) -> DataFrame:
     """Three kinds of rows in one table (READ): documents as their chunk's token numbers; for a chunk and a destination the
-    distinct tokens, their hashes and training counts; and for a shard of histories the cells and their counts."""
+    distinct tokens, in the order of their numbers, and training counts; and for a shard of histories the cells and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         cells = np.zeros(BEFORE * GROUPS * BUCKETS, np.int64)
-        ids, learns, sizes, at, lids, size = [], [], [], [], {}, 0
+        held: list[pa.RecordBatch] = []
+        size = 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            chunk = (task << 32) + number
-            flat, ends = np.array(at, np.int32), np.cumsum(sizes)
-            for i in range(0, len(ids), 2000):
-                part = ends[i : i + 2000]
-                begin = int(ends[i] - sizes[i])
-                yield _rows(READ, chunk=pa.array([chunk] * len(part)), doc_id=pa.array(ids[i : i + 2000], pa.int64()), learns=pa.array(learns[i : i + 2000]), at=_lists(flat[begin : part[-1]], part - begin))
-            tokens = list(lids)
-            h = np.fromiter(map(hash_of, tokens), np.int64, len(tokens))
-            learned = np.repeat(np.array(learns, bool), sizes)
-            counts = np.bincount(flat[learned], minlength=len(tokens))
-            target = (h >> 9) % targets
-            order = np.argsort(target, kind="stable")
-            ends = np.searchsorted(target[order], np.arange(targets), "right")
-            some = np.flatnonzero(np.diff(ends, prepend=0))
-            values = pa.array(tokens, pa.binary()).take(pa.array(order))
-            yield _rows(READ, chunk=pa.array([chunk] * len(some)), target=pa.array(some), lid=_lists(order, ends[some]), token=_lists(values, ends[some]), h=_lists(h[order], ends[some]), n=_lists(counts[order], ends[some]))
-            buckets = (h & (BUCKETS - 1))[flat]
-            key = histories(buckets, np.cumsum(sizes) - sizes)[learned] * BUCKETS + buckets[learned]
-            np.add.at(cells, key, 1)
+            docs, chunk = pa.Table.from_batches(held), (task << 32) + number
+            code, sizes, tokens = numbered(docs.column("text"))
+            target = np.fromiter(map(zlib.crc32, tokens.to_pylist()), np.int64, len(tokens)) % targets
+            order = pa.compute.sort_indices(pa.table({"target": target, "token": tokens}), [("target", "ascending"), ("token", "ascending")]).to_numpy()
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order))
+            at, ends = place[code], np.cumsum(sizes)
+            i = 0
+            for part in held:
+                j = i + len(part)
+                yield _rows(READ, chunk=[chunk], doc_id=[part.column("doc_id").to_pylist()], learns=[part.column("learns").to_pylist()], size=[sizes[i:j].tolist()], at=[_pack(at[ends[i] - sizes[i] : ends[j - 1]])])
+                i = j
+            learned = np.repeat(docs.column("learns").to_numpy(zero_copy_only=False).astype(bool), sizes)
+            counts = np.bincount(at[learned], minlength=len(tokens)).astype(np.int64)
+            ordered = tokens.take(pa.array(order)).to_pylist()
+            cuts = np.searchsorted(target[order], np.arange(targets + 1))
+            some = np.flatnonzero(np.diff(cuts))
+            runs = [slice(cuts[t], cuts[t + 1]) for t in some]
+            yield _rows(READ, chunk=[chunk] * len(some), target=some, token=[zstandard.compress(b"\n".join(ordered[r]), 1) for r in runs], n=[_pack(counts[r]) for r in runs])
+            buckets = np.fromiter(map(bucket_of, ordered), np.int64, len(ordered))[at]
+            np.add.at(cells, histories(buckets, ends - sizes)[learned] * BUCKETS + buckets[learned], 1)
 
         for batch in batches:
-            for doc_id, text, learn in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                words = words_of(text.as_py())
-                at += [lids.setdefault(w, len(lids)) for w in words]
-                ids.append(doc_id), learns.append(learn), sizes.append(len(words))
-                size += len(text.as_py() or "") + 1
+            bytes_of = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False) + 1)
+            i = 0
+            while i < len(batch):
+                # Up to PART bytes, a text more where there is room for none.
+                done = bytes_of[i - 1] if i else 0
+                j = max(i + 1, int(np.searchsorted(bytes_of, done + PART, "right")))
+                held.append(batch.slice(i, j - i))
+                size += int(bytes_of[j - 1] - done)
+                i = j
                 if size >= CHUNK:
                     yield from close()
-                    number += 1
-                    ids, learns, sizes, at, lids, size = [], [], [], [], {}, 0
-        if ids:
+                    held, size, number = [], 0, number + 1
+        if held:
             yield from close()
         per = -(-BEFORE // SHARDS) * GROUPS * BUCKETS
         some = np.flatnonzero(cells)
         if len(some):
-            ends = np.searchsorted(some, per * np.arange(1, SHARDS + 1))
-            yield _rows(READ, shard=pa.array(np.arange(SHARDS)), cell=_lists(some.astype(np.int32), ends), n=_lists(cells[some], ends))
+            cuts = np.searchsorted(some, per * np.arange(SHARDS + 1))
+            runs = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+            yield _rows(READ, shard=np.arange(SHARDS), cell=[_pack(np.diff(some[r], prepend=0)) for r in runs], n=[_pack(cells[some[r]]) for r in runs])
 
     return rows.mapInArrow(run, READ)
 
 
 def count_tokens(read: DataFrame) -> DataFrame:
-    """KNOWN rows: for a chunk and a destination its tokens' counts in all training texts; on a destination's first row the
-    count and the number of different training tokens of each bucket."""
+    """KNOWN rows: for a chunk and a destination its tokens' hashes and counts in all training texts; on a destination's first
+    row the count and the number of different training tokens of each bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        tokens = pa.concat_arrays([c.flatten() for c in table.column("token").chunks])
-        place = tokens.dictionary_encode().indices.to_numpy()
-        h, n, sizes = _joined(table.column("h")), _joined(table.column("n")), _sizes(table.column("token"))
-        c = np.zeros(int(place.max()) + 1, np.int64)
-        np.add.at(c, place, n)
-        first = np.unique(place, return_index=True)[1]
-        first = first[c[place[first]] > 0]
-        bucket = h[first] & (BUCKETS - 1)
+        lists = [zstandard.decompress(x.as_buffer()).split(b"\n") for x in table.column("token")]
+        coded = pa.array([t for some in lists for t in some], pa.binary()).dictionary_encode()
+        place, c = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(c, place, _joined(table.column("n")))
+        h = np.fromiter(map(hash_of, coded.dictionary.to_pylist()), np.int64, len(c))
         stats = np.zeros((2, BUCKETS), np.int64)
-        np.add.at(stats[0], bucket, c[place[first]])
-        np.add.at(stats[1], bucket, 1)
-        ends = np.cumsum(sizes)
-        one = [pa.array([s.tolist(), *[None] * (len(sizes) - 1)], pa.list_(pa.int64())) for s in stats]
-        return pa.Table.from_batches([_rows(KNOWN, chunk=table.column("chunk").combine_chunks(), lid=_lists(_joined(table.column("lid")), ends), h=_lists(h, ends), c=_lists(c[place], ends), total=one[0], members=one[1])])
+        np.add.at(stats[0], h & (BUCKETS - 1), c)
+        np.add.at(stats[1], h & (BUCKETS - 1), c > 0)
+        cuts = np.cumsum([0, *map(len, lists)])
+        runs = [place[a:b] for a, b in zip(cuts, cuts[1:])]
+        once = [[s.tolist(), *[None] * (len(runs) - 1)] for s in stats]
+        return pa.Table.from_batches([_rows(KNOWN, chunk=table.column("chunk").combine_chunks(), target=table.column("target").combine_chunks(), h=[_pack(h[r]) for r in runs], c=[_pack(c[r]) for r in runs], total=once[0], members=once[1])])
 
-    return read.filter("target IS NOT NULL").select("chunk", "target", "lid", "token", "h", "n").groupBy("target").applyInArrow(run, KNOWN)
+    return read.filter("target IS NOT NULL").select("chunk", "target", "token", "n").groupBy("target").applyInArrow(run, KNOWN)
 
 
 def history_counts(read: DataFrame) -> DataFrame:
@@ -246,7 +270,8 @@ def history_counts(read: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         shard, counts = table.column("shard")[0].as_py(), np.zeros(per)
-        np.add.at(counts, _joined(table.column("cell")) - shard * per, _joined(table.column("n")))
+        for cell, n in zip(table.column("cell"), table.column("n")):
+            counts[np.cumsum(_unpack(cell.as_buffer())) - shard * per] += _unpack(n.as_buffer())
         return pa.table({"shard": pa.array([shard], pa.int32()), "data": pa.array([counts.astype(np.float32).tobytes()], pa.binary())})
 
     return read.filter("shard IS NOT NULL").select("shard", "cell", "n").groupBy("shard").applyInArrow(run, "shard int, data binary")
@@ -317,12 +342,10 @@ class Chunk:
 
     @classmethod
     def of(cls, docs: pa.Table, known: pa.Table) -> Chunk:
-        sizes = _sizes(docs.column("at"))
-        lid = _joined(known.column("lid"))
-        c, h = (np.zeros(len(lid), np.int64) for _ in range(2))
-        c[lid], h[lid] = _joined(known.column("c")), _joined(known.column("h"))
-        learns = docs.column("learns").to_numpy(zero_copy_only=False).astype(bool)
-        return cls(docs.column("doc_id"), sizes, np.repeat(learns, sizes), _joined(docs.column("at")), c, h)
+        known = known.sort_by("target")
+        sizes = _flat(docs.column("size")).to_numpy()
+        learns = _flat(docs.column("learns")).to_numpy(zero_copy_only=False).astype(bool)
+        return cls(_flat(docs.column("doc_id")), sizes, np.repeat(learns, sizes), _joined(docs.column("at"), np.int32), _joined(known.column("c")), _joined(known.column("h")))
 
     def pairs(self, targets: int) -> tuple[np.ndarray, ...]:
         """Distinct pairs (numbers of both tokens) whose first token may have features, how often training texts hold them, and
@@ -336,7 +359,7 @@ class Chunk:
         key, which = np.unique(self.at[where - 1].astype(np.int64) * n + self.at[where], return_inverse=True)
         a, b = np.divmod(key, n)
         bucket = self.h[b] & (BUCKETS - 1)
-        target = ((self.h[a] >> 9) + np.where(self.c[a] >= FREQUENT, bucket * 7919, 0)) % targets
+        target = ((self.h[a] >> 41) + np.where(self.c[a] >= FREQUENT, bucket * 7919, 0)) % targets
         order = np.argsort(target, kind="stable")
         place = np.empty(len(key), np.int64)
         place[order] = np.arange(len(key))
@@ -346,33 +369,30 @@ class Chunk:
         return a[order], b[order], seen, target[order], of_token
 
 
-def chunk_pairs(read: DataFrame, known: DataFrame, model: Model, targets: int) -> DataFrame:
-    """PAIR_ROWS: a chunk's pairs for each destination; `before` has a hash for each of `runs`, the other lists a value for each pair."""
+def chunk_pairs(read: DataFrame, known: DataFrame, targets: int) -> DataFrame:
+    """PAIR_ROWS: a chunk's pairs for each destination; `before` has a hash for each of `runs`, the others a value for each pair:
+    the second token's hash, whose last bits are its bucket, and its count, and how often training texts hold the pair."""
 
     def run(docs: pa.Table, tokens: pa.Table) -> pa.Table:
         chunk = Chunk.of(docs, tokens)
         a, b, seen, target, _ = chunk.pairs(targets)
-        ends = np.searchsorted(target, np.arange(targets), "right")
-        some = np.flatnonzero(np.diff(ends, prepend=0))
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (target[1:] != target[:-1]))) if len(a) else np.zeros(0, bool)
-        starts = np.flatnonzero(new)
-        run_ends = np.searchsorted(starts, ends[some])
-        bucket = chunk.h[b] & (BUCKETS - 1)
-        # A token that can't have a feature is sent without a share.
-        share = np.where(chunk.c[b] >= SEEN, model.share(chunk.c[b], bucket), 0)
-        ends = ends[some]
-        columns = {"before": _lists(chunk.h[a[starts]], run_ends), "runs": _lists(np.diff(np.append(starts, len(a))).astype(np.int32), run_ends), "bucket": _lists(bucket.astype(np.int16), ends), "token": _lists((chunk.h[b] >> 9).astype(np.int32), ends), "share": _lists(share.astype(np.float32), ends), "n": _lists(seen.astype(np.int32), ends)}
-        return pa.Table.from_batches([_rows(PAIR_ROWS, chunk=pa.array(np.full(len(some), docs.column("chunk")[0].as_py() if len(docs) else 0)), target=pa.array(some), **columns)])
-
-    left = read.filter("at IS NOT NULL").select("chunk", "doc_id", "learns", "at")
-    right = known.select(F.col("chunk").alias("of"), "lid", "h", "c")
+        cuts, out = np.searchsorted(target, np.arange(targets + 1)), []
+        for t in np.flatnonzero(np.diff(cuts)):
+            first, second, n = (x[cuts[t] : cuts[t + 1]] for x in (a, b, seen))
+            starts = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
+            out.append([t, (chunk.h[first[starts]] >> 9).astype(np.int32), np.diff(np.append(starts, len(first))).astype(np.int32), chunk.h[second].astype(np.int32), chunk.c[second], n])
+        packed = {c: [_pack(r[i]) for r in out] for i, c in enumerate(("before", "runs", "token", "c", "n"), 1)}
+        return pa.Table.from_batches([_rows(PAIR_ROWS, chunk=[docs.column("chunk")[0].as_py()] * len(out), target=[r[0] for r in out], **packed)])
+
+    left = read.filter("at IS NOT NULL").select("chunk", "doc_id", "learns", "size", "at")
+    right = known.select(F.col("chunk").alias("of"), "target", "h", "c")
     return left.groupBy("chunk").cogroup(right.groupBy("of")).applyInArrow(run, PAIR_ROWS)
 
 
 def fit_pairs(unit: np.ndarray, token: np.ndarray, share: np.ndarray, n: np.ndarray, rounds: int = PAIR_ROUNDS) -> np.ndarray:
     """What the third softmax adds to log share for every pair; pairs of a unit (token before, bucket) are one softmax.
 
-    Pairs may repeat: their counts n are summed. Only those with a share that are seen SEEN times or more have a feature.
+    Pairs may repeat: their counts n are summed. Those seen SEEN times or more have a feature.
     """
     order = np.lexsort((token, unit))
     unit_s, token_s = unit[order], token[order]
@@ -382,7 +402,7 @@ def fit_pairs(unit: np.ndarray, token: np.ndarray, share: np.ndarray, n: np.ndar
     number = np.cumsum(np.concatenate(([True], unit_s[1:] != unit_s[:-1]))) - 1
     whole = np.bincount(number, n[order])
     of = number[starts]
-    featured = np.flatnonzero((seen >= SEEN) & (p > 0))
+    featured = np.flatnonzero(seen >= SEEN)
     w = np.zeros(len(starts))
     f_of, f_seen, f_p, f_w = of[featured], seen[featured], p[featured], np.zeros(len(featured))
     all_of = whole[f_of]
@@ -398,16 +418,19 @@ def fit_pairs(unit: np.ndarray, token: np.ndarray, share: np.ndarray, n: np.ndar
     return out
 
 
-def pair_scores(pairs: DataFrame, rounds: int = PAIR_ROUNDS) -> DataFrame:
+def pair_scores(pairs: DataFrame, model: Model, rounds: int = PAIR_ROUNDS) -> DataFrame:
     """`chunk`, `target`, `added`: what the third softmax adds to each pair's log10 share, in the order that the pairs came in."""
 
     def run(table: pa.Table) -> pa.Table:
-        runs, bucket = _joined(table.column("runs")), _joined(table.column("bucket")).astype(np.int64)
-        before = np.unique(_joined(table.column("before")), return_inverse=True)[1]
-        added = fit_pairs(np.repeat(before, runs) * BUCKETS + bucket, *(_joined(table.column(c)) for c in ("token", "share", "n")), rounds) / np.log(10) if len(bucket) else np.empty(0)
-        return pa.table({"chunk": table.column("chunk"), "target": table.column("target"), "added": _lists(added.astype(np.float32), np.cumsum(_sizes(table.column("bucket"))))})
+        token = _joined(table.column("token"), np.int32)
+        bucket = token & (BUCKETS - 1)
+        before = np.unique(_joined(table.column("before"), np.int32), return_inverse=True)[1]
+        unit = np.repeat(before, _joined(table.column("runs"), np.int32)) * BUCKETS + bucket
+        added = (fit_pairs(unit, token, model.share(_joined(table.column("c")), bucket), _joined(table.column("n")), rounds) / np.log(10)).astype(np.float32)
+        cuts = np.cumsum([0, *(len(_unpack(x.as_buffer(), np.int32)) for x in table.column("token"))])
+        return pa.table({"chunk": table.column("chunk"), "target": table.column("target"), "added": pa.array([_pack(added[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
-    return pairs.groupBy("target").applyInArrow(run, "chunk long, target int, added array<float>")
+    return pairs.groupBy("target").applyInArrow(run, "chunk long, target int, added binary")
 
 
 def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, pair_rounds: int = PAIR_ROUNDS) -> DataFrame:
@@ -422,23 +445,22 @@ def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: st
     table = written(history_counts(read), "histories").repartition(SHARDS, "shard")
     model = train(table, int(total.sum()), int(distinct.sum()), total, distinct, rounds)
     targets = partitions_for(size, PAIRS_OF, 1)
-    added = written(pair_scores(chunk_pairs(read, known, model, targets), pair_rounds), "added")
+    added = written(pair_scores(chunk_pairs(read, known, targets), model, pair_rounds), "added")
     expanded: list[np.ndarray] = []  # filled once by each task
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not expanded:
             expanded.append(model.table())
-        is_known = pa.compute.is_valid(right.column("lid"))
+        is_known = pa.compute.is_valid(right.column("h"))
         chunk = Chunk.of(left, right.filter(is_known))
-        parts = right.filter(pa.compute.invert(is_known)).sort_by("target")
-        of_pair = np.append(_joined(parts.column("added")), 0)
+        of_pair = np.append(_joined(right.filter(pa.compute.invert(is_known)).sort_by("target").column("added"), np.float32), np.float32(0))
         buckets, c = (chunk.h & (BUCKETS - 1))[chunk.at], chunk.c[chunk.at]
         begins = np.cumsum(chunk.sizes) - chunk.sizes
         inside = np.log10(model.share(c, buckets)) + expanded[0][histories(buckets, begins), buckets] + of_pair[chunk.pairs(targets)[4]]
         sums = (np.add.reduceat(x, begins) for x in ((c > 0).astype(np.int64), model.base(c), inside.astype(float)))
-        return pa.Table.from_batches([_rows(SCORED, **dict(zip(_names(SCORED), (chunk.doc_id.combine_chunks(), *map(pa.array, (chunk.sizes, *sums))))))])
+        return pa.Table.from_batches([_rows(SCORED, **dict(zip(_names(SCORED), (chunk.doc_id, chunk.sizes, *sums))))])
 
-    left = read.filter("at IS NOT NULL").select("chunk", "doc_id", "learns", "at")
-    right = known.select("chunk", "lid", "h", "c").unionByName(added, True).withColumnRenamed("chunk", "of")
+    left = read.filter("at IS NOT NULL").select("chunk", "doc_id", "learns", "size", "at")
+    right = known.select("chunk", "target", "h", "c").unionByName(added, True).withColumnRenamed("chunk", "of")
     found = left.groupBy("chunk").cogroup(right.groupBy("of")).applyInArrow(run, SCORED)
     return found.withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))

@@ -33,8 +33,10 @@ NEARLY = 0.01
 #: A round that saves less than this share of its bins is the last.
 WORTHWHILE = 0.005
 REMEMBERED = 600_000
-#: Last bytes of a word that are tokens of their own behind one of these letters (words have A-Z lower-cased).
-MARKS, PLAIN = frozenset((b".", b",")), frozenset(bytes([c]) for c in b"abcdefghijklmnopqrstuvwxyz")
+#: Last bytes of a word that are tokens of their own behind one of these letters: a to z (words have A-Z lower-cased) and the
+#: accented ones of Latin-1 in both cases, all of which have one letter as their lower case.
+MARKS = frozenset((b".", b","))
+PLAIN = frozenset(chr(c).encode() for c in (*range(0x61, 0x7B), *range(0xC0, 0x100)) if chr(c).isalpha())
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -57,7 +59,7 @@ class WordTokenizer:
         """Puts the ids of these words among those known."""
         stems, marked = {}, []
         for word in words:
-            if word[-1:] in MARKS and word[-2:-1] in PLAIN:
+            if word[-1:] in MARKS and (word[-2:-1] in PLAIN or word[-3:-1] in PLAIN):
                 marked.append(word)
                 stems[word[:-1]] = stems[word[-1:]] = None
             else:

@@ -18,9 +18,10 @@ Similar texts. `near_duplicates` and `keep_first` compare whole texts: two are l
 have a Jaccard similarity of 0.8 or more. Fingerprints of such pairs differ by 10 bits of 64 on average and by 20 at times, so no
 radius that still tells unlike texts apart finds them all. Candidates are found without loss instead: put the shingles of every
 set into one order; two sets that are similar enough share a shingle among the first of both (all but 0.8 of a set, and one).
-Any order is right; the common shingles of a sample come last, so that few texts meet by them. Sets with a shared first shingle
-are compared with the least of them, components are made, and pairs that are not in one component yet are compared too. Sizes
-and parities of hashed bits rule out pairs that can't be similar enough; the others are compared in full.
+Any order is right; the common shingles of a sample come last, so that few texts meet by them. Of the
+sets that share a first shingle the least one is the others' pivot. Each set is compared with its best pivot, and components are
+made; then with all pivots in other components; then with all other sets there. Sizes and parities of ever more hashed bits rule
+out pairs that can't be similar enough; the others are compared in full.
 
 Edge cases. Null, empty and blank texts have no words: their fingerprint is zero and links like any other. A text with
 fewer words than the shingle has one shingle, all its words. Repeated rows stay and share a group. Null ids take part and
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -260,15 +262,20 @@ def _possible(size: np.ndarray, bits: np.ndarray, size_b: np.ndarray, bits_b: np
     return fits & (np.bitwise_count(bits.view(np.uint64) ^ bits_b.view(np.uint64)) <= (size + size_b) * (1 - similarity) / (1 + similarity) + 1e-9)
 
 
-def _parities(h: np.ndarray) -> bytes:
-    """For each of 64 * PARITIES bits whether an odd number of hashes falls on it."""
-    counts = np.bincount((h >> np.uint64(6) & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES)
+def _parities(h: np.ndarray, words: int = PARITIES) -> bytes:
+    """For each of 64 * words bits whether an odd number of hashes falls on it; words: a power of two."""
+    counts = np.bincount((h >> np.uint64(6) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words)
     return np.packbits(counts & 1).tobytes()
 
 
-def _folded(parities: bytes) -> bytes:
-    """The same for FOLDED words of bits."""
-    return np.bitwise_xor.reduce(np.frombuffer(parities, np.uint64).reshape(-1, FOLDED)).tobytes()
+def _wide(h: np.ndarray) -> bytes:
+    """The same for at least eight bits a hash, so that sets of any size can be told apart."""
+    return _parities(h, max(PARITIES, 1 << max(0, len(h) - 1).bit_length() >> 3))
+
+
+def _folded(parities: bytes, words: int = FOLDED) -> bytes:
+    """The same parities for fewer words of bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(parities, np.uint64).reshape(-1, words)).tobytes()
 
 
 def _small(df: DataFrame, name: str) -> DataFrame:
@@ -313,7 +320,7 @@ def _sets(texts: DataFrame, common: np.ndarray, width: int, similarity: float) -
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]], ["_row", "doc_id", "fp", "size", "bits", "parities", "folded", "first"])
 
-    return texts.select("_row", "doc_id", "_text").mapInArrow(run, "_row long, doc_id long, fp long, size long, bits long, parities binary, folded binary, first array<long>")
+    return texts.select("_row", "doc_id", "_text").mapInArrow(run, "_row struct<file:long,at:long>, doc_id long, fp long, size long, bits long, parities binary, folded binary, first array<long>")
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -333,41 +340,34 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-def _shared(sets: DataFrame) -> DataFrame:
-    """`h`, `fp`, `pivot`: different sets that share a first shingle, and the least of them."""
+def _shared(sets: DataFrame, similarity: float) -> DataFrame:
+    """`h`, `fp`, `size`, `bits`: different sets that share a first shingle; `pivot`: the least of them, null where it can't be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, fp in _lists(batches):
+        for h, fp, size, bits in _lists(batches):
             new = np.concatenate(([True], (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])))
-            h, fp = h[new], fp[new]
+            h, fp, size, bits = (x[new] for x in (h, fp, size, bits))
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             sizes = np.diff(np.append(starts, len(h)))
-            pivot, more = np.repeat(fp[starts], sizes), np.repeat(sizes > 1, sizes)
+            first, more = np.repeat(starts, sizes), np.repeat(sizes > 1, sizes)
+            alone = (fp[first] == fp) | ~_possible(size[first], bits[first], size, bits, similarity)
             for i in range(0, len(h), 50_000):
-                part = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[part][more[part]]) for x in (h, fp, pivot)], ["h", "fp", "pivot"])
-
-    postings = sets.select(F.explode("first").alias("h"), "fp").repartition("h").sortWithinPartitions("h", "fp")
-    return postings.mapInArrow(run, "h long, fp long, pivot long")
-
+                part = np.arange(i, min(len(h), i + 50_000))[more[i : i + 50_000]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[part]) for x in (h, fp, size, bits)), pa.array(fp[first[part]], mask=alone[part])], ["h", "fp", "size", "bits", "pivot"])
 
-def _pivot_pairs(shared: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
-    """`a`, `b`: each set with the least ones that it shares a first shingle with."""
+    postings = sets.select(F.explode("first").alias("h"), "fp", "size", "bits").repartition("h").sortWithinPartitions("h", "fp")
+    return postings.mapInArrow(run, "h long, fp long, size long, bits long, pivot long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, *known = (c.to_numpy() for c in batch.columns)
-            keep = _possible(*known, similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
-    pairs = shared.filter("pivot <> fp").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct()
-    for side in "ab":
-        pairs = pairs.join(sizes.select(F.col("fp").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-    return pairs.select("a", "b", "size_a", "bits_a", "size_b", "bits_b").mapInArrow(run, "a long, b long")
+def _best_pivots(shared: DataFrame) -> DataFrame:
+    """`a`, `b`: each set with the one of its pivots that it shares most first shingles with."""
+    counts = shared.filter("pivot IS NOT NULL").groupBy("fp", "pivot").count()
+    return counts.groupBy(F.col("fp").alias("b")).agg(F.max_by("pivot", F.struct("count", "pivot")).alias("a")).select("a", "b")
 
 
-def _other_pairs(shared: DataFrame, sizes: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """`a`, `b`: the other pairs that share a first shingle and aren't in one group yet."""
+def _pairs_across(shared: DataFrame, groups: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """`a`, `b`: pairs that share a first shingle, may be similar and aren't in one group yet; of each list of sets that share one
+    those with the least, or every pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
@@ -375,7 +375,7 @@ def _other_pairs(shared: DataFrame, sizes: DataFrame, groups: DataFrame, similar
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             mixed = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
             for a, b in zip(starts[mixed].tolist(), np.append(starts, len(h))[1:][mixed].tolist()):
-                for i in range(a, b - 1):
+                for i in range(a, b - 1 if every else a + 1):
                     to = slice(i + 1, b)
                     keep = (group[to] != group[i]) & _possible(size[i], bits[i : i + 1], size[to], bits[to], similarity)
                     if keep.any():
@@ -388,7 +388,7 @@ def _other_pairs(shared: DataFrame, sizes: DataFrame, groups: DataFrame, similar
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
 
-    told = shared.filter("pivot <> fp").select("h", "fp").join(sizes, "fp").join(groups.withColumnRenamed("first", "group"), "fp")
+    told = shared.drop("pivot").join(groups.withColumnRenamed("first", "group"), "fp")
     dealt = told.repartition("h").sortWithinPartitions("h", "fp").select("h", "fp", "size", "bits", "group")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -398,16 +398,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, s
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["fp", "data"])
+            found = [shingle_set(t.as_py(), width) for t in batch.column(2)]
+            made = [pa.array(x, pa.binary()) for x in ([h.tobytes() for h in found], [_wide(h) for h in found])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["fp", "size", "data", "wide"])
+
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for *sizes, a, b in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                words = min(len(a), len(b)) // 8
+                a, b = (np.frombuffer(_folded(x, words), np.uint64) for x in (a, b))
+                keep.append(int(np.bitwise_count(a ^ b).sum()) <= sum(sizes) * (1 - similarity) / (1 + similarity) + 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3)):
                 a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,21 +428,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, s
             keep = apart <= size * (1 - similarity) / (1 + similarity) + 1e-9
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    def both(pairs: DataFrame, known: DataFrame, column: str) -> DataFrame:
+        for side in "ab":
+            pairs = pairs.join(known.select(F.col("fp").alias(side), F.col("size").alias(f"size_{side}"), F.col(column).alias(f"{column}_{side}")), side)
+        return pairs.select("a", "b", "size_a", "size_b", f"{column}_a", f"{column}_b")
+
     # Few bits first: most pairs end there, and what goes with each pair through the shuffles stays small.
+    first, ended = sets.dropDuplicates(["fp"]), None
     for kind in ("folded", "parities"):
-        known = sets.select("fp", "size", kind).dropDuplicates(["fp"])
-        for side in "ab":
-            pairs = pairs.join(known.select(F.col("fp").alias(side), F.col("size").alias(f"size_{side}"), F.col(kind).alias(f"{kind}_{side}")), side)
-        pairs = written(pairs.select("a", "b", "size_a", "size_b", f"{kind}_a", f"{kind}_b").mapInArrow(near, "a long, b long"), "pairs")
+        pairs = written(both(pairs, first, kind).mapInArrow(near, "a long, b long"), "pairs")
+        if ended is not None:
+            dropped(ended)
+        ended = pairs
     wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    rows = _small(sets.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("_row").alias("_row")), "wanted")
-    data = written(texts.select("_row", "_text").join(rows, "_row").select("fp", "_text").mapInArrow(hashed, "fp long, data binary"), "data")
-    told = pairs
-    for side in "ab":
-        told = told.join(data.select(F.col("fp").alias(side), F.col("data").alias(f"data_{side}")), side)
-    links = written(told.select("a", "b", "data_a", "data_b").mapInArrow(compared, "a long, b long"), "links")
-    dropped(data)
-    dropped(pairs)
+    rows = _small(sets.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("_row").alias("_row"), F.first("size").alias("size")), "wanted")
+    made = texts.select("_row", "_text").join(rows, "_row").select("fp", "size", "_text")
+    data = written(made.mapInArrow(hashed, "fp long, size long, data binary, wide binary"), "data")
+    pairs = written(both(pairs, data, "wide").mapInArrow(wide, "a long, b long"), "pairs")
+    links = written(both(pairs, data, "data").select("a", "b", "data_a", "data_b").mapInArrow(compared, "a long, b long"), "links")
+    for table in (ended, data, pairs):
+        dropped(table)
     return links
 
 
@@ -440,33 +455,43 @@ def _grouped(texts: DataFrame, width: int, similarity: float) -> tuple[DataFrame
     """`_row`, `doc_id`, `fp` of every row of `texts` (_row, doc_id, _text), and `fp`, `first`: the least row of its group."""
     sets = written(_sets(texts, _common(texts, width), width, similarity), "sets")
     # The order of a group: ids first, the smallest first, then the rows without one.
-    ids = written(sets.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "_row")).alias("first"), F.first("size").alias("size"), F.first("bits").alias("bits")), "distinct")
-    sizes, own = ids.select("fp", "size", "bits"), ids.select("fp", "first")
-    shared = written(_shared(sets), "shared")
-    groups, links = own, _verified(_pivot_pairs(shared, sizes, similarity), sets, texts, width, similarity)
-
-    def united(links: DataFrame) -> DataFrame:
-        found = components(links, own).withColumnRenamed("first", "least")
-        return written(own.join(found, "fp", "left").select("fp", F.coalesce("least", "first").alias("first")), "groups")
-
-    if not links.isEmpty():
-        groups = united(links)
-    numbered = groups.select("fp", F.col("first._row").alias("first"))
-    more = _verified(_other_pairs(shared, sizes, numbered, similarity), sets, texts, width, similarity)
-    if not more.isEmpty():
-        groups = united(links.unionByName(more))
-    return sets.select("_row", "doc_id", "fp"), groups
+    own = written(sets.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "_row")).alias("first")), "distinct")
+    shared = written(_shared(sets, similarity), "shared")
+    groups, links, ended = own, None, []
+    # Best pivots join most of a group, so that the other two steps, which compare across groups only, find few pairs left.
+    for step in (0, 1, 2):
+        numbered = groups.select("fp", F.xxhash64("first").alias("first"))
+        found = _verified(_best_pivots(shared) if step == 0 else _pairs_across(shared, numbered, similarity, step == 2), sets, texts, width, similarity)
+        ended.append(found)
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            joined = components(links, own).withColumnRenamed("first", "least")
+            before, groups = groups, written(own.join(joined, "fp", "left").select("fp", F.coalesce("least", "first").alias("first")), "groups")
+            if before is not own:
+                dropped(before)
+            dropped(joined)
+    rows = written(sets.select("_row", "doc_id", "fp"), "rows")
+    for table in (sets, shared, *ended, *([own] if groups is not own else [])):
+        dropped(table)
+    return rows, groups
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """`docs` with a number of each row, written once so that it stays the row's, and the part that is compared."""
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    """`docs` with a key of each row, and the part that is compared.
+
+    The key of a row read from Parquet is its file and its place there. Other rows are numbered and written once, so that they keep
+    their numbers.
+    """
+    try:
+        keyed = docs.withColumn("_row", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+    except AnalysisException:
+        keyed = written(docs.withColumn("_row", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "keyed")
     return keyed, keyed.select("_row", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id`, `component_id` for every row of `docs`: groups of texts linked by similarity."""
-    rows, groups = _grouped(_keyed(docs.select(id_col, text_col), id_col, text_col)[1], width, similarity)
+    rows, groups = _grouped(_keyed(docs, id_col, text_col)[1], width, similarity)
     return rows.join(groups, "fp").select("doc_id", F.nullif("first.id", F.lit(NO_ID)).alias("component_id"))
 
 
@@ -474,5 +499,7 @@ def keep_first(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARI
     """One row of each group of similar texts, with all its columns: a row of the smallest id, or of none if the whole group has none."""
     keyed, texts = _keyed(docs, id_col, text_col)
     rows, groups = _grouped(texts, width, similarity)
-    gone = rows.join(groups, "fp").filter(F.col("_row") != F.col("first._row")).select("_row")
-    return keyed.join(_small(gone, "gone"), "_row", "left_anti").drop("_row")
+    gone = _small(rows.join(groups, "fp").filter(F.col("_row") != F.col("first._row")).select("_row"), "gone")
+    dropped(rows)
+    dropped(groups)
+    return keyed.join(gone, "_row", "left_anti").drop("_row")

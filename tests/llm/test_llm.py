@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -102,6 +103,21 @@ def test_similar_texts(spark):
     assert sorted(r.doc_id for r in simhash.keep_first(docs).collect()) == sorted(set(wanted))
 
 
+def test_wide_parities():
+    """No more parities differ than hashes do, whatever the widths; long unlike sets differ in many."""
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 300, 5000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[: n // 2], rng.integers(0, 2**63, 2 * n, dtype=np.uint64))))
+        wide = [simhash._wide(x) for x in (a, b)]
+        words = min(map(len, wide)) // 8
+        assert all(len(w) // 8 >= max(simhash.PARITIES, len(x) / 8) for w, x in zip(wide, (a, b)))
+        folded = [np.frombuffer(simhash._folded(w, words), np.uint64) for w in wide]
+        apart, differ = int(np.bitwise_count(folded[0] ^ folded[1]).sum()), len(np.setxor1d(a, b))
+        assert apart <= differ and (n < 300 or apart > 0.5 * differ)
+        assert simhash._folded(simhash._parities(a), 4) == simhash._parities(a, 4)
+
+
 def test_stages_without_ids(spark, docs, monkeypatch):
     """Each stage against a plain version, on rows with null ids, repeated rows and one id on a good and a bad text."""
     good, bad = "The quick brown fox jumps over the lazy dog near the old river bank today.", "no no no no no no no no no no no no"
@@ -327,6 +343,20 @@ def test_maxent(spark, docs, nothing, monkeypatch, chunk):
     assert {r.n_known for r in maxent.scored(docs, F.lit(False)).collect()} == {0}
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_numbered_tokens(kind):
+    """Tokens of parts of arrays, in several chunks, are those of each text."""
+    texts = [None, "", " A\n\nb\x0bc\x0cd\r\n", "x\x1cy \x85z", "Ünï ÜNÏ", *TEXTS] * 50
+    whole = pa.array(texts, kind)
+    for parts in ([whole], [whole.slice(37, 400)], [whole.slice(100, 3), whole.slice(600), whole.slice(0, 9)]):
+        column = pa.chunked_array(parts)
+        code, sizes, tokens = maxent.numbered(column)
+        want = [maxent.words_of(t) for t in column.to_pylist()]
+        assert sizes.tolist() == [len(w) for w in want]
+        known = tokens.to_pylist()
+        assert len(set(known)) == len(known) and [known[c] for c in code] == [w for some in want for w in some]
+
+
 def test_maxent_normalises(spark, docs):
     """What follows a token adds up to 1 over all tokens known and one unknown of each bucket."""
     _, counts, model, weights, share, whole = plain_maxent(docs, F.col("doc_id") >= 0, spark)
@@ -359,11 +389,11 @@ def test_maxent_gradients():
             w[kind][row, column] -= step
         assert found[kind][0][row, column] - found[kind][1][row, column] == pytest.approx((up[0] - up[1]) / 2e-4, abs=1e-3)
     unit, token = np.array([0, 0, 0, 1, 1, 0]), np.array([5, 6, 7, 5, 8, 5])
-    share, n = np.array([0.2, 0.1, 0.3, 0.2, 0.0, 0.2], np.float32), np.array([4, 30, 1, 3, 9, 5])
+    share, n = np.array([0.2, 0.1, 0.3, 0.2, 0.1, 0.2]), np.array([4, 30, 1, 3, 1, 5])
     added = maxent.fit_pairs(unit, token, share, n, 60)
     assert added[0] == added[5]
     whole = {u: -a for u, a in ((0, added[2]), (1, added[4]))}
-    for i, seen, every in ((0, 9, 40), (1, 30, 40), (3, 3, 12)):
+    for i, seen, every in ((0, 9, 40), (1, 30, 40), (3, 3, 4)):
         weight = added[i] + whole[unit[i]]
         assert seen - every * share[i] * np.exp(added[i]) == pytest.approx(weight / maxent.VARIANCE, abs=1e-2)
 
