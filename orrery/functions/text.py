@@ -5,23 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Marks that the tokeniser turns into spaces, words of the stop-word share, and the two patterns.
-PUNCTUATION = r"""[,.();:!?"'\[\]{}<>/\-]"""
-STOP_WORDS = ("a", "an", "the", "of", "in", "on", "for", "to", "and", "or", "is", "are", "with", "by")
-WH_WORDS = r"(?i)\b(what|which|who|when|where|why|how)\b"
-REVIEW_WORDS = r"(?i)\b(review|survey|overview|meta-analysis|systematic)\b"
+#: The marks that the tokeniser turns into spaces, the words of the stop-word share, and the patterns of three features
+#: (the first two on the lower-cased text).
+PUNCTUATION = r"""[,\.\(\);:!\?\"\'\[\]\{\}<>\/\\\-]"""
+STOP_WORDS = ("a", "an", "the", "of", "in", "on", "for", "and", "or", "to", "is", "are", "with", "by")
+REVIEW_WORDS = r"\b(review|survey|overview|state.of.the.art|advances)\b"
+QUESTION_WORDS = r"\b(how|what|which|why|compare|versus|vs)\b"
 YEAR = r"\b(19|20)\d{2}\b"
+#: What Python calls white space, as members of a class.
+SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Marks and white space together: what stands between two tokens.
+BETWEEN = PUNCTUATION[:-1] + SPACES + "]+"
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words, punctuation as space. A text without words gives one empty token."""
-    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, " ")
-    return F.split(F.regexp_replace(spaced, r"(?U)^\s+|\s+$", ""), r"(?U)\s+")
+    parts = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), lambda w: w != "")
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit("")))
 
 
 def words(text: Column) -> Column:
     """Words between white space; none for a blank text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+"), lambda w: w != "")
+
+
+def long_words(text: Column) -> Column:
+    """Lower-cased runs of two word characters or more."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1))
 
 
 def word_grams(terms: Column, n: int) -> Column:
@@ -52,8 +62,8 @@ def query_features(text: Column, w: Column) -> dict[str, Column]:
         "mean_token_len": F.when(n > 0, F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)) / n).otherwise(F.lit(0.0)),
         "n_digits": F.length(F.regexp_replace(text, r"[^\p{Nd}]", "")).cast("double"),
         "n_caps": count(lambda x: (F.length(x) > 1) & (F.upper(x) == x) & (F.lower(x) != x)).cast("double"),
-        "is_review": F.regexp_like(text, F.lit(REVIEW_WORDS)).cast("double"),
-        "is_question": F.regexp_like(text, F.lit(WH_WORDS)).cast("double"),
+        "is_review": F.regexp_like(F.lower(text), F.lit(REVIEW_WORDS)).cast("double"),
+        "is_question": F.regexp_like(F.lower(text), F.lit(QUESTION_WORDS)).cast("double"),
         "unique_ratio": F.size(F.array_distinct(F.transform(w, F.lower))) / per,
         "has_year": F.regexp_like(text, F.lit(YEAR)).cast("double"),
         "stop_ratio": count(lambda x: F.lower(x).isin(*STOP_WORDS)) / per,
@@ -76,7 +86,37 @@ def drop_words(text: Column, key: Column, share: float, seed: int = 42) -> Colum
 
 def normalised_doi(doi: Column) -> Column:
     """A DOI without its resolver's address, lower-cased."""
-    return F.lower(F.regexp_replace(doi, r"^https?://(dx\.)?doi\.org/", ""))
+    return F.lower(F.replace(doi, F.lit("https://doi.org/"), F.lit("")))
+
+
+def normalised_pmid(address: Column) -> Column:
+    """The last segment of a PubMed record's address."""
+    return F.substring_index(F.rtrim(F.coalesce(address, F.lit("")), F.lit("/")), "/", -1)
+
+
+def corpus_key(number: Column) -> Column:
+    """The key under which a literature service knows a corpus number."""
+    return F.concat(F.lit("CorpusId:"), number.cast("string"))
+
+
+def without_prefix(key: Column, prefix: str = "MED-") -> Column:
+    """A key without the collection's prefix."""
+    return F.replace(key, F.lit(prefix), F.lit(""))
+
+
+def decimals(x: Column, places: int = 4) -> Column:
+    """A number's text with this many decimals, null as a dash."""
+    return F.coalesce(F.format_string(f"%.{places}f", x), F.lit("-"))
+
+
+def percent(x: Column, places: int = 1) -> Column:
+    """A share's text in percent."""
+    return F.coalesce(F.format_string(f"%.{places}f%%", 100 * x), F.lit("-"))
+
+
+def p_text(p: Column) -> Column:
+    """A p-value's text: three decimals, or below a thousandth two and a power of ten."""
+    return F.when(p < 0.001, F.format_string("%.2e", p)).otherwise(decimals(p, 3))
 
 
 def year_of(date: Column) -> Column:
@@ -92,7 +132,7 @@ def citation_numbers(answer: Column, n_context: Column) -> Column:
 
 def judged_scores(answer: Column) -> Column:
     """The first {...} of a judge's answer as relevance and faithfulness; nulls where it has none."""
-    found = F.from_json(F.regexp_extract(answer, r"(?s)(\{.*?\})", 1), "relevance int, faithfulness int")
+    found = F.from_json(F.regexp_extract(answer, r"(\{[^{}]*\})", 1), "relevance int, faithfulness int")
     both = found["relevance"].isNotNull() & found["faithfulness"].isNotNull()
     return F.struct(F.when(both, found["relevance"]).alias("relevance"), F.when(both, found["faithfulness"]).alias("faithfulness"))
 

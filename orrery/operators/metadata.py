@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.text import hash_unit
@@ -14,51 +17,99 @@ from orrery.operators.stats import mann_whitney
 YEAR = 2024
 
 
-def first_non_empty(rows: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
-    """One row for each key: each field's first value, in order, that isn't empty."""
-    picked = [F.min_by(F.when(F.col(f) != "", F.col(f)), F.when(F.coalesce(F.col(f), F.lit("")) != "", F.col(order))).alias(f) for f in fields]
-    return rows.groupBy(key).agg(*[F.coalesce(p, F.lit("")).alias(f) for p, f in zip(picked, fields)])
+def merged(rows: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+    """One row for each key: its rows taken in order, each that supplies a field still missing overrides all fields that it has.
+
+    Only the first row that has a field can be the one to supply it, so a key needs one row for each field, at most.
+    """
+    value = lambda f: F.btrim(F.coalesce(F.col(f), F.lit("")), F.lit(" \t\r\n\x0b\x0c"))
+    told = rows.select(key, F.struct(F.col(order).alias("_at"), *[value(f).alias(f) for f in fields]).alias("r"))
+    first = [F.min(F.when(F.col(f"r.{f}") != "", F.col("r"))).alias(f"_{f}") for f in fields]
+    taken = F.array_sort(F.filter(F.array(*[F.col(f"_{f}") for f in fields]), lambda r: r.isNotNull()))
+    none = F.struct(*[F.lit("").alias(f) for f in fields])
+
+    def take(state: Column, row: Column) -> Column:
+        supplies = reduce(lambda a, b: a | b, [(row[f] != "") & (state[f] == "") for f in fields])
+        return F.when(supplies, F.struct(*[F.when(row[f] != "", row[f]).otherwise(state[f]).alias(f) for f in fields])).otherwise(state)
+
+    return told.groupBy(key).agg(*first).select(key, F.aggregate(taken, none, take).alias("m")).select(key, "m.*")
 
 
-def resolve(ids: DataFrame, client: Callable[[list[str]], list[dict | None]], tasks: int = 8, batch: int = 400, tries: int = 8) -> DataFrame:
-    """Asks a metadata service, given as a function from ids to records, in batches; a batch that keeps failing gives nulls."""
+def resolve(ids: DataFrame, client: Callable[[list[str]], list[dict | None]], tasks: int = 8, batch: int = 400, tries: int = 8, pause: float = 0.0, budget: float | None = None) -> DataFrame:
+    """Asks a metadata service, given as a function from ids to records, in batches; a batch that keeps failing gives nulls.
+
+    pause: seconds before the second try, doubled for each one after. budget: seconds after which a task asks no more; ids that
+    were not asked are left out, so that `writers.append_missing` of the result asks for them in the next run.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begun = time.monotonic()
         for frame in frames:
             for i in range(0, len(frame), batch):
+                if budget is not None and time.monotonic() - begun > budget:
+                    return
                 wanted = frame.doc_id.iloc[i : i + batch].tolist()
                 records: list[dict | None] = [None] * len(wanted)
-                for _ in range(tries):
+                for attempt in range(tries):
                     try:
                         records = client(wanted)
                         break
                     except OSError:
-                        continue
+                        time.sleep(pause * 2**attempt)
                 yield pd.DataFrame([{"doc_id": d, "has_record": r is not None, **{k: (r or {}).get(k) for k in ("citations", "year", "venue")}} for d, r in zip(wanted, records)]).astype({"citations": "Int32", "year": "Int32"})
 
     return ids.select("doc_id").repartition(tasks, "doc_id").mapInPandas(run, "doc_id string, has_record boolean, citations int, year int, venue string")
 
 
-def diagnostics(docs: DataFrame, relevant: DataFrame) -> DataFrame:
-    """Coverage, citations and ages of relevant documents against the others that have metadata; the area between them.
+def second_pass(known: DataFrame, keys: DataFrame, client: Callable[[list[str]], list[dict | None]], **options: Any) -> DataFrame:
+    """`known` (doc_id, has_record, citations, year, venue) with what another service, asked under other keys, has where citations are missing.
+
+    keys: doc_id, key, one row a document at most. What is known already stays.
+    """
+    todo = keys.join(known.filter("citations IS NULL").select("doc_id"), "doc_id", "left_semi").filter("key <> ''")
+    asked = resolve(todo.select(F.col("key").alias("doc_id")).distinct(), client, **options).withColumnRenamed("doc_id", "key")
+    found = todo.join(asked, "key").select("doc_id", *[F.col(c).alias(f"_{c}") for c in ("has_record", "citations", "year", "venue")])
+    joined = known.join(found, "doc_id", "left")
+    return joined.select("doc_id", (F.coalesce("has_record", F.lit(False)) | F.coalesce("_has_record", F.lit(False))).alias("has_record"), *[F.coalesce(c, f"_{c}").alias(c) for c in ("citations", "year")], F.coalesce(F.nullif("venue", F.lit("")), "_venue").alias("venue"))
+
 
-    docs: doc_id, has_record, citations, year; relevant: doc_id.
+def by_doi(ids: DataFrame, bibliography: DataFrame, records: DataFrame) -> DataFrame:
+    """`doc_id` with its citations, year and venue: a bibliographic row, whose lower-cased DOI leads to a record of a service.
+
+    bibliography: doc_id, doi, year (text), venue; records: doi, citations, year, venue. Year and venue of the bibliography stand in
+    where the record has none or there is no record. Many documents may have one DOI.
     """
-    told = docs.join(relevant.select("doc_id").distinct().withColumn("positive", F.lit(True)), "doc_id", "left").fillna(False, ["positive"])
-    coverage = told.agg(F.avg(F.col("has_record").cast("double")).alias("coverage"), F.count(F.lit(1)).alias("n_docs"))
-    known = told.filter(F.col("has_record") & F.col("citations").isNotNull())
-    side = lambda test, name: [F.median(F.when(test, F.col("citations"))).alias(f"median_{name}"), F.avg(F.when(test, F.col("citations"))).alias(f"mean_{name}"), F.avg(F.when(test, (F.col("citations") == 0).cast("double"))).alias(f"zero_{name}"), F.median(F.when(test, YEAR - F.col("year"))).alias(f"age_{name}")]
-    figures = known.agg(*side(F.col("positive"), "positive"), *side(~F.col("positive"), "background"))
-    area = mann_whitney(known.withColumn("one", F.lit(1)), ["one"], "citations", "positive").drop("one")
-    return coverage.crossJoin(F.broadcast(figures)).crossJoin(F.broadcast(area))
+    own = bibliography.select("doc_id", F.nullif(F.lower("doi"), F.lit("")).alias("doi"), F.when(F.regexp_like(F.col("year"), F.lit(r"^\d+$")), F.col("year").cast("int")).alias("own_year"), F.coalesce("venue", F.lit("")).alias("own_venue"))
+    found = ids.select("doc_id").join(own, "doc_id", "left").join(records.withColumn("doi", F.lower("doi")), "doi", "left")
+    return found.select("doc_id", "citations", F.coalesce(F.nullif("year", F.lit(0)), "own_year").alias("year"), F.coalesce(F.nullif("venue", F.lit("")), "own_venue", F.lit("")).alias("venue"))
 
 
 def sampled_background(known: DataFrame, relevant: DataFrame, times: int = 10, most: int = 25_000, seed: int = 7) -> DataFrame:
     """`doc_id`: a sample, without replacement, of the documents with metadata that are relevant for no query.
 
-    As many as `times` the relevant ones, at most `most` and all there are; those with the smallest md5 of seed and id.
+    As many as `times` the relevant ones with metadata, at most `most` and all there are; those with the smallest md5 of seed and id.
     """
     positive = relevant.select("doc_id").distinct()
-    size = min(most, times * positive.count())
+    size = min(most, times * positive.join(known.select("doc_id"), "doc_id", "left_semi").count())
     pool = known.select("doc_id").join(positive, "doc_id", "left_anti")
     return pool.orderBy(hash_unit(F.lit(seed), F.col("doc_id")), "doc_id").limit(size)
+
+
+def diagnostics(docs: DataFrame, relevant: DataFrame, times: int = 10, most: int = 25_000, seed: int = 7) -> DataFrame:
+    """Coverage, citations and ages of a corpus, and citations of its relevant documents against a sampled background.
+
+    docs: doc_id, has_record, citations, year; relevant: doc_id. Covered are records that have citations; elsewhere a record
+    without them counts as one with none. The area between both sides has an interval, a normal score and a two-sided p.
+    """
+    coverage = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg((F.col("has_record") & F.col("citations").isNotNull()).cast("double")).alias("coverage"))
+    known = docs.filter("has_record").withColumn("citations", F.coalesce("citations", F.lit(0)))
+    age = F.when(F.col("year") != 0, YEAR - F.col("year"))
+    whole = known.agg(F.median("citations").alias("median_citations"), F.avg("citations").alias("mean_citations"), F.avg((F.col("citations") == 0).cast("double")).alias("zero_share"), F.median(age).alias("median_age"))
+    positive = known.join(relevant.select("doc_id").distinct(), "doc_id", "left_semi").select("citations", F.lit(True).alias("positive"))
+    background = known.join(sampled_background(known, relevant, times, most, seed), "doc_id", "left_semi").select("citations", F.lit(False).alias("positive"))
+    told = positive.unionByName(background).withColumn("one", F.lit(1))
+    side = lambda test, name: [F.median(F.when(test, F.col("citations"))).alias(f"median_{name}"), F.avg(F.when(test, F.col("citations"))).alias(f"mean_{name}")]
+    figures = told.agg(*side(F.col("positive"), "positive"), *side(~F.col("positive"), "background"))
+    area = mann_whitney(told, ["one"], "citations", "positive").drop("one")
+    # One row each.
+    return coverage.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(figures)).crossJoin(F.broadcast(area))

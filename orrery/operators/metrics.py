@@ -21,24 +21,37 @@ def overlap_judgements(docs: DataFrame, queries: DataFrame, width: int = 8) -> D
 
 
 def per_query(run: DataFrame, qrels: DataFrame, queries: DataFrame, by: str = "method") -> DataFrame:
-    """One row for each method and query: recall at 1, 5 and 10, NDCG at 10 (linear gain), reciprocal rank.
+    """One row for each method of the run and each query: recall at 1, 5 and 10, NDCG at 10 (linear gain), reciprocal rank.
 
-    qrels (query_id, doc_id, gain) must name documents of the corpus only. Queries without relevant documents get zeros.
+    qrels (query_id, doc_id, gain) must name documents of the corpus only. Queries without relevant documents, and those for
+    which a method finds nothing, get zeros.
     """
     ideal = qrels.filter("gain >= 1").withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gain"), "doc_id")))
     ideal = ideal.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rel"), F.sum(F.when(F.col("at") <= 10, F.col("gain") / F.log2(F.col("at") + 1.0))).alias("ideal"))
-    gain = F.coalesce("gain", F.lit(0))
-    told = run.join(qrels, ["query_id", "doc_id"], "left").withColumn("gain", gain)
-    hits = lambda k: F.sum(F.when((F.col("rank") <= k) & (F.col("gain") >= 1), 1).otherwise(0))
-    found = told.groupBy(by, "query_id").agg(
+    hits = lambda k: F.sum(F.when(F.col("rank") <= k, 1).otherwise(0))
+    # Only judged documents count, so that the others needn't be grouped.
+    found = run.join(qrels.filter("gain >= 1"), ["query_id", "doc_id"]).groupBy(by, "query_id").agg(
         hits(1).alias("h1"), hits(5).alias("h5"), hits(10).alias("h10"),
         F.sum(F.when(F.col("rank") <= 10, F.col("gain") / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"),
-        F.min(F.when(F.col("gain") >= 1, F.col("rank"))).alias("first"),
+        F.min("rank").alias("first"),
     )
-    every = queries.select("query_id").join(ideal, "query_id", "left")
-    joined = found.join(every, "query_id")
-    share = lambda c: F.when(F.col("n_rel") > 0, F.col(c) / F.col("n_rel")).otherwise(F.lit(0.0))
-    return joined.select(by, "query_id", share("h1").alias("r1"), share("h5").alias("r5"), share("h10").alias("r10"), F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(F.lit(0.0)).alias("n10"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"))
+    methods = run.select(by).distinct()
+    every = queries.select("query_id").join(ideal, "query_id", "left").crossJoin(F.broadcast(methods))
+    joined = every.join(found, [by, "query_id"], "left")
+    share = lambda c: F.when(F.col("n_rel") > 0, F.coalesce(c, F.lit(0)) / F.col("n_rel")).otherwise(F.lit(0.0))
+    return joined.select(by, "query_id", share("h1").alias("r1"), share("h5").alias("r5"), share("h10").alias("r10"), F.when(F.col("ideal") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).otherwise(F.lit(0.0)).alias("n10"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"))
+
+
+def per_query_counted(run: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The same measures where all gains are 1: from a ranking with a flag `relevant`, and `sizes` (query_id, n_rel)."""
+    flag = F.col("relevant").cast("int")
+    hits = lambda k: F.sum(F.when(F.col("rank") <= k, flag).otherwise(0))
+    found = run.groupBy("query_id").agg(hits(1).alias("h1"), hits(5).alias("h5"), hits(10).alias("h10"), F.sum(F.when(F.col("rank") <= 10, flag / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"), F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"))
+    told = sizes.join(found, "query_id", "left")
+    n = F.col("n_rel")
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(10)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
+    share = lambda c: F.when(n > 0, F.coalesce(c, F.lit(0)) / n).otherwise(F.lit(0.0))
+    return told.select("query_id", share("h1").alias("r1"), share("h5").alias("r5"), share("h10").alias("r10"), F.when(n > 0, F.coalesce("dcg", F.lit(0.0)) / ideal).otherwise(F.lit(0.0)).alias("n10"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"))
 
 
 def means(measured: DataFrame, by: str = "method") -> DataFrame:
@@ -46,6 +59,44 @@ def means(measured: DataFrame, by: str = "method") -> DataFrame:
     return measured.groupBy(by).agg(*[F.avg(m).alias(m) for m in MEASURES], F.count(F.lit(1)).alias("n_queries"))
 
 
+def over_datasets(measured: DataFrame) -> DataFrame:
+    """Means of each `dataset` and method, and as dataset `macro` each method's mean of these."""
+    each = measured.groupBy("dataset", "method").agg(*[F.avg(m).alias(m) for m in MEASURES], F.count(F.lit(1)).alias("n_queries"))
+    whole = each.groupBy("method").agg(*[F.avg(m).alias(m) for m in MEASURES], F.sum("n_queries").alias("n_queries")).withColumn("dataset", F.lit("macro"))
+    return each.unionByName(whole)
+
+
+def relative_gains(measured: DataFrame, own: str) -> DataFrame:
+    """For each other method and measure both means, their difference, and this in percent of the other (null if that is 0)."""
+    mean = long(measured).groupBy("method", "measure").agg(F.avg("value").alias("mean"))
+    mine = mean.filter(F.col("method") == own).select("measure", F.col("mean").alias("own"))
+    told = mean.filter(F.col("method") != own).join(F.broadcast(mine), "measure")
+    gap = F.col("own") - F.col("mean")
+    return told.select("method", "measure", "own", F.col("mean").alias("other"), gap.alias("difference"), (100 * gap / F.nullif("mean", F.lit(0.0))).alias("percent"))
+
+
+def audit(rows: DataFrame, by: str, part: str, wanted: int) -> DataFrame:
+    """For each `by` the number of parts and queries, and whether every query has all `wanted` parts, each once."""
+    per = rows.groupBy(by, "query_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(part).alias("parts"))
+    whole = rows.groupBy(by).agg(F.countDistinct(part).alias("n_parts"))
+    return per.groupBy(by).agg(F.count(F.lit(1)).alias("n_queries"), F.min((F.col("n") == wanted) & (F.col("parts") == wanted)).alias("complete")).join(whole, by)
+
+
+def reconstruction(both: DataFrame, most_shift: float = 1e-3, most_mismatches: float = 0.01) -> DataFrame:
+    """One row: how far the mean of `rebuilt` is from that of `released`, the share of queries that differ, whether both are small enough."""
+    gap = F.col("rebuilt") - F.col("released")
+    told = both.agg(F.count(F.lit(1)).alias("n_queries"), F.abs(F.avg(gap)).alias("mean_shift"), F.avg((F.abs(gap) > 1e-9).cast("double")).alias("mismatches"))
+    return told.withColumn("ok", (F.col("mean_shift") <= most_shift) & (F.col("mismatches") <= most_mismatches))
+
+
+def oracles(measured: DataFrame, routed: list[str]) -> DataFrame:
+    """For every measure the mean of each query's best routed method, the best method's mean, and the room between them."""
+    chosen = long(measured.filter(F.col("method").isin(routed)))
+    best = chosen.groupBy("measure", "query_id").agg(F.max("value").alias("best")).groupBy("measure").agg(F.avg("best").alias("oracle"))
+    single = chosen.groupBy("measure", "method").agg(F.avg("value").alias("mean")).groupBy("measure").agg(F.max("mean").alias("best_mean"))
+    return best.join(single, "measure").withColumn("headroom", F.col("oracle") - F.col("best_mean"))
+
+
 def oracle(measured: DataFrame, routed: list[str], measure: str = "n10") -> DataFrame:
     """Mean of the best routed method of each query, the best single method, and the room between them."""
     chosen = measured.filter(F.col("method").isin(routed))
@@ -56,11 +107,17 @@ def oracle(measured: DataFrame, routed: list[str], measure: str = "n10") -> Data
     return single.crossJoin(best).select(F.col("method").alias("best_single"), F.col("mean").alias("best_mean"), "oracle", (F.col("oracle") - F.col("mean")).alias("headroom"))
 
 
-def paired(measured: DataFrame, first: str, second: str, measure: str = "n10") -> DataFrame:
-    """`query_id`, `diff`: one method's measure less another's."""
-    value = lambda m: F.max(F.when(F.col("method") == m, F.col(measure)))
-    both = measured.groupBy("query_id").agg(value(first).alias("a"), value(second).alias("b"))
-    return both.filter("a IS NOT NULL AND b IS NOT NULL").select("query_id", (F.col("a") - F.col("b")).alias("diff"))
+def long(measured: DataFrame, by: str = "method") -> DataFrame:
+    """A row for each method, query and measure."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in MEASURES]))
+    return measured.select(by, "query_id", each.alias("m")).select(by, "query_id", "m.measure", "m.value")
+
+
+def paired(measured: DataFrame, own: str) -> DataFrame:
+    """`method`, `measure`, `query_id`, `diff`: what one method has more than each other one, query by query."""
+    told = long(measured)
+    mine = told.filter(F.col("method") == own).select("query_id", "measure", F.col("value").alias("own"))
+    return told.filter(F.col("method") != own).join(mine, ["query_id", "measure"]).select("method", "measure", "query_id", (F.col("own") - F.col("value")).alias("diff"))
 
 
 def outcome_counts() -> list[Column]:

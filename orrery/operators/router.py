@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orrery.functions.text import hash_unit, query_features, words
 from orrery.operators.metrics import MEASURES
 from orrery.operators.stats import confusion
+from orrery.sources.writers import kept
 
 #: Parts of a label's queries that are numbered on their own.
 BUCKETS = 256
@@ -48,7 +49,7 @@ def route(queries: DataFrame, labels: DataFrame, folds: int = 5, seed: int = 42,
     """
     features = query_features(F.coalesce("text", F.lit("")), F.col("w"))
     names = list(features)
-    told = stratified_folds(labels, "label", folds=folds, seed=seed).join(queries.withColumn("w", words(F.col("text"))).select("query_id", *[e.alias(n) for n, e in features.items()]), "query_id").persist()
+    told = kept(stratified_folds(labels, "label", folds=folds, seed=seed).join(queries.withColumn("w", words(F.col("text"))).select("query_id", *[e.alias(n) for n, e in features.items()]), "query_id"))
     every = None
     for fold in range(folds):
         train = told.filter(F.col("fold") != fold)
@@ -67,6 +68,14 @@ def route(queries: DataFrame, labels: DataFrame, folds: int = 5, seed: int = 42,
     return told.select("query_id", "label", "fold", F.col("label").alias("predicted")) if every is None else every
 
 
+def label_histogram(labels: DataFrame, routed: list[str]) -> DataFrame:
+    """`method`, `n`: for how many queries each routed method is the label; zero where for none."""
+    spark = labels.sparkSession
+    names = spark.createDataFrame(list(enumerate(routed)), "label int, method string")
+    counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return names.join(counts, "label", "left").select("method", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def summary(routes: DataFrame, measured: DataFrame, routed: list[str]) -> DataFrame:
     """Accuracy, macro F1 and kappa of the router, and the mean of every measure under its choices."""
     names = F.array(*map(F.lit, routed))

@@ -52,7 +52,12 @@ def upper_tail(z: pd.Series) -> pd.Series:
 
 
 def wilcoxon(diffs: DataFrame, by: list[str], alternative: str = "greater", least: int = 1) -> DataFrame:
-    """`signed_rank` with `p` by the normal approximation; 1 if fewer than `least` differences aren't zero."""
+    """`signed_rank` with `p` by the normal approximation; 1 if fewer than `least` differences aren't zero.
+
+    alternative: greater (than zero) or two-sided.
+    """
+    if alternative not in ("greater", "two-sided"):
+        raise ValueError(f"no such alternative: {alternative}")
     tested = signed_rank(diffs, by)
     p = upper_tail("z") if alternative == "greater" else F.least(F.lit(1.0), 2 * upper_tail(F.abs("z")))
     every = diffs.select(*by).distinct().join(tested, by, "left")
@@ -69,45 +74,62 @@ def holm(tests: DataFrame, by: list[str], p: str = "p") -> DataFrame:
 
 
 def mann_whitney(rows: DataFrame, by: list[str], value: str, positive: str) -> DataFrame:
-    """U of the positives, the area U / (n1 n2), and its Hanley-McNeil interval at 95 %, cut at 0 and 1."""
-    r = tied_ranks(rows, by, value).groupBy(*by).agg(F.sum(F.when(F.col(positive), F.col("avg_rank"))).alias("rank_sum"), F.sum(F.col(positive).cast("long")).alias("n_pos"), F.sum((~F.col(positive)).cast("long")).alias("n_neg"))
+    """U of the positives, the area U / (n1 n2), its Hanley-McNeil interval at 95 %, cut at 0 and 1, and z and two-sided p.
+
+    z is normal, with ties taken into account and half a step towards the middle.
+    """
+    t = F.col("ties")
+    r = tied_ranks(rows, by, value).groupBy(*by).agg(F.sum(F.when(F.col(positive), F.col("avg_rank"))).alias("rank_sum"), F.sum(F.col(positive).cast("long")).alias("n_pos"), F.sum((~F.col(positive)).cast("long")).alias("n_neg"), F.sum(t * t - 1).alias("tie_term"))
     a, n1, n2 = F.col("auc"), F.col("n_pos"), F.col("n_neg")
     r = r.withColumn("u", F.col("rank_sum") - n1 * (n1 + 1) / 2).withColumn("auc", F.col("u") / (n1 * n2))
     q1, q2 = a / (2 - a), 2 * a * a / (1 + a)
-    error = F.sqrt((a * (1 - a) + (n1 - 1) * (q1 - a * a) + (n2 - 1) * (q2 - a * a)) / (n1 * n2))
-    return r.select(*by, "n_pos", "n_neg", "u", "auc", F.greatest(F.lit(0.0), a - 1.96 * error).alias("low"), F.least(F.lit(1.0), a + 1.96 * error).alias("high"))
+    error = F.sqrt(F.greatest(F.lit(0.0), (a * (1 - a) + (n1 - 1) * (q1 - a * a) + (n2 - 1) * (q2 - a * a)) / (n1 * n2)))
+    n, off = n1 + n2, F.col("u") - n1 * n2 / 2
+    spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tie_term") / (n * (n - 1))))
+    z = F.when(spread > 0, F.signum(off) * F.greatest(F.lit(0.0), F.abs(off) - 0.5) / spread).otherwise(F.lit(0.0))
+    r = r.select(*by, "n_pos", "n_neg", "u", "auc", F.greatest(F.lit(0.0), a - 1.96 * error).alias("low"), F.least(F.lit(1.0), a + 1.96 * error).alias("high"), z.alias("z"))
+    return r.withColumn("p", F.least(F.lit(1.0), 2 * upper_tail(F.abs("z"))))
 
 
-def bootstrap(diffs: DataFrame, resamples: int = 10_000, seed: int = 2026, block: int = 500) -> DataFrame:
-    """2.5 and 97.5 percentiles of the mean of resampled `diff`; blocks of resamples run as tasks.
+def bootstrap(diffs: DataFrame, resamples: int = 10_000, seed: int = 2026, by: list[str] | None = None) -> DataFrame:
+    """2.5 and 97.5 percentiles of the mean of resampled `diff` (query_id, diff), for each group of `by`.
 
-    Differences are one number for each query of a study, which every block needs whole.
+    Every difference draws by itself how often each resample has it, from a Poisson distribution with mean 1, so tasks need no
+    other rows than their own and hold a sum for each resample. Draws depend on the seed and the query alone.
     """
-    spark = diffs.sparkSession
-    values = np.array([r.diff for r in diffs.select("query_id", "diff").orderBy("query_id").collect()])
-    shared = spark.sparkContext.broadcast(values)
+    by = by or []
+    keys = [f"_k{i}" for i in range(len(by))]
+    told = diffs.select(*[F.col(c).cast("string").alias(k) for c, k in zip(by, keys)], F.xxhash64("query_id").alias("_key"), F.col("diff").cast("double").alias("diff"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = shared.value
+        held: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for number in batch.id:
-                draws = np.random.default_rng([seed, int(number)]).integers(0, len(x), (block, len(x)))
-                yield pd.DataFrame({"mean": x[draws].mean(axis=1)})
+            for *group, key, diff in batch.itertuples(index=False):
+                times = np.random.default_rng([seed, int(key) % 2**64]).poisson(1, resamples)
+                sums = held.setdefault(tuple(group), np.zeros((2, resamples)))
+                sums[0] += times
+                sums[1] += times * diff
+        for group, sums in held.items():
+            yield pd.DataFrame({**{k: [g] * resamples for k, g in zip(keys, group)}, "resample": np.arange(resamples), "times": sums[0], "total": sums[1]})
 
-    blocks = spark.range(0, -(-resamples // block), 1, 8)
-    return blocks.mapInPandas(run, "mean double").agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
+    schema = ", ".join([*[f"{k} string" for k in keys], "resample int, times double, total double"])
+    drawn = told.mapInPandas(run, schema).groupBy(*keys, "resample").agg((F.sum("total") / F.nullif(F.sum("times"), F.lit(0.0))).alias("mean"))
+    out = drawn.groupBy(*keys).agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "low", "high")
 
 
 def weighted_effects(neighbours: DataFrame, by: list[str]) -> DataFrame:
     """From `effect` and `sim`: weighted mean, its standard error, effective number, degrees of freedom.
 
-    A neighbour weighs max(sim, 0) + 0.001, weights add up to 1.
+    A neighbour weighs max(sim, 0) + 0.001, weights add up to 1. The mean comes first, then the squares around it.
     """
-    rows = neighbours.withColumn("w", F.greatest("sim", F.lit(0.0)) + 1e-3)
-    sums = rows.groupBy(*by).agg(F.sum("w").alias("w1"), F.sum(F.col("w") * F.col("w")).alias("w2"), F.sum(F.col("w") * F.col("effect")).alias("wx"), F.sum(F.col("w") * F.col("effect") * F.col("effect")).alias("wxx"))
-    mean, s2 = F.col("wx") / F.col("w1"), F.col("w2") / (F.col("w1") * F.col("w1"))
-    variance = F.greatest(F.lit(0.0), F.col("wxx") / F.col("w1") - mean * mean) / F.greatest(1 - s2, F.lit(1e-12))
-    return sums.select(*by, mean.alias("mean"), variance.alias("variance"), F.sqrt(variance * s2).alias("se"), (1 / s2).alias("n_eff"), F.greatest(F.floor(1 / s2 + 1e-9) - 1, F.lit(1)).cast("int").alias("df"))
+    group = Window.partitionBy(*by)
+    rows = neighbours.withColumn("w", F.greatest("sim", F.lit(0.0)) + 1e-3).withColumn("w", F.col("w") / F.sum("w").over(group))
+    rows = rows.withColumn("mean", F.sum(F.col("w") * F.col("effect")).over(group))
+    off = F.col("effect") - F.col("mean")
+    sums = rows.groupBy(*by).agg(F.first("mean").alias("mean"), F.sum(F.col("w") * F.col("w")).alias("s2"), F.sum(F.col("w") * off * off).alias("squares"))
+    s2, variance = F.col("s2"), F.col("squares") / F.greatest(1 - F.col("s2"), F.lit(1e-12))
+    return sums.select(*by, "mean", variance.alias("variance"), F.sqrt(F.greatest(variance, F.lit(0.0)) * s2).alias("se"), (1 / s2).alias("n_eff"), F.greatest(F.floor(1 / s2) - 1, F.lit(1)).cast("int").alias("df"))
 
 
 def bernstein(mean: Column, variance: Column, n_eff: Column, n_actions: int, alpha: float = 0.05) -> Column:

@@ -6,16 +6,15 @@ made up, so scores mean nothing, but every operator has whole tables to work on.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators.metrics import overlap_judgements
-from orrery.operators.retrieval import score_table
-from orrery.sources.readers import table
+from orrery.sources.readers import spread, table
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -49,6 +48,23 @@ def judged(spark: SparkSession, d: str, docs: DataFrame, queries: DataFrame) ->
     return pairs.join(labels, "doc_id", "left").select("query_id", "doc_id", F.when(F.col("quality") == 1, 2).otherwise(1).alias("gain"))
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of topics and papers with their scores and signals, as many as the rankings need."""
-    return score_table(papers(spark, d), topics(spark, d))
+def other_vectors(vectors: DataFrame, key: str) -> DataFrame:
+    """A second encoder's vectors: those of the next id, the first one's behind the last."""
+    last = vectors.agg(F.max("vec_id").alias("last"))
+    return vectors.crossJoin(F.broadcast(last)).select(F.when(F.col("vec_id") > 0, F.col("vec_id") - 1).otherwise(F.col("last")).alias(key), "embedding")
+
+
+def other_papers(spark: SparkSession, d: str) -> DataFrame:
+    """Papers with the second encoder's vectors."""
+    vectors = other_vectors(table(spark, d, "embeddings"), "doc_id")
+    return documents(spark, d).join(vectors, "doc_id").join(bibliography(spark, d).drop("has_record"), "doc_id", "left")
+
+
+def other_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Topics with the second encoder's vectors."""
+    return items(spark, d).join(other_vectors(table(spark, d, "embeddings"), "query_id"), "query_id")
+
+
+def dataset_of(key: str) -> Column:
+    """Three made-up datasets that queries belong to."""
+    return F.concat(F.lit("d"), F.pmod(F.col(key), F.lit(3)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bytes a core for which a table counts as small.
+SMALL = 16_000_000
 METADATA = "map<string, struct<citations:int, year:int, venue:string>>"
 
 
@@ -13,6 +15,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is too small to be many tasks' input, dealt to all cores; any other one as it is.
+
+    The size is Spark's own estimate, so a shuffle is only ever made of what each core would read in a moment.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores else df
+
+
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines `{_id, title, text}` as doc_id and text (title, a space, text; nulls count as empty)."""
     rows = spark.read.schema("_id string, title string, text string").json(path)
@@ -55,6 +67,15 @@ def bibliography(spark: SparkSession, path: str, wanted: DataFrame | None = None
     return rows if wanted is None else rows.join(wanted, "cord_uid", "left_semi")
 
 
+def aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Both tables joined by their key; running it fails if a key stands on one side only or twice on one."""
+    counts = [side.groupBy(key).agg(F.count(F.lit(1)).alias(f"_n{n}")) for n, side in (("l", left), ("r", right))]
+    odd = counts[0].join(counts[1], key, "full").filter("coalesce(_nl, 0) <> 1 OR coalesce(_nr, 0) <> 1")
+    checked = odd.agg(F.count(F.lit(1)).alias("_odd"))
+    joined = left.join(right, key).crossJoin(F.broadcast(checked))
+    return joined.filter(F.assert_true(F.col("_odd") == 0, F.concat(F.col("_odd"), F.lit(" keys aren't on both sides once"))).isNull()).drop("_odd")
+
+
 def require_texts(ids: DataFrame, texts: DataFrame) -> DataFrame:
     """ids with their texts; running it fails if a text is missing."""
     found = ids.join(texts, "query_id", "left")

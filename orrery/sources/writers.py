@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 
 def missing(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -21,6 +24,28 @@ def append_missing(spark: SparkSession, rows: DataFrame, path: str, keys: list[s
     rows.write.mode("append").parquet(path)
 
 
+def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A stage's table: read if it was written whole before, else made and written."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    # Without the marker of a whole write nothing can be read, so a stage that was cut short is made again.
+    make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """`df` checkpointed, for tables that several steps read: in the folder that the cluster names, in local sessions else in a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def results(rows: DataFrame, path: str, by: str = "dataset") -> None:
     """A tall table of results, a folder for each dataset."""
     rows.write.mode("overwrite").partitionBy(by).parquet(path)

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as driver
 
 FOLDER = "/root/testdata/sf0.001"
-CHECKED = ("bm25_topk", "bm25_metrics_mean", "dense_metrics_mean", "cahr_topk", "metadata_signals", "query_features", "citation_precision", "generation_summary", "keep_best", "robustness", "background_sample")
+CHECKED = ("bm25_topk", "bm25_metrics_mean", "dense_metrics_mean", "cahr_topk", "metadata_signals", "query_features", "citation_precision", "generation_summary", "keep_best", "merge_fields", "robustness", "background_sample", "metadata_diagnostics", "doi_chain", "generation_tasks", "policy_bases")
 
 
 def test_names():
