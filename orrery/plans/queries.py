@@ -281,7 +281,7 @@ def metadata_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 def second_pass(spark: SparkSession, d: str) -> DataFrame:
     """Parts without a record, asked for again under another key; a stand-in for the service knows two thirds of them."""
     known = frames.bibliography(spark, d).withColumn("doc_id", F.col("doc_id").cast("string"))
-    keys = known.select("doc_id", F.concat(F.lit("k"), "doc_id").alias("key"))
+    keys = known.select("doc_id", F.concat(F.lit("k"), F.col("doc_id").cast("long") + 1).alias("key"))
     service = lambda wanted: [None if int(k[1:]) % 3 == 0 else {"citations": int(k[1:]) % 50, "year": 2000, "venue": k} for k in wanted]
     return metadata.second_pass(known, keys, service)
 

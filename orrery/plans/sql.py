@@ -207,8 +207,8 @@ ORACLES: dict[str, str] = {
     "outcome_counts": f"{_DIFFS} SELECT method, measure, CAST(count_if(diff > 1e-12) AS BIGINT) AS improved, CAST(count_if(abs(diff) <= 1e-12) AS BIGINT) AS unchanged, CAST(count_if(diff < -1e-12) AS BIGINT) AS harmed FROM diffs GROUP BY method, measure",
     "metadata_diagnostics": f"""WITH {_DOCS}, {_ITEMS}, {_BIB}, {_qrels('docs', 'items')}, told AS (SELECT b.*, b.doc_id IN (SELECT doc_id FROM qrels) AS relevant FROM docs JOIN bib b USING (doc_id)),
       known AS (SELECT doc_id, year, relevant, coalesce(citations, 0) AS citations FROM told WHERE has_record),
-      pool AS (SELECT *, row_number() OVER (ORDER BY substr(md5('7|' || doc_id), 1, 8), doc_id) AS at FROM known WHERE NOT relevant),
-      sides AS (SELECT citations, true AS positive FROM known WHERE relevant UNION ALL SELECT citations, false FROM pool WHERE at <= least(25000, 10 * (SELECT count(*) FROM known WHERE relevant))),
+      pool AS (SELECT *, row_number() OVER (ORDER BY substr(md5('7|' || doc_id), 1, 8), doc_id) AS pos FROM known WHERE NOT relevant),
+      sides AS (SELECT citations, true AS positive FROM known WHERE relevant UNION ALL SELECT citations, false FROM pool WHERE pos <= least(25000, 10 * (SELECT count(*) FROM known WHERE relevant))),
       vals AS (SELECT citations, count(*) AS ties FROM sides GROUP BY citations), rk AS (SELECT *, coalesce({_TIED.format(by='1', v='citations')}, 0) + (ties + 1) / 2 AS avg_rank FROM vals),
       u AS (SELECT sum(CASE WHEN positive THEN avg_rank END) AS s, count_if(positive) AS n1, count_if(NOT positive) AS n2, sum(ties * ties - 1) AS tie_term FROM sides JOIN rk USING (citations)),
       a AS (SELECT *, s - n1 * (n1 + 1) / 2 AS u, (s - n1 * (n1 + 1) / 2) / (n1 * n2) AS auc FROM u),
@@ -218,8 +218,8 @@ ORACLES: dict[str, str] = {
         round(greatest(0, auc - 1.96 * se), 6) AS low, round(least(1, auc + 1.96 * se), 6) AS high, round(sign(u - n1 * n2 / 2) * greatest(0, abs(u - n1 * n2 / 2) - 0.5) / spread, 6) AS z
       FROM e, (SELECT median(citations) AS median_citations, round(avg(citations), 6) AS mean_citations, round(avg(CAST(citations = 0 AS INTEGER)), 6) AS zero_share, median(CASE WHEN year <> 0 THEN 2024 - year END) AS median_age FROM known) w,
         (SELECT {_SIDE('positive', 'positive')}, {_SIDE('background', 'NOT positive')} FROM sides) f""",
-    "second_pass": f"""WITH {_BIB} SELECT CAST(doc_id AS VARCHAR) AS doc_id, has_record OR doc_id % 3 <> 0 AS has_record, CASE WHEN has_record THEN citations WHEN doc_id % 3 <> 0 THEN doc_id % 50 END AS citations,
-      CASE WHEN has_record THEN year WHEN doc_id % 3 <> 0 THEN 2000 END AS year, CASE WHEN has_record THEN venue WHEN doc_id % 3 <> 0 THEN 'k' || doc_id END AS venue FROM bib""",
+    "second_pass": f"""WITH {_BIB} SELECT CAST(doc_id AS VARCHAR) AS doc_id, has_record OR (doc_id + 1) % 3 <> 0 AS has_record, CASE WHEN has_record THEN citations WHEN (doc_id + 1) % 3 <> 0 THEN (doc_id + 1) % 50 END AS citations,
+      CASE WHEN has_record THEN year WHEN (doc_id + 1) % 3 <> 0 THEN 2000 END AS year, CASE WHEN has_record THEN venue WHEN (doc_id + 1) % 3 <> 0 THEN 'k' || (doc_id + 1) END AS venue FROM bib""",
     "doi_chain": """SELECT d.doc_id, CAST(s_nationkey AS INTEGER) AS citations, coalesce(nullif(CASE WHEN s_suppkey % 2 = 0 THEN 2010 ELSE 0 END, 0), CASE WHEN p_size > 10 THEN p_size + 1950 END) AS year,
       coalesce(nullif(CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE '' END, ''), p_brand, '') AS venue
       FROM documents d LEFT JOIN part ON p_partkey = d.doc_id + 1 LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey < 200) ON p_partkey % 5 <> 0 AND s_suppkey = p_partkey % 200""",
@@ -235,14 +235,14 @@ ORACLES: dict[str, str] = {
       one AS (SELECT split_part(query_id, '|', 1) || '|' || method AS method, CAST(split_part(query_id, '|', 2) AS BIGINT) AS query_id, doc_id, rank FROM runs WHERE method IN ('BM25', 'Neural-Hybrid', 'CA-HR')), {_qrels('papers', 'topics')}, {_measured('one', 'topics')}
       SELECT split_part(method, '|', 1) AS noise, split_part(method, '|', 2) AS method, {_MEAN} FROM measured GROUP BY ALL""",
     "keep_best": "SELECT l_partkey, l_orderkey, CASE WHEN l_returnflag = 'N' THEN l_linestatus ELSE '' END AS doi FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_returnflag <> 'N', l_orderkey, l_linenumber) = 1",
-    "merge_fields": """WITH r AS (SELECT l_partkey, l_orderkey * 1000 + l_linenumber AS at, CASE WHEN l_linestatus = 'F' THEN l_returnflag ELSE '' END AS flag, CASE WHEN l_returnflag = 'N' THEN strftime(l_shipdate, '%Y-%m-%d') ELSE '' END AS shipped FROM lineitem),
-      f AS (SELECT l_partkey, min(at) FILTER (flag <> '') AS a, min(at) FILTER (shipped <> '') AS b FROM r GROUP BY l_partkey),
-      t AS (SELECT f.*, coalesce(x.flag, '') AS af, coalesce(x.shipped, '') AS ash, coalesce(y.flag, '') AS bf, coalesce(y.shipped, '') AS bsh FROM f LEFT JOIN r x ON x.l_partkey = f.l_partkey AND x.at = a LEFT JOIN r y ON y.l_partkey = f.l_partkey AND y.at = b)
+    "merge_fields": """WITH r AS (SELECT l_partkey, l_orderkey * 1000 + l_linenumber AS pos, CASE WHEN l_linestatus = 'F' THEN l_returnflag ELSE '' END AS flag, CASE WHEN l_returnflag = 'N' THEN strftime(l_shipdate, '%Y-%m-%d') ELSE '' END AS shipped FROM lineitem),
+      f AS (SELECT l_partkey, min(pos) FILTER (flag <> '') AS a, min(pos) FILTER (shipped <> '') AS b FROM r GROUP BY l_partkey),
+      t AS (SELECT f.*, coalesce(x.flag, '') AS af, coalesce(x.shipped, '') AS ash, coalesce(y.flag, '') AS bf, coalesce(y.shipped, '') AS bsh FROM f LEFT JOIN r x ON x.l_partkey = f.l_partkey AND x.pos = a LEFT JOIN r y ON y.l_partkey = f.l_partkey AND y.pos = b)
       SELECT l_partkey, CASE WHEN b > a AND bf <> '' THEN bf ELSE af END AS flag, CASE WHEN a > b AND ash <> '' THEN ash ELSE bsh END AS shipped FROM t""",
     "resume": "SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "citation_precision": f"WITH {_RECORDS} SELECT query_id, turn, CAST(n_citations AS INTEGER) AS n_citations, round(citation_precision, 6) AS citation_precision FROM cited",
     "generation_summary": f"WITH {_RECORDS} SELECT system, dataset, {_SUMMARY} FROM cited WHERE relevance <> 0 GROUP BY system, dataset UNION ALL SELECT system, NULL, {_SUMMARY} FROM cited WHERE relevance <> 0 GROUP BY system",
-    "generation_paired": f"""WITH {_RECORDS}, ok AS (SELECT * FROM cited WHERE relevance <> 0), long AS (UNPIVOT (SELECT dataset, query_id, system, turn, CAST(relevance AS DOUBLE) AS relevance, CAST(faithfulness AS DOUBLE) AS faithfulness, citation_precision, CAST(n_citations AS DOUBLE) AS n_citations FROM ok) INCLUDE NULLS ON relevance, faithfulness, citation_precision, n_citations INTO NAME measure VALUE value),
+    "generation_paired": f"""WITH {_RECORDS}, ok AS (SELECT * FROM cited WHERE relevance <> 0), long AS ({' UNION ALL '.join(f"SELECT dataset, query_id, system, turn, '{m}' AS measure, CAST({m} AS DOUBLE) AS value FROM ok" for m in ("relevance", "faithfulness", "citation_precision", "n_citations"))}),
       last AS (SELECT * FROM long QUALIFY row_number() OVER (PARTITION BY dataset, query_id, system, measure ORDER BY turn DESC) = 1),
       p AS (SELECT measure, dataset, query_id, max(value) FILTER (system = 'even') AS a, max(value) FILTER (system = 'odd') AS b FROM last GROUP BY measure, dataset, query_id HAVING a IS NOT NULL AND b IS NOT NULL),
       diffs AS (SELECT measure, a - b AS diff FROM p), {_SIGNED.format(by='measure', source='diffs')}

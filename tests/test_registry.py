@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as driver
@@ -25,7 +26,7 @@ def test_same_as_sql(spark, name):
     got = driver.queries()[name](spark, FOLDER).toPandas()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    plain = lambda df: sorted(tuple("" if v is None or v != v else f"{v:.5g}" if isinstance(v, float) else str(v) for v in r) for r in df[columns].astype(object).itertuples(index=False))
+    plain = lambda df: sorted(tuple("" if pd.isna(v) else f"{v:.5g}" if isinstance(v, float) else str(v) for v in r) for r in df[columns].astype(object).itertuples(index=False))
     assert [t for t in plain(got)] == [t for t in plain(want)]
 
 
