@@ -52,6 +52,8 @@ WIDTH, SIMILARITY = 5, 0.8
 SAMPLE, COMMON = 5000, 20_000
 #: Words of 64 bits of the parities, and of those that they are folded to, that pairs are held against before their texts are read.
 PARITIES, FOLDED = 32, 4
+#: Texts whose sets a task holds at a time.
+TEXTS = 256
 #: A table with more rows than this is never broadcast.
 BROADCAST_ROWS = 500_000
 #: Sorts after every document id.
@@ -304,7 +306,7 @@ def _sets(texts: DataFrame, common: np.ndarray, width: int, similarity: float) -
     ranked = common[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, len(b), TEXTS)):
             out = []
             for text in batch.column(2):
                 h = shingle_set(text.as_py(), width)
@@ -397,7 +399,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, s
     """Those of the pairs `a`, `b` whose sets, made again from their texts, are similar enough."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, len(b), TEXTS)):
             found = [shingle_set(t.as_py(), width) for t in batch.column(2)]
             made = [pa.array(x, pa.binary()) for x in ([h.tobytes() for h in found], [_wide(h) for h in found])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["fp", "size", "data", "wide"])

@@ -201,6 +201,36 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_any_size(spark):
+    """Components far beyond floats' whole numbers, and ids that several rows share: each row is a candidate and a query of its own."""
+    rng = random.Random(6)
+    for scale in (1e4, 3e7, 1e8):
+        x = [(i % 50, [float(rng.randrange(-9, 10)) * scale / 64 for _ in range(6)]) for i in range(70)] + [(20, [scale / 64] * 6)] * 2
+        df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+        m = [[int(np.floor(64 * c)) for c in v] for _, v in x]
+        want = []
+        for q, (query_id, _) in enumerate(x):
+            if query_id % 20 == 0:
+                found = sorted((-sum(a * b for a, b in zip(m[q], v)), i) for j, ((i, _), v) in enumerate(zip(x, m)) if j != q)[:5]
+                want += [(query_id, r, i, -s) for r, (s, i) in enumerate(found, 1)]
+        got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=5, block=16).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    two = spark.createDataFrame([(0, [3e5]), (1, [4e5])], "vec_id long, embedding array<float>")
+    assert topk.top_k(two, F.col("vec_id") % 20 == 0).first().score == 491520000004096 - 4096
+    with pytest.raises(Exception, match="doesn't fit a long"):
+        topk.top_k(spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+
+
+def test_word_tokenizer_on_any_text():
+    """Ids of random texts of all kinds of characters, with marks behind words, are the tokenizer's."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, mine, rng = Tokenizer.from_file(path), packing.WordTokenizer(path), random.Random(8)
+    pool = [*map(chr, (*range(32, 127), *range(0xA0, 0x250), *range(0x300, 0x530), 0x130, 0x1E9E, 0x2000, 0x2028, 0x3000, 0x200D, 0xFB01, 0x1F600, 0xAC00, 0x1100, 0x1161, 0x4E00, 0x2167, 0x1D400, 9, 10, 11, 28, 0x85))]
+    texts = ["İ,", "ß.", "é,", "<|endoftext|>.", "don't, 's,", *(" ".join("".join(rng.choices(pool, k=rng.randrange(1, 7))) + rng.choice(["", ",", ".", "'s", ".,"]) for _ in range(rng.randrange(12))) for _ in range(5000))]
+    for text, ids in zip(texts, mine.encode(texts)):
+        assert ids == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_rules(docs, nothing):
     for text in TEXTS:
         words = (text or "").encode().split()
@@ -243,6 +273,48 @@ def test_chat(spark, budget, history):
     assert chat.read_back(chat.windows(df.limit(0))).count() == 0
 
 
+def test_chat_keeps_to_the_budget(spark):
+    """No window exceeds the budget but one of a single turn; the system turn stands in every window where it fits."""
+    words = lambda n: " ".join(["word"] * n)
+    turns = [(1, 0, "system", words(596)), (1, 1, "user", words(596)), (1, 2, "assistant", words(300)), (1, 3, "user", words(1500)), (1, 4, "assistant", words(10))]
+    turns += [(2, 0, "system", words(20)), *((2, t, "user" if t % 2 else "assistant", words(90)) for t in range(1, 40))]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    made = chat.windows(df, 1024, 256).orderBy("conv_id", "window").collect()
+    for r in made:
+        told = chat.parse(r.text)
+        assert r.n_tokens <= 1024 or len(told) == 1
+        if r.conv_id == 2:
+            assert told[0] == ("system", words(20)) and len(told) > r.n_context
+    assert [[role for role, _ in chat.parse(r.text)] for r in made if r.conv_id == 1] == [["system"], ["user", "assistant"], ["user"], ["system", "assistant"]]
+    assert max(r.n_context for r in made if r.conv_id == 2) == 3
+
+
+def test_letters_and_offsets(spark):
+    """Only letters count as such, and spans are places in the text as it is."""
+    df = spark.createDataFrame([(i, ("the cat and the dog sat there " if i % 2 else "der hund und die katze sitzen dort ") * 5, "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string")
+    model = langid.train(df, F.col("doc_id") >= 0)
+    mixed = "İİİ the cat and the dog sat there " * 3 + "ıİ der hund und die katze sitzen dort " * 3
+    told = spark.createDataFrame([(1, "² ½"), (2, "Ⅷ ① 12 _ 𝟙 ¾"), (3, mixed), (4, "x² y")], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.identify(told, model).collect()}
+    assert [(got[i].lang_pred, got[i].score, got[i].spans) for i in (1, 2)] == [("und", 0.0, [])] * 2 and got[4].lang_pred != "und"
+    spans = got[3].spans
+    assert spans[0].start == 0 and spans[-1].end == len(mixed) and all(a.end == b.start for a, b in zip(spans, spans[1:]))
+    first = next(s for s in spans if s.lang == "de" and "hund" in mixed[s.start : s.end])
+    assert mixed[first.start : first.end].lstrip().startswith(("der", "ıİ", "hund"))
+
+
+def test_no_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from orrery.llm import common
+
+    none = SimpleNamespace(get=lambda *_: None)
+    held = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: none, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: held)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(SimpleNamespace(conf=none, sparkContext=context))
+
+
 def test_viterbi():
     rng = np.random.default_rng(2)
     model = langid.Model(["a", "b", "c"], np.zeros((langid.BUCKETS, 3), np.float32))
@@ -333,7 +405,7 @@ def test_maxent(spark, docs, nothing, monkeypatch, chunk):
     n, v = sum(counts.values()), len(counts)
     key = lambda pair: (pair[0] is None, pair[0], pair[1])
     for (a, x), (b, y) in zip(sorted(plain, key=key), sorted(((r.doc_id, r.score) for r in got), key=key)):
-        assert a == b and x == pytest.approx(y, abs=1e-3)
+        assert a == b and x == pytest.approx(y, abs=0.02)
     for r in got:
         if r.doc_id is not None and r.doc_id != 5:
             words = maxent.words_of(TEXTS[r.doc_id])
@@ -389,11 +461,11 @@ def test_maxent_gradients():
             w[kind][row, column] -= step
         assert found[kind][0][row, column] - found[kind][1][row, column] == pytest.approx((up[0] - up[1]) / 2e-4, abs=1e-3)
     unit, token = np.array([0, 0, 0, 1, 1, 0]), np.array([5, 6, 7, 5, 8, 5])
-    share, n = np.array([0.2, 0.1, 0.3, 0.2, 0.1, 0.2]), np.array([4, 30, 1, 3, 1, 5])
+    share, n = np.array([0.2, 0.1, 0.3, 0.2, 0.0, 0.2]), np.array([4, 30, 1, 3, 9, 5])
     added = maxent.fit_pairs(unit, token, share, n, 60)
     assert added[0] == added[5]
     whole = {u: -a for u, a in ((0, added[2]), (1, added[4]))}
-    for i, seen, every in ((0, 9, 40), (1, 30, 40), (3, 3, 4)):
+    for i, seen, every in ((0, 9, 40), (1, 30, 40), (3, 3, 12)):
         weight = added[i] + whole[unit[i]]
         assert seen - every * share[i] * np.exp(added[i]) == pytest.approx(weight / maxent.VARIANCE, abs=1e-2)
 
@@ -432,13 +504,48 @@ def test_quality(spark, nothing):
     assert quality.score(df, quality.train(df, labels.filter("quality = 1"), F.lit(True))).first().score == 1
 
 
-def test_attention_gradient():
-    """The learned loss falls, and attention adds up to 1 in each document."""
+def plain_attention(w, passages):
+    """The score of one document, passage by passage."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    codes = [np.tanh(w["encode"].T @ x + w["encode_0"]) for x in passages]
+    logits = [w["attend"] @ (np.tanh(w["value"].T @ c) * sigmoid(w["gate"].T @ c)) for c in codes]
+    weights = np.exp(logits) / np.exp(logits).sum()
+    return sigmoid(w["out"] @ sum(a * c for a, c in zip(weights, codes)) + w["out_0"]), weights
+
+
+def test_attention():
+    """Scores and weights against the plain version, the step of training against numeric slopes, and the learned loss."""
     rng = np.random.default_rng(1)
-    owner = np.repeat(np.arange(60), 3)
-    x = rng.normal(0, 1, (180, quality.FEATURES))
-    y = (x.reshape(60, 3, -1)[:, :, 0].max(axis=1) > 0.8).astype(float)
-    model = quality.fit(owner, x, y, np.ones(60))
-    scores, attention = model.score(owner, x, 60)
-    assert ((scores > 0.5) == (y == 1)).mean() > 0.9
-    assert np.allclose(np.bincount(owner, attention), 1)
+    sizes = rng.integers(1, 6, 40)
+    owner = np.repeat(np.arange(40), sizes)
+    x = rng.normal(0, 1, (len(owner), quality.FEATURES))
+    y = np.array([(x[owner == d, 0].max() > 0.5) for d in range(40)], float)
+    importance = rng.uniform(0.5, 2, 40)
+    model = quality.fit(owner, x, y, importance)
+    scores, attention = model.score(owner, x, 40)
+    for d in range(40):
+        score, weights = plain_attention(model.weights, model.scaled(x)[owner == d])
+        assert scores[d] == pytest.approx(score, abs=1e-9) and np.allclose(attention[owner == d], weights)
+    assert ((scores > 0.5) == (y == 1)).mean() > 0.9 and np.allclose(np.bincount(owner, attention), 1)
+
+    def loss(w):
+        p = quality._forward(w, owner, model.scaled(x), 40)["score"]
+        return -(importance * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / importance.sum() + quality.DECAY / 2 * sum((v**2).sum() for v in w.values())
+
+    # At the end of training the slope is next to nothing in every weight, by differences of the loss.
+    start = {k: v * 0.5 for k, v in model.weights.items()}
+    slopes = lambda w: [(loss({**w, k: w[k] + e}) - loss({**w, k: w[k] - e})) / 2e-5 for k in w for e in (np.where(np.arange(w[k].size) == w[k].size // 2, 1e-5, 0).reshape(w[k].shape),)]
+    assert loss(model.weights) < loss(start) and np.abs(slopes(model.weights)).max() < 0.02 < np.abs(slopes(start)).max()
+
+
+def test_repeated_documents_teach_once(spark):
+    texts = [(i, "fine words here and there " * 9 if i % 2 else "### !!! $$$ " * 9) for i in range(20)]
+    df = spark.createDataFrame(texts + [texts[3]] * 50 + [(3, "###")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+    seen = []
+    real, quality.fit = quality.fit, lambda owner, x, y, importance: seen.append(len(y)) or real(owner, x, y, importance)
+    try:
+        quality.train(df, labels, F.lit(True))
+    finally:
+        quality.fit = real
+    assert seen == [20]
