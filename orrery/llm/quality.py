@@ -30,7 +30,7 @@ HIDDEN, ROUNDS, RATE, DECAY = 16, 250, 0.03, 1e-4
 #: A document with a score below this is predicted to be of label 0.
 THRESHOLD = 0.3
 #: Texts described at a time, in bytes.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
