@@ -9,7 +9,7 @@ All three are softmaxes.
 * The first two are over n-gram features (the bucket before with the class or bucket), skip features (the class of the token
   before that) and, for the class, both together, hashed. Their number is fixed.
 * The third is over the tokens of the bucket, with the smoothed share of each as its bias and an n-gram feature for every pair
-  of tokens that training texts hold at least twice. Tokens are told apart by 64-bit hashes. These features grow with the
+  of tokens that training texts hold at least twice. Tokens are told apart by hashes. These features grow with the
   corpus. Tokens without a feature keep their bias, so the sum of a softmax is 1 and what the features add: it needs the pairs
   seen, not the whole bucket.
 
@@ -56,6 +56,8 @@ PAIRS = 2048
 ROUNDS, RATE, PRIOR = 12, 0.7, 5.0
 #: Rounds and greatest step of the third, the variance of its weights' prior, and how often a pair must be seen.
 PAIR_ROUNDS, PAIR_STEP, VARIANCE, SEEN = 12, 2.0, 8.0, 2
+#: Bits of a token's hash, and steps of one in the third softmax's share of a log10 score as it comes back to a chunk.
+HASHED, STEPS = 40, 2048
 #: Pairs behind a token that training texts hold this often are dealt by bucket too.
 FREQUENT = 4096
 SMOOTH = 0.1
@@ -132,9 +134,8 @@ def bucket_of(token: bytes) -> int:
 
 
 def hash_of(token: bytes) -> int:
-    """A signed 64-bit hash of the token whose last bits are its bucket."""
-    h = xxhash.xxh64_intdigest(token, 42) & ~(BUCKETS - 1) | bucket_of(token)
-    return h - 2**64 if h >> 63 else h
+    """A hash of the token in HASHED bits, the last of which are its bucket."""
+    return xxhash.xxh64_intdigest(token, 42) % (1 << HASHED) & ~(BUCKETS - 1) | bucket_of(token)
 
 
 @dataclass
@@ -348,18 +349,20 @@ class Chunk:
         return cls(_flat(docs.column("doc_id")), sizes, np.repeat(learns, sizes), _joined(docs.column("at"), np.int32), _joined(known.column("c")), _joined(known.column("h")))
 
     def pairs(self, targets: int) -> tuple[np.ndarray, ...]:
-        """Distinct pairs (numbers of both tokens) whose first token may have features, how often training texts hold them, and
-        their destinations, sorted by destination and pair; and each token's pair, the number of pairs where it has none."""
+        """Distinct pairs whose first token may have features: the numbers of both tokens, where the second can't have a feature that
+        of its bucket behind those of all tokens; how often training texts hold them; and their destinations; all sorted by
+        destination and pair. Then each token's pair, the number of pairs where it has none."""
         begins = np.cumsum(self.sizes) - self.sizes
         inside = np.ones(len(self.at), bool)
         inside[begins] = False
         inside[1:] &= self.c[self.at[:-1]] >= SEEN
         where = np.flatnonzero(inside)
-        n = len(self.c)
-        key, which = np.unique(self.at[where - 1].astype(np.int64) * n + self.at[where], return_inverse=True)
-        a, b = np.divmod(key, n)
-        bucket = self.h[b] & (BUCKETS - 1)
-        target = ((self.h[a] >> 41) + np.where(self.c[a] >= FREQUENT, bucket * 7919, 0)) % targets
+        n, bucket = len(self.c), self.h & (BUCKETS - 1)
+        second = np.where(self.c >= SEEN, np.arange(n), n + bucket)[self.at[where]]
+        key, which = np.unique(self.at[where - 1].astype(np.int64) * (n + BUCKETS) + second, return_inverse=True)
+        a, b = np.divmod(key, n + BUCKETS)
+        of = np.concatenate((bucket, np.arange(BUCKETS)))[b]
+        target = ((self.h[a] >> 9) + np.where(self.c[a] >= FREQUENT, of * 7919, 0)) % targets
         order = np.argsort(target, kind="stable")
         place = np.empty(len(key), np.int64)
         place[order] = np.arange(len(key))
@@ -377,10 +380,11 @@ def chunk_pairs(read: DataFrame, known: DataFrame, targets: int) -> DataFrame:
         chunk = Chunk.of(docs, tokens)
         a, b, seen, target, _ = chunk.pairs(targets)
         cuts, out = np.searchsorted(target, np.arange(targets + 1)), []
+        h, c = np.concatenate((chunk.h, np.arange(BUCKETS))), np.concatenate((chunk.c, np.zeros(BUCKETS, np.int64)))
         for t in np.flatnonzero(np.diff(cuts)):
             first, second, n = (x[cuts[t] : cuts[t + 1]] for x in (a, b, seen))
             starts = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
-            out.append([t, (chunk.h[first[starts]] >> 9).astype(np.int32), np.diff(np.append(starts, len(first))).astype(np.int32), chunk.h[second].astype(np.int32), chunk.c[second], n])
+            out.append([t, (chunk.h[first[starts]] >> 9).astype(np.int32), np.diff(np.append(starts, len(first))).astype(np.int32), h[second].astype(np.int32), c[second], n])
         packed = {c: [_pack(r[i]) for r in out] for i, c in enumerate(("before", "runs", "token", "c", "n"), 1)}
         return pa.Table.from_batches([_rows(PAIR_ROWS, chunk=[docs.column("chunk")[0].as_py()] * len(out), target=[r[0] for r in out], **packed)])
 
@@ -392,7 +396,7 @@ def chunk_pairs(read: DataFrame, known: DataFrame, targets: int) -> DataFrame:
 def fit_pairs(unit: np.ndarray, token: np.ndarray, share: np.ndarray, n: np.ndarray, rounds: int = PAIR_ROUNDS) -> np.ndarray:
     """What the third softmax adds to log share for every pair; pairs of a unit (token before, bucket) are one softmax.
 
-    Pairs may repeat: their counts n are summed. Those seen SEEN times or more have a feature.
+    Pairs may repeat: their counts n are summed. Those with a share that are seen SEEN times or more have a feature.
     """
     order = np.lexsort((token, unit))
     unit_s, token_s = unit[order], token[order]
@@ -402,7 +406,7 @@ def fit_pairs(unit: np.ndarray, token: np.ndarray, share: np.ndarray, n: np.ndar
     number = np.cumsum(np.concatenate(([True], unit_s[1:] != unit_s[:-1]))) - 1
     whole = np.bincount(number, n[order])
     of = number[starts]
-    featured = np.flatnonzero(seen >= SEEN)
+    featured = np.flatnonzero((seen >= SEEN) & (p > 0))
     w = np.zeros(len(starts))
     f_of, f_seen, f_p, f_w = of[featured], seen[featured], p[featured], np.zeros(len(featured))
     all_of = whole[f_of]
@@ -419,14 +423,16 @@ def fit_pairs(unit: np.ndarray, token: np.ndarray, share: np.ndarray, n: np.ndar
 
 
 def pair_scores(pairs: DataFrame, model: Model, rounds: int = PAIR_ROUNDS) -> DataFrame:
-    """`chunk`, `target`, `added`: what the third softmax adds to each pair's log10 share, in the order that the pairs came in."""
+    """`chunk`, `target`, `added`: what the third softmax adds to each pair's log10 share, in steps of 1 / STEPS, in the order that the pairs came in."""
 
     def run(table: pa.Table) -> pa.Table:
         token = _joined(table.column("token"), np.int32)
         bucket = token & (BUCKETS - 1)
         before = np.unique(_joined(table.column("before"), np.int32), return_inverse=True)[1]
         unit = np.repeat(before, _joined(table.column("runs"), np.int32)) * BUCKETS + bucket
-        added = (fit_pairs(unit, token, model.share(_joined(table.column("c")), bucket), _joined(table.column("n")), rounds) / np.log(10)).astype(np.float32)
+        c = _joined(table.column("c"))
+        share = np.where(c >= SEEN, model.share(c, bucket), 0)
+        added = np.rint(fit_pairs(unit, token, share, _joined(table.column("n")), rounds) / np.log(10) * STEPS).clip(-32768, 32767).astype(np.int16)
         cuts = np.cumsum([0, *(len(_unpack(x.as_buffer(), np.int32)) for x in table.column("token"))])
         return pa.table({"chunk": table.column("chunk"), "target": table.column("target"), "added": pa.array([_pack(added[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
@@ -453,7 +459,7 @@ def scored(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: st
             expanded.append(model.table())
         is_known = pa.compute.is_valid(right.column("h"))
         chunk = Chunk.of(left, right.filter(is_known))
-        of_pair = np.append(_joined(right.filter(pa.compute.invert(is_known)).sort_by("target").column("added"), np.float32), np.float32(0))
+        of_pair = np.append(_joined(right.filter(pa.compute.invert(is_known)).sort_by("target").column("added"), np.int16) / STEPS, 0)
         buckets, c = (chunk.h & (BUCKETS - 1))[chunk.at], chunk.c[chunk.at]
         begins = np.cumsum(chunk.sizes) - chunk.sizes
         inside = np.log10(model.share(c, buckets)) + expanded[0][histories(buckets, begins), buckets] + of_pair[chunk.pairs(targets)[4]]
