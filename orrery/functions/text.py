@@ -20,8 +20,9 @@ BETWEEN = PUNCTUATION[:-1] + SPACES + "]+"
 
 def tokens(text: Column) -> Column:
     """Lower-cased words, punctuation as space. A text without words gives one empty token."""
-    parts = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), lambda w: w != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit("")))
+    # Without marks at either end there is nothing to filter, and an empty text splits into one empty token.
+    inner = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"^{BETWEEN}|{BETWEEN}\z", "")
+    return F.split(inner, BETWEEN)
 
 
 def words(text: Column) -> Column:

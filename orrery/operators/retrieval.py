@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.text import tokens
+from orrery.sources.writers import kept
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 ALPHA, TOP = 0.6, 100
@@ -43,8 +44,7 @@ def term_statistics(corpus: DataFrame) -> DataFrame:
     """`term`, `df`, `total_len` over the whole corpus, read once: each document adds its different terms, and its length to a row
     without a term, whose `df` is the number of documents. `total_len` is null for terms.
 
-    Users tell the two kinds apart by `total_len`: unlike a filter on the grouping key it stays above the shuffle, which is then
-    made once for all of them.
+    Users tell the two kinds apart by `total_len`.
     """
     t = corpus.select(tokens(F.col("text")).alias("t"))
     each = t.select(F.size("t").alias("len"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))).alias("term"))
@@ -58,7 +58,7 @@ def _corpus_size(statistics: DataFrame) -> DataFrame:
 
 def inverse_frequencies(corpus: DataFrame) -> DataFrame:
     """`term`, `df`, `idf`: a negative idf becomes EPSILON times the mean of all idf as they were."""
-    return _inverse(term_statistics(corpus))
+    return _inverse(kept(term_statistics(corpus)))
 
 
 def _inverse(statistics: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def _inverse(statistics: DataFrame) -> DataFrame:
 def weighted_terms(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """`queries` with `terms`, `weights` (how often a query has a term times its idf in the corpus) and the corpus' `mean_len`."""
     found = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    statistics = term_statistics(corpus)
+    statistics = kept(term_statistics(corpus))  # read four times
     idf = _inverse(statistics).join(found.select("term").distinct(), "term", "left_semi").select("term", "idf")
     listed = found.join(idf, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", (F.col("times") * F.col("idf")).alias("w"))).alias("e"))
     told = queries.join(listed, "query_id", "left").crossJoin(F.broadcast(_corpus_size(statistics).select("mean_len")))
