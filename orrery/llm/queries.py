@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, chat, langid, maxent, packing, quality, rules, simhash, topk, urls
+from orrery.llm import bpe, chat, langid, maxent, orderhash, packing, periodic, quality, rules, simhash, topk, urls
 from orrery.llm.common import split_of, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -75,9 +75,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_language_id, op3_maxent_scores, op4_chat_windows, op5_url_filter, op6_best_fit_packing, op7_exact_top_k, op8_quality_classifier, op9_quality_rules, op10_byte_bpe)
-}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every text, a tenth of which are made periodic, and the texts without repetitions."""
+    return periodic.collapsed(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")))
+
+
+def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited forms."""
+    return orderhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_simhash, op2_language_id, op3_maxent_scores, op4_chat_windows, op5_url_filter, op6_best_fit_packing, op7_exact_top_k, op8_quality_classifier, op9_quality_rules, op10_byte_bpe, op12_periodic_runs, op13_order_minhash)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _ANY = lambda terms: "|".join(terms)
 _PAGES = """
