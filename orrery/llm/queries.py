@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, chat, langid, maxent, orderhash, packing, periodic, quality, rules, simhash, topk, urls
+from orrery.llm import bpe, chat, crosstok, langid, maxent, orderhash, packing, periodic, quality, rules, simhash, topk, urls
 from orrery.llm.common import split_of, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers' tokens over all texts, aligned by bytes."""
+    return crosstok.aligned(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The periodic runs of every text, a tenth of which are made periodic, and the texts without repetitions."""
     return periodic.collapsed(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")))
@@ -85,7 +91,7 @@ def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_simhash, op2_language_id, op3_maxent_scores, op4_chat_windows, op5_url_filter, op6_best_fit_packing, op7_exact_top_k, op8_quality_classifier, op9_quality_rules, op10_byte_bpe, op12_periodic_runs, op13_order_minhash)
+_ALL = (op1_simhash, op2_language_id, op3_maxent_scores, op4_chat_windows, op5_url_filter, op6_best_fit_packing, op7_exact_top_k, op8_quality_classifier, op9_quality_rules, op10_byte_bpe, op11_token_alignment, op12_periodic_runs, op13_order_minhash)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _ANY = lambda terms: "|".join(terms)
