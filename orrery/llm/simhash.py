@@ -49,7 +49,7 @@ SHARD_SIZE = 1024
 #: Of `near_duplicates` and `keep_first`: words of a shingle, and the least similarity.
 WIDTH, SIMILARITY = 5, 0.8
 #: Texts whose shingles are counted, and how many common shingles are told to the tasks.
-SAMPLE, COMMON = 5000, 20_000
+SAMPLE, COMMON = 50_000, 200_000
 #: Words of 64 bits of the parities, and of those that they are folded to, that pairs are held against before their texts are read.
 PARITIES, FOLDED = 32, 4
 #: Texts whose sets a task holds at a time.
@@ -296,8 +296,8 @@ def _common(texts: DataFrame, width: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), width).view(np.int64))], ["h"])
 
     some = texts.filter(F.pmod(F.xxhash64("_row"), F.lit(-(-n // SAMPLE) or 1)) == 0).select("_text").mapInArrow(run, "h long")
-    found = some.groupBy("h").count().filter(F.col("count") >= 5).orderBy(F.desc("count"), "h").limit(COMMON).collect()
-    return np.array([r.h for r in reversed(found)], np.int64).view(np.uint64)
+    found = some.groupBy("h").count().filter(F.col("count") >= 5).orderBy(F.desc("count"), "h").limit(COMMON).select("h").toArrow()
+    return found.column("h").to_numpy()[::-1].view(np.uint64)
 
 
 def _sets(texts: DataFrame, common: np.ndarray, width: int, similarity: float) -> DataFrame:
@@ -369,18 +369,24 @@ def _best_pivots(shared: DataFrame) -> DataFrame:
 
 def _pairs_across(shared: DataFrame, groups: DataFrame, similarity: float, every: bool) -> DataFrame:
     """`a`, `b`: pairs that share a first shingle, may be similar and aren't in one group yet; of each list of sets that share one
-    those with the least, or every pair."""
+    those with the least, or every pair. groups: fp, folded, first.
+
+    Folded parities are looked at here, so that pairs that they rule out are never rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
-        for h, fp, size, bits, group in _lists(batches):
+        for h, fp, size, bits, group, folded in _lists(batches):
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             mixed = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
+            wide = np.frombuffer(b"".join(folded.tolist()), np.uint64).reshape(len(h), -1)
             for a, b in zip(starts[mixed].tolist(), np.append(starts, len(h))[1:][mixed].tolist()):
                 for i in range(a, b - 1 if every else a + 1):
                     to = slice(i + 1, b)
-                    keep = (group[to] != group[i]) & _possible(size[i], bits[i : i + 1], size[to], bits[to], similarity)
-                    if keep.any():
+                    keep = np.flatnonzero((group[to] != group[i]) & _possible(size[i], bits[i : i + 1], size[to], bits[to], similarity))
+                    if len(keep):
+                        apart = np.bitwise_count(wide[to][keep] ^ wide[i]).sum(axis=1, dtype=np.int64)
+                        keep = keep[apart <= (size[i] + size[to][keep]) * (1 - similarity) / (1 + similarity) + 1e-9]
+                    if len(keep):
                         ends = fp[to][keep]
                         found.append((np.full(len(ends), fp[i]), ends))
                         held += len(ends)
@@ -391,12 +397,12 @@ def _pairs_across(shared: DataFrame, groups: DataFrame, similarity: float, every
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
 
     told = shared.drop("pivot").join(groups.withColumnRenamed("first", "group"), "fp")
-    dealt = told.repartition("h").sortWithinPartitions("h", "fp").select("h", "fp", "size", "bits", "group")
+    dealt = told.repartition("h").sortWithinPartitions("h", "fp").select("h", "fp", "size", "bits", "group", "folded")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs `a`, `b` whose sets, made again from their texts, are similar enough."""
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, similarity: float, kinds: tuple[str, ...] = ("folded", "parities")) -> DataFrame:
+    """Those of the pairs `a`, `b` whose sets, made again from their texts, are similar enough; kinds: parities they are held against first."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, len(b), TEXTS)):
@@ -437,7 +443,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, s
 
     # Few bits first: most pairs end there, and what goes with each pair through the shuffles stays small.
     first, ended = sets.dropDuplicates(["fp"]), None
-    for kind in ("folded", "parities"):
+    for kind in kinds:
         pairs = written(both(pairs, first, kind).mapInArrow(near, "a long, b long"), "pairs")
         if ended is not None:
             dropped(ended)
@@ -461,9 +467,13 @@ def _grouped(texts: DataFrame, width: int, similarity: float) -> tuple[DataFrame
     shared = written(_shared(sets, similarity), "shared")
     groups, links, ended = own, None, []
     # Best pivots join most of a group, so that the other two steps, which compare across groups only, find few pairs left.
+    folded = sets.select("fp", "folded").dropDuplicates(["fp"])
     for step in (0, 1, 2):
-        numbered = groups.select("fp", F.xxhash64("first").alias("first"))
-        found = _verified(_best_pivots(shared) if step == 0 else _pairs_across(shared, numbered, similarity, step == 2), sets, texts, width, similarity)
+        if step:
+            numbered = folded.join(groups.select("fp", F.xxhash64("first").alias("first")), "fp")
+            found = _verified(_pairs_across(shared, numbered, similarity, step == 2), sets, texts, width, similarity, ("parities",))
+        else:
+            found = _verified(_best_pivots(shared), sets, texts, width, similarity)
         ended.append(found)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
