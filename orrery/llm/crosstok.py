@@ -38,7 +38,7 @@ from orrery.llm.common import written
 #: Bytes of a range of a long text; longer texts are divided. Fragments that a step of the tree joins.
 CHUNK, FAN = 32_768, 16
 #: Links of a lot; parts that are remembered, and their longest length.
-LOT, REMEMBERED, SHORT = 2_000_000, 250_000, 64
+LOT, REMEMBERED, SHORT = 2_000_000, 400_000, 64
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 
@@ -147,18 +147,42 @@ class Aligner:
 
     def learn(self, parts: set[str]) -> None:
         """Puts the closed groups of these parts among those known."""
-        new = list(parts - self.known.keys())
+        new = [p for p in parts if p not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(parts)
+            self.known = {p: self.known[p] for p in parts if p in self.known}
+        # White space at a text's edges would run into the space between two parts.
+        edged = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        for part in edged:
+            self._learn([part])
+        new = [p for p in new if p not in edged]
         for i in range(0, len(new), 2000):
-            some = new[i : i + 2000]
-            for part, tokens in zip(some, self.tokens(some)):
-                if tokens is None:
-                    self.known[part] = False
-                else:
-                    f = finished(Fragment.of(tokens, self.base), self.base)
-                    self.known[part] = f.groups, f.n_a | f.n_b << 64 | f.n_groups << 128, np.array(f.links, np.int64).tobytes()
+            self._learn(new[i : i + 2000])
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encodes parts as one text, whose tokens end where parts do; if they don't spell it, halves of it."""
+        data = (" " + " ".join(parts)).encode()
+        ids_a, ids_b = self.a.encode(" " + " ".join(parts), add_special_tokens=False).ids, self.b.encode(" ".join(parts))
+        a, b = [self.bytes_a.get(i, b"") for i in ids_a], [self.bytes_b[i] for i in ids_b]
+        if b"".join(a) != data or b"".join(b) != data:
+            if len(parts) == 1:
+                self.known[parts[0]] = False
+            else:
+                self._learn(parts[: len(parts) // 2])
+                self._learn(parts[len(parts) // 2 :])
+            return
+        ends_a, ends_b = (np.cumsum(np.fromiter(map(len, x), np.int64, len(x))) for x in (a, b))
+        # A link's shared bytes end where a token of either side does, and every such end belongs to one link.
+        every = np.union1d(ends_a, ends_b)
+        links = np.array(ids_a)[ends_a.searchsorted(every)] * self.base + np.array(ids_b)[ends_b.searchsorted(every)]
+        common, of_a, of_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        told_a, told_b = list(map(str, ids_a)), list(map(str, ids_b))
+        upto_a, upto_b = [0, *(of_a + 1).tolist()], [0, *(of_b + 1).tolist()]
+        groups = [f"{','.join(told_a[i:j])}|{','.join(told_b[k:n])}" for i, j, k, n in zip(upto_a, upto_a[1:], upto_b, upto_b[1:])]
+        edges = np.cumsum([len(p.encode()) + 1 for p in parts])
+        (a0, a1), (b0, b1), (g0, g1), (l0, l1) = (([0, *cut[:-1]], cut) for cut in (x.searchsorted(edges, "right").tolist() for x in (ends_a, ends_b, common, every)))
+        held = links.tobytes()
+        for part, i, j, k, n, g, h, x, y in zip(parts, a0, a1, b0, b1, g0, g1, l0, l1):
+            self.known[part] = ";".join(groups[g:h]).encode(), j - i | n - k << 64 | h - g << 128, held[8 * x : 8 * y]
 
     def forget_long(self, parts: set[str]) -> None:
         for part in parts:
@@ -327,8 +351,8 @@ def _short_lots(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         aligner, number = aligner_for(path_a, path_b), TaskContext.get().partitionId() << 32
         rows, links, held, none = [], [], 0, np.zeros(0, np.int64)
         for batch in batches:
-            for start in range(0, len(batch), 200):
-                ids, texts = (c.slice(start, 200).to_pylist() for c in batch.columns)
+            for start in range(0, len(batch), 500):
+                ids, texts = (c.slice(start, 500).to_pylist() for c in batch.columns)
                 cut = [aligner.parts(t) if t else [] for t in texts]
                 every = set().union(*cut)
                 aligner.learn(every)
