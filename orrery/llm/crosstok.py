@@ -39,6 +39,8 @@ from orrery.llm.common import written
 CHUNK, FAN = 32_768, 16
 #: Links of a lot; parts that are remembered, and their longest length.
 LOT, REMEMBERED, SHORT = 2_000_000, 400_000, 64
+#: Latin, Greek and Cyrillic letters come before this one.
+SETTLED = "\u0500"
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 
@@ -134,6 +136,12 @@ class Aligner:
             raise ValueError("a piece has a space behind something else, so that texts can't be cut at spaces")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.base = len(pieces)
+        self.fast = self._ranked(path_a)
+        #: Of both: the bytes of each id, its digits with a comma behind, and with what ends its side of a group.
+        top = max(self.bytes_a) + 1
+        self.size_a, self.size_b = np.array([len(self.bytes_a.get(i, b"")) for i in range(top)]), np.array(list(map(len, self.bytes_b)))
+        self.told = [np.array([f"{i}{mark}" for i in range(n)], object) for n, mark in ((top, ","), (top, "|"), (self.base, ","), (self.base, ";"))]
+        self.digits = np.array([len(str(i)) + 1 for i in range(max(top, self.base))])
         #: Part: its groups, tokens of both and groups in one number, and links; False if its tokens don't spell it.
         self.known: dict[str, tuple[bytes, int, bytes] | bool] = {}
 
@@ -154,35 +162,66 @@ class Aligner:
         edged = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
         for part in edged:
             self._learn([part])
-        new = [p for p in new if p not in edged]
-        for i in range(0, len(new), 2000):
-            self._learn(new[i : i + 2000])
+        for plain in (True, False):
+            some = [p for p in new if p not in edged and (max(p) < SETTLED) == plain]
+            for i in range(0, len(some), 2000):
+                self._learn(some[i : i + 2000])
+
+    def _ranked(self, path: str):
+        """The byte-level tokenizer as one by ranks, which is faster, if its merges come in the order of the ids they make; else None."""
+        import json
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        pairs = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+        made = [model["vocab"].get(m.replace(" ", "", 1), -1) for m in pairs]
+        if made != list(range(256, 256 + len(made))):
+            return None
+        ranks = {data: i for i, data in self.bytes_a.items() if i < 256 + len(made)}
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _ids_a(self, text: str) -> list[int]:
+        # Which characters are letters, digits or spaces depends on a library's tables, but not in blocks that were settled long ago.
+        if self.fast is not None and max(text) < SETTLED:
+            return self.fast.encode_ordinary(text)
+        return self.a.encode(text, add_special_tokens=False).ids
 
     def _learn(self, parts: list[str]) -> None:
         """Encodes parts as one text, whose tokens end where parts do; if they don't spell it, halves of it."""
-        data = (" " + " ".join(parts)).encode()
-        ids_a, ids_b = self.a.encode(" " + " ".join(parts), add_special_tokens=False).ids, self.b.encode(" ".join(parts))
-        a, b = [self.bytes_a.get(i, b"") for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(a) != data or b"".join(b) != data:
+        text = " " + " ".join(parts)
+        data, a, b = text.encode(), self._ids_a(text), self.b.encode(text[1:])
+        if b"".join(map(self.bytes_a.__getitem__, a)) != data or b"".join(map(self.bytes_b.__getitem__, b)) != data:
             if len(parts) == 1:
                 self.known[parts[0]] = False
             else:
                 self._learn(parts[: len(parts) // 2])
                 self._learn(parts[len(parts) // 2 :])
             return
-        ends_a, ends_b = (np.cumsum(np.fromiter(map(len, x), np.int64, len(x))) for x in (a, b))
+        a, b = np.array(a), np.array(b)
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         # A link's shared bytes end where a token of either side does, and every such end belongs to one link.
-        every = np.union1d(ends_a, ends_b)
-        links = np.array(ids_a)[ends_a.searchsorted(every)] * self.base + np.array(ids_b)[ends_b.searchsorted(every)]
-        common, of_a, of_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        told_a, told_b = list(map(str, ids_a)), list(map(str, ids_b))
-        upto_a, upto_b = [0, *(of_a + 1).tolist()], [0, *(of_b + 1).tolist()]
-        groups = [f"{','.join(told_a[i:j])}|{','.join(told_b[k:n])}" for i, j, k, n in zip(upto_a, upto_a[1:], upto_b, upto_b[1:])]
+        is_end = np.zeros((2, len(data) + 1), bool)
+        is_end[0, ends_a] = is_end[1, ends_b] = True
+        every, common = np.flatnonzero(is_end.any(0)), np.flatnonzero(is_end.all(0))
+        links = a[ends_a.searchsorted(every)] * self.base + b[ends_b.searchsorted(every)]
+        # Each group's first ids, then its second ones.
+        last_a, last_b = is_end[1, ends_a], is_end[0, ends_b]
+        group = np.concatenate((2 * (np.cumsum(last_a) - last_a), 2 * (np.cumsum(last_b) - last_b) + 1))
+        order = np.argsort(group, kind="stable")
+        told = np.concatenate((np.where(last_a, self.told[1][a], self.told[0][a]), np.where(last_b, self.told[3][b], self.told[2][b])))[order]
+        digits = np.concatenate(([0], np.cumsum(np.concatenate((self.digits[a], self.digits[b]))[order])))
+        groups, held = "".join(told.tolist()).encode(), links.tobytes()
         edges = np.cumsum([len(p.encode()) + 1 for p in parts])
-        (a0, a1), (b0, b1), (g0, g1), (l0, l1) = (([0, *cut[:-1]], cut) for cut in (x.searchsorted(edges, "right").tolist() for x in (ends_a, ends_b, common, every)))
-        held = links.tobytes()
-        for part, i, j, k, n, g, h, x, y in zip(parts, a0, a1, b0, b1, g0, g1, l0, l1):
-            self.known[part] = ";".join(groups[g:h]).encode(), j - i | n - k << 64 | h - g << 128, held[8 * x : 8 * y]
+        ends = [x.searchsorted(edges, "right") for x in (ends_a, ends_b, common, every)]
+        starts = [np.concatenate(([0], x[:-1])) for x in ends]
+        n_a, n_b, n_groups, _ = ((e - s).tolist() for s, e in zip(starts, ends))
+        low, high = ((x[3] * 8).tolist() for x in (starts, ends))
+        told_ends = digits[ends[0] + ends[1]]
+        for part, i, j, k, x, y, u, v in zip(parts, n_a, n_b, n_groups, low, high, [0, *told_ends[:-1].tolist()], told_ends.tolist()):
+            self.known[part] = groups[u : v - 1], i | j << 64 | k << 128, held[x:y]
 
     def forget_long(self, parts: set[str]) -> None:
         for part in parts:
