@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: Differences up to which signed ranks, and members of the smaller group up to which U, have exact distributions.
+EXACT, EXACT_GROUP = 50, 8
+
 
 def cohens_d(diffs: DataFrame, by: list[str]) -> DataFrame:
     """Mean of `diff` by its sample standard deviation; 0 if that is next to nothing."""
@@ -51,17 +55,57 @@ def upper_tail(z: pd.Series) -> pd.Series:
     return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)))
 
 
+def rank_sum_counts(n: Column) -> Column:
+    """How many sets of ranks from 1 to n have each sum, from 0 on: rank by rank, each set with and without it."""
+    first = F.array(F.lit(1.0))
+    none = lambda k: F.array_repeat(F.lit(0.0), k.cast("int"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n.cast("int"), F.lit(1))), first, lambda c, k: F.zip_with(F.concat(c, none(k)), F.concat(none(k), c), lambda a, b: a + b))
+
+
+def exact_signed_tails(w_plus: Column, n: Column) -> tuple[Column, Column]:
+    """The chances of a signed-rank sum of at least, and of at most, `w_plus` for n differences without ties; n of 1 to EXACT."""
+    counts, sets = rank_sum_counts(n), F.pow(F.lit(2.0), n)
+    at = F.round(w_plus).cast("int")
+    total = lambda part: F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / sets
+    return total(F.slice(counts, at + 1, F.size(counts))), total(F.slice(counts, F.lit(1), at + 1))
+
+
+@F.pandas_udf(DoubleType())
+def exact_u_tail(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    """The chance of a Mann-Whitney U of at least `u` (whole) without ties, in whole numbers to the last division.
+
+    The counts of U are the coefficients of the product of (1 - x^(larger + i)) / (1 - x^i) for i up to the smaller size.
+    """
+
+    def tail(u: float, a: int, b: int) -> float:
+        few, many = sorted((a, b))
+        counts = np.zeros(few * many + 1, object)
+        counts[0] = 1
+        for i in range(1, few + 1):
+            if many + i < len(counts):
+                counts[many + i :] = counts[many + i :] - counts[: -(many + i)]
+            padded = np.concatenate((counts, np.zeros(-len(counts) % i, object))).reshape(-1, i)
+            counts = np.cumsum(padded, axis=0).ravel()[: len(counts)]
+        return float(Fraction(int(counts[int(u) :].sum()), int(counts.sum())))
+
+    return pd.Series([tail(*x) for x in zip(u, n1.astype(int), n2.astype(int))], dtype=float)
+
+
 def wilcoxon(diffs: DataFrame, by: list[str], alternative: str = "greater", least: int = 1) -> DataFrame:
-    """`signed_rank` with `p` by the normal approximation; 1 if fewer than `least` differences aren't zero.
+    """`signed_rank` with `p`; 1 if fewer than `least` differences aren't zero.
 
-    alternative: greater (than zero) or two-sided.
+    alternative: greater (than zero) or two-sided. Up to EXACT differences, none zero and no two of one size, p is exact; else the
+    normal approximation is taken.
     """
     if alternative not in ("greater", "two-sided"):
         raise ValueError(f"no such alternative: {alternative}")
     tested = signed_rank(diffs, by)
     p = upper_tail("z") if alternative == "greater" else F.least(F.lit(1.0), 2 * upper_tail(F.abs("z")))
-    every = diffs.select(*by).distinct().join(tested, by, "left")
-    return every.withColumn("p", F.when(F.coalesce("n", F.lit(0)) >= least, p).otherwise(F.lit(1.0)))
+    above, below = exact_signed_tails(F.col("w_plus"), F.col("n"))
+    exact = above if alternative == "greater" else F.least(F.lit(1.0), 2 * F.least(above, below))
+    every = diffs.groupBy(*by).agg(F.count("diff").alias("_all")).join(tested, by, "left")
+    plain = (F.col("n") <= EXACT) & (F.col("tie_term") == 0) & (F.col("n") == F.col("_all"))
+    return every.withColumn("p", F.when(F.coalesce("n", F.lit(0)) < least, F.lit(1.0)).when(plain, exact).otherwise(p)).drop("_all")
 
 
 def holm(tests: DataFrame, by: list[str], p: str = "p") -> DataFrame:
@@ -76,7 +120,8 @@ def holm(tests: DataFrame, by: list[str], p: str = "p") -> DataFrame:
 def mann_whitney(rows: DataFrame, by: list[str], value: str, positive: str) -> DataFrame:
     """U of the positives, the area U / (n1 n2), its Hanley-McNeil interval at 95 %, cut at 0 and 1, and z and two-sided p.
 
-    z is normal, with ties taken into account and half a step towards the middle.
+    z is normal, with ties taken into account and half a step towards the middle. p is exact where no two values are equal and
+    one of the groups has EXACT_GROUP members at most, else by z.
     """
     t = F.col("ties")
     r = tied_ranks(rows, by, value).groupBy(*by).agg(F.sum(F.when(F.col(positive), F.col("avg_rank"))).alias("rank_sum"), F.sum(F.col(positive).cast("long")).alias("n_pos"), F.sum((~F.col(positive)).cast("long")).alias("n_neg"), F.sum(t * t - 1).alias("tie_term"))
@@ -87,8 +132,12 @@ def mann_whitney(rows: DataFrame, by: list[str], value: str, positive: str) -> D
     n, off = n1 + n2, F.col("u") - n1 * n2 / 2
     spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tie_term") / (n * (n - 1))))
     z = F.when(spread > 0, F.signum(off) * F.greatest(F.lit(0.0), F.abs(off) - 0.5) / spread).otherwise(F.lit(0.0))
-    r = r.select(*by, "n_pos", "n_neg", "u", "auc", F.greatest(F.lit(0.0), a - 1.96 * error).alias("low"), F.least(F.lit(1.0), a + 1.96 * error).alias("high"), z.alias("z"))
-    return r.withColumn("p", F.least(F.lit(1.0), 2 * upper_tail(F.abs("z"))))
+    r = r.select(*by, "n_pos", "n_neg", "u", "auc", F.greatest(F.lit(0.0), a - 1.96 * error).alias("low"), F.least(F.lit(1.0), a + 1.96 * error).alias("high"), z.alias("z"), (F.col("tie_term") == 0).alias("_plain"))
+    exact = F.col("_plain") & (F.least("n_pos", "n_neg") <= EXACT_GROUP) & (F.least("n_pos", "n_neg") > 0)
+    # The null distribution is the same from either end.
+    ends = F.greatest(F.col("u"), n1 * n2 - F.col("u"))
+    tail = exact_u_tail(F.when(exact, ends).otherwise(0.0), F.when(exact, n1).otherwise(1), F.when(exact, n2).otherwise(1))
+    return r.withColumn("p", F.least(F.lit(1.0), F.when(exact, 2 * tail).otherwise(2 * upper_tail(F.abs("z"))))).drop("_plain")
 
 
 def bootstrap(diffs: DataFrame, resamples: int = 10_000, seed: int = 2026, by: list[str] | None = None) -> DataFrame:
