@@ -1,7 +1,7 @@
 """The roles that the given tables play: corpora, queries, judgements, metadata.
 
-Documents i and vectors i are paired, as are benchmark items j and vectors j, and documents i and parts i + 1: the pairings are
-made up, so scores mean nothing, but every operator has whole tables to work on.
+Of n vectors, numbered from 0, document i has vector i % n, and benchmark item j vector j % n; document i is part i + 1. The pairings
+are made up, so scores mean nothing, but every operator has whole tables to work on.
 """
 
 from __future__ import annotations
@@ -29,16 +29,21 @@ def bibliography(spark: SparkSession, d: str) -> DataFrame:
     return rows.select((F.col("p_partkey") - 1).alias("doc_id"), known.alias("has_record"), F.when(known, F.coalesce("n", F.lit(0))).alias("citations"), F.when(known, F.col("y")).alias("year"), F.when(known, F.col("p_brand")).alias("venue"))
 
 
+def paired(rows: DataFrame, key: str, vectors: DataFrame) -> DataFrame:
+    """`rows`, each with the `embedding` of the vector (vec_id, embedding) that its key gives modulo their number."""
+    n = vectors.agg(F.count(F.lit(1)).alias("_n"))
+    return rows.crossJoin(F.broadcast(n)).withColumn("vec_id", F.pmod(F.col(key), F.col("_n"))).join(vectors, "vec_id").drop("vec_id", "_n")
+
+
 def papers(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with a vector, and their metadata."""
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return documents(spark, d).join(vectors, "doc_id").join(bibliography(spark, d).drop("has_record"), "doc_id", "left")
+    """All documents with a vector and their metadata."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return paired(documents(spark, d), "doc_id", vectors).join(bibliography(spark, d).drop("has_record"), "doc_id", "left")
 
 
 def topics(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items with a vector."""
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return items(spark, d).join(vectors, "query_id")
+    """All benchmark items with a vector."""
+    return paired(items(spark, d), "query_id", table(spark, d, "embeddings").select("vec_id", "embedding"))
 
 
 def judged(spark: SparkSession, d: str, docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -48,21 +53,21 @@ def judged(spark: SparkSession, d: str, docs: DataFrame, queries: DataFrame) ->
     return pairs.join(labels, "doc_id", "left").select("query_id", "doc_id", F.when(F.col("quality") == 1, 2).otherwise(1).alias("gain"))
 
 
-def other_vectors(vectors: DataFrame, key: str) -> DataFrame:
+def other_vectors(vectors: DataFrame) -> DataFrame:
     """A second encoder's vectors: those of the next id, the first one's behind the last."""
     last = vectors.agg(F.max("vec_id").alias("last"))
-    return vectors.crossJoin(F.broadcast(last)).select(F.when(F.col("vec_id") > 0, F.col("vec_id") - 1).otherwise(F.col("last")).alias(key), "embedding")
+    return vectors.crossJoin(F.broadcast(last)).select(F.when(F.col("vec_id") > 0, F.col("vec_id") - 1).otherwise(F.col("last")).alias("vec_id"), "embedding")
 
 
 def other_papers(spark: SparkSession, d: str) -> DataFrame:
     """Papers with the second encoder's vectors."""
-    vectors = other_vectors(table(spark, d, "embeddings"), "doc_id")
-    return documents(spark, d).join(vectors, "doc_id").join(bibliography(spark, d).drop("has_record"), "doc_id", "left")
+    vectors = other_vectors(table(spark, d, "embeddings"))
+    return paired(documents(spark, d), "doc_id", vectors).join(bibliography(spark, d).drop("has_record"), "doc_id", "left")
 
 
 def other_topics(spark: SparkSession, d: str) -> DataFrame:
     """Topics with the second encoder's vectors."""
-    return items(spark, d).join(other_vectors(table(spark, d, "embeddings"), "query_id"), "query_id")
+    return paired(items(spark, d), "query_id", other_vectors(table(spark, d, "embeddings")))
 
 
 def dataset_of(key: str) -> Column:

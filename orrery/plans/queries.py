@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import text as T
-from orrery.operators import generation, latent, metadata, metrics, policy, retrieval, router, stats
+from orrery.operators import generation, latent, metadata, metrics, policy, postings, retrieval, router, stats
 from orrery.plans import frames
 from orrery.sources.readers import first_supplied, table
-from orrery.sources.writers import kept, missing
+from orrery.sources.writers import kept, missing, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ROUTED = ["UMA-RAG", "LP-RAG", "CA-HR"]
@@ -27,17 +27,17 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-@query
-def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(retrieval.inverse_frequencies(frames.documents(spark, d)), "idf")
-
-
 @query
 def doc_length_stats(spark: SparkSession, d: str) -> DataFrame:
     n = frames.documents(spark, d).select(F.size(T.tokens(F.col("text"))).alias("n"))
     return rounded(n.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("mean_len"), F.min("n").alias("min_len"), F.max("n").alias("max_len"), F.median("n").alias("median_len")), "mean_len")
 
 
+@query
+def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(retrieval.inverse_frequencies(frames.documents(spark, d)), "idf")
+
+
 def _bm25_run(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.ranked(retrieval.bm25(frames.documents(spark, d), frames.items(spark, d)), ["query_id"])
 
@@ -47,6 +47,14 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_bm25_run(spark, d), "score")
 
 
+@query
+def bm25_indexed_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same from an inverted index, which is written first."""
+    path = new_folder(spark, "index")
+    postings.write(frames.documents(spark, d), path)
+    return rounded(retrieval.ranked(postings.search(postings.read(spark, path), frames.items(spark, d)), ["query_id"]), "score")
+
+
 @query
 def judgements(spark: SparkSession, d: str) -> DataFrame:
     return frames.judged(spark, d, frames.documents(spark, d), frames.items(spark, d))
@@ -290,8 +298,8 @@ def second_pass(spark: SparkSession, d: str) -> DataFrame:
 def doi_chain(spark: SparkSession, d: str) -> DataFrame:
     """Parts as rows that share DOIs, suppliers as the records these lead to."""
     part = table(spark, d, "part")
-    rows = part.select((F.col("p_partkey") - 1).alias("doc_id"), F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("10.X/"), F.col("p_partkey") % 200)).alias("doi"), F.when(F.col("p_size") > 10, (F.col("p_size") + 1950).cast("string")).otherwise("n/a").alias("year"), F.col("p_brand").alias("venue"))
-    records = table(spark, d, "supplier").filter("s_suppkey < 200").select(F.concat(F.lit("10.x/"), "s_suppkey").alias("doi"), F.col("s_nationkey").alias("citations"), F.when(F.col("s_suppkey") % 2 == 0, 2010).otherwise(0).alias("year"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).otherwise("").alias("venue"))
+    rows = part.select((F.col("p_partkey") - 1).alias("doc_id"), F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("10.X/"), F.col("p_partkey") % 1001)).alias("doi"), F.when(F.col("p_size") > 10, (F.col("p_size") + 1950).cast("string")).otherwise("n/a").alias("year"), F.col("p_brand").alias("venue"))
+    records = table(spark, d, "supplier").select(F.concat(F.lit("10.x/"), "s_suppkey").alias("doi"), F.col("s_nationkey").alias("citations"), F.when(F.col("s_suppkey") % 2 == 0, 2010).otherwise(0).alias("year"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).otherwise("").alias("venue"))
     return metadata.by_doi(frames.documents(spark, d), rows, records)
 
 
@@ -346,12 +354,12 @@ def resume(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    """Answers: a user's text per conversation and turn, citing three numbers that depend on the ids."""
-    turns = table(spark, d, "conversations").filter("role = 'assistant'")
-    cite = lambda a: F.concat(F.lit(" ["), (F.col("conv_id") * a + F.col("turn")) % 7, F.lit("]"))
+    """Answers of two systems to each turn that has one: the turn's text, citing three numbers that depend on the ids and the system."""
+    turns = table(spark, d, "conversations").filter("role = 'assistant'").withColumn("s", F.explode(F.array(F.lit(0), F.lit(1))))
+    cite = lambda a: F.concat(F.lit(" ["), (F.col("conv_id") * a + F.col("turn") + 2 * F.col("s")) % 7, F.lit("]"))
     ids = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.col("conv_id") * 5 + i)
-    verdict = F.concat(F.lit('Verdict: {"relevance": '), (F.col("conv_id") % 5 + 1).cast("string"), F.when(F.col("turn") % 3 == 0, F.lit("}")).otherwise(F.concat(F.lit(', "faithfulness": '), (F.col("turn") % 5 + 1).cast("string"), F.lit("}"))))
-    return turns.select(F.col("conv_id").alias("query_id"), "turn", F.when(F.col("turn") % 2 == 0, "even").otherwise("odd").alias("system"), F.concat(F.lit("d"), F.col("conv_id") % 3).alias("dataset"), F.concat(F.coalesce("text", F.lit("")), cite(1), cite(3), cite(1)).alias("answer"), ids.alias("doc_ids"), verdict.alias("verdict"))
+    verdict = F.concat(F.lit('Verdict: {"relevance": '), ((F.col("conv_id") + F.col("s")) % 5 + 1).cast("string"), F.when(F.col("turn") % 3 == 0, F.lit("}")).otherwise(F.concat(F.lit(', "faithfulness": '), ((F.col("turn") + F.col("conv_id") * F.col("s")) % 5 + 1).cast("string"), F.lit("}"))))
+    return turns.select(F.col("conv_id").alias("query_id"), "turn", F.when(F.col("s") == 0, "plain").otherwise("guided").alias("system"), F.concat(F.lit("d"), F.col("conv_id") % 3).alias("dataset"), F.concat(F.coalesce("text", F.lit("")), cite(1), cite(3), cite(1)).alias("answer"), ids.alias("doc_ids"), verdict.alias("verdict"))
 
 
 def _answer_judgements(spark: SparkSession, d: str) -> DataFrame:
@@ -362,7 +370,7 @@ def _answer_judgements(spark: SparkSession, d: str) -> DataFrame:
 @query
 def citation_precision(spark: SparkSession, d: str) -> DataFrame:
     out = generation.citation_precision(_records(spark, d), _answer_judgements(spark, d))
-    return rounded(out.select("query_id", "turn", "n_citations", "citation_precision"), "citation_precision")
+    return rounded(out.select("query_id", "turn", "system", "n_citations", "citation_precision"), "citation_precision")
 
 
 MEASURED = ["relevance", "faithfulness", "citation_precision", "n_citations"]
@@ -380,10 +388,10 @@ def generation_summary(spark: SparkSession, d: str) -> DataFrame:
 @query
 def generation_paired(spark: SparkSession, d: str) -> DataFrame:
     """Both systems on the same queries: means, signed ranks over differences that aren't zero, and their score."""
-    pairs = generation.paired(_judged_records(spark, d), MEASURED, "even", "odd")
-    means = pairs.groupBy("measure").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("a").alias("mean_even"), F.avg("b").alias("mean_odd"))
+    pairs = generation.paired(_judged_records(spark, d), MEASURED, "plain", "guided")
+    means = pairs.groupBy("measure").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("a").alias("mean_plain"), F.avg("b").alias("mean_guided"))
     ranks = stats.signed_rank(pairs, ["measure"]).select("measure", "w_plus", "z")
-    return rounded(means.join(ranks, "measure", "left").fillna(0.0, ["w_plus", "z"]), "mean_even", "mean_odd", "w_plus", "z")
+    return rounded(means.join(ranks, "measure", "left").fillna(0.0, ["w_plus", "z"]), "mean_plain", "mean_guided", "w_plus", "z")
 
 
 def _titled(spark: SparkSession, d: str) -> DataFrame:
@@ -539,7 +547,9 @@ def sensitivity_tests(spark: SparkSession, d: str) -> DataFrame:
 def sensitivity_best(spark: SparkSession, d: str) -> DataFrame:
     """The best pair of weights, the hybrid, and whether the surest pair gains something after Holm."""
     rows = _sensitivity_tests(spark, d)
-    best = F.max_by("variant", F.struct(F.round("n10", 9), F.col("variant"))).alias("best")
+    # Of equal means the first of the grid counts.
+    place = F.array_position(F.array(*[F.lit(row[0]) for row in retrieval.SENSITIVITY]), F.col("variant"))
+    best = F.max_by("variant", F.struct(F.round("n10", 9), -place)).alias("best")
     sure = F.min_by(F.struct("p_holm", "gain"), F.struct(F.col("p_holm"), F.col("variant")))
     out = rows.agg(best, F.max("n10").alias("best_n10"), F.first("hybrid_n10").alias("hybrid_n10"), sure.alias("s"))
     return rounded(out.select("best", "best_n10", "hybrid_n10", F.col("s.p_holm").alias("least_p"), ((F.col("s.p_holm") < 0.05) & (F.col("s.gain") > 0)).alias("any_significant_gain")), "best_n10", "hybrid_n10", "least_p")

@@ -31,11 +31,11 @@ _VECTORS = {False: "(SELECT vec_id AS id, embedding FROM embeddings)", True: "(S
 def _papers(second: bool = False) -> str:
     return f"""{_DOCS}, {_BIB}, papers AS (
   SELECT d.doc_id, d.text, e.embedding, b.citations, b.year, b.venue
-  FROM docs d JOIN {_VECTORS[second]} e ON d.doc_id = e.id LEFT JOIN bib b ON b.doc_id = d.doc_id)"""
+  FROM docs d JOIN {_VECTORS[second]} e ON d.doc_id % (SELECT count(*) FROM embeddings) = e.id LEFT JOIN bib b ON b.doc_id = d.doc_id)"""
 
 
 def _topics(second: bool = False) -> str:
-    return f"{_ITEMS}, topics AS (SELECT query_id, text, embedding FROM items JOIN {_VECTORS[second]} e ON query_id = e.id)"
+    return f"{_ITEMS}, topics AS (SELECT query_id, text, embedding FROM items JOIN {_VECTORS[second]} e ON query_id % (SELECT count(*) FROM embeddings) = e.id)"
 
 
 _PAPERS, _TOPICS = _papers(), _topics()
@@ -157,10 +157,10 @@ def _dropped(share: float, table: str = "items") -> str:
 
 _TIED = "CAST(sum(ties) OVER (PARTITION BY {by} ORDER BY {v} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE)"
 _SIDE = lambda name, test: f"median(CASE WHEN {test} THEN citations END) AS median_{name}, round(avg(CASE WHEN {test} THEN citations END), 6) AS mean_{name}"
-_RECORDS = """records AS (SELECT conv_id AS query_id, turn, CASE WHEN turn % 2 = 0 THEN 'even' ELSE 'odd' END AS system, 'd' || (conv_id % 3) AS dataset,
-    list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, '') || ' [' || (conv_id + turn) % 7 || '] [' || (conv_id * 3 + turn) % 7 || ']', '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INTEGER)), lambda x: x BETWEEN 1 AND 5)) AS n,
-    CASE WHEN turn % 3 <> 0 THEN conv_id % 5 + 1 END AS relevance, CASE WHEN turn % 3 <> 0 THEN turn % 5 + 1 END AS faithfulness
-  FROM conversations WHERE role = 'assistant'),
+_RECORDS = """records AS (SELECT conv_id AS query_id, turn, system, 'd' || (conv_id % 3) AS dataset,
+    list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, '') || ' [' || (conv_id + turn + 2 * s) % 7 || '] [' || (conv_id * 3 + turn + 2 * s) % 7 || ']', '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INTEGER)), lambda x: x BETWEEN 1 AND 5)) AS n,
+    CASE WHEN turn % 3 <> 0 THEN (conv_id + s) % 5 + 1 END AS relevance, CASE WHEN turn % 3 <> 0 THEN (turn + conv_id * s) % 5 + 1 END AS faithfulness
+  FROM conversations, (VALUES (0, 'plain'), (1, 'guided')) g(s, system) WHERE role = 'assistant'),
 cited AS (SELECT *, len(n) AS n_citations, CASE WHEN len(n) > 0 THEN len(list_filter(n, lambda x: (query_id + x - 1) % 2 = 0)) / len(n) END AS citation_precision FROM records)"""
 _SUMMARY = ", ".join(f"round(avg({m}), 6) AS {m}_mean, round(stddev_pop({m}), 6) AS {m}_std, count({m}) AS {m}_n" for m in ("relevance", "faithfulness", "citation_precision", "n_citations"))
 _CONTEXT = """contexts AS (SELECT {by}, string_agg(doc_id, ',' ORDER BY rank) AS doc_ids, list(doc_id) AS ids, string_agg('[' || rank || '] ' || shown, chr(10) || chr(10) ORDER BY rank) AS context
@@ -174,11 +174,12 @@ _SIGNED = """kept AS (SELECT *, round(abs(diff), 12) AS size FROM {source} WHERE
   tested AS (SELECT *, CASE WHEN n * (n + 1) * (2 * n + 1) / 24 - tie_term / 48 > 0 THEN (w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie_term / 48) ELSE 0 END AS z FROM s)"""
 
 ORACLES: dict[str, str] = {
+    "doc_length_stats": f"WITH {_DOCS}, n AS (SELECT len({_tokens('text')}) AS n FROM docs) SELECT count(*) AS n_docs, round(avg(n), 6) AS mean_len, CAST(min(n) AS INTEGER) AS min_len, CAST(max(n) AS INTEGER) AS max_len, median(n) AS median_len FROM n",
     "bm25_idf": f"""WITH {_DOCS}, each AS (SELECT unnest(list_distinct({_tokens('text')})) AS term FROM docs), n AS (SELECT count(*) AS n FROM docs),
       raw AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM each, n GROUP BY term), mean AS (SELECT avg(raw) AS m FROM raw)
       SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END, 6) AS idf FROM raw, mean""",
-    "doc_length_stats": f"WITH {_DOCS}, n AS (SELECT len({_tokens('text')}) AS n FROM docs) SELECT count(*) AS n_docs, round(avg(n), 6) AS mean_len, CAST(min(n) AS INTEGER) AS min_len, CAST(max(n) AS INTEGER) AS max_len, median(n) AS median_len FROM n",
     "bm25_topk": f"{_A} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM run",
+    "bm25_indexed_topk": f"{_A} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM run",
     "judgements": f"WITH {_DOCS}, {_ITEMS}, {_qrels('docs', 'items')} SELECT query_id, doc_id, gain FROM qrels",
     "bm25_metrics_per_query": f"{_A_MEASURED} SELECT method, query_id, {_EACH} FROM measured",
     "bm25_metrics_mean": f"{_A_MEASURED} SELECT method, {_MEAN} FROM measured GROUP BY method",
@@ -222,7 +223,7 @@ ORACLES: dict[str, str] = {
       CASE WHEN has_record THEN year WHEN (doc_id + 1) % 3 <> 0 THEN 2000 END AS year, CASE WHEN has_record THEN venue WHEN (doc_id + 1) % 3 <> 0 THEN 'k' || (doc_id + 1) END AS venue FROM bib""",
     "doi_chain": """SELECT d.doc_id, CAST(s_nationkey AS INTEGER) AS citations, coalesce(nullif(CASE WHEN s_suppkey % 2 = 0 THEN 2010 ELSE 0 END, 0), CASE WHEN p_size > 10 THEN p_size + 1950 END) AS year,
       coalesce(nullif(CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE '' END, ''), p_brand, '') AS venue
-      FROM documents d LEFT JOIN part ON p_partkey = d.doc_id + 1 LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey < 200) ON p_partkey % 5 <> 0 AND s_suppkey = p_partkey % 200""",
+      FROM documents d LEFT JOIN part ON p_partkey = d.doc_id + 1 LEFT JOIN supplier ON p_partkey % 5 <> 0 AND s_suppkey = p_partkey % 1001""",
     "query_features": f"""WITH {_DOCS} SELECT doc_id, CAST(len({_W}) AS DOUBLE) AS n_tokens, CAST(length(text) AS DOUBLE) AS n_chars,
       round(coalesce(list_avg(list_transform({_W}, lambda x: length(x))), 0), 6) AS mean_token_len, CAST(length(regexp_replace(text, '[^\\p{{Nd}}]', '', 'g')) AS DOUBLE) AS n_digits,
       CAST(len(list_filter({_W}, lambda x: length(x) > 1 AND upper(x) = x AND lower(x) <> x)) AS DOUBLE) AS n_caps,
@@ -240,13 +241,13 @@ ORACLES: dict[str, str] = {
       t AS (SELECT f.*, coalesce(x.flag, '') AS af, coalesce(x.shipped, '') AS ash, coalesce(y.flag, '') AS bf, coalesce(y.shipped, '') AS bsh FROM f LEFT JOIN r x ON x.l_partkey = f.l_partkey AND x.pos = a LEFT JOIN r y ON y.l_partkey = f.l_partkey AND y.pos = b)
       SELECT l_partkey, CASE WHEN b > a AND bf <> '' THEN bf ELSE af END AS flag, CASE WHEN a > b AND ash <> '' THEN ash ELSE bsh END AS shipped FROM t""",
     "resume": "SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
-    "citation_precision": f"WITH {_RECORDS} SELECT query_id, turn, CAST(n_citations AS INTEGER) AS n_citations, round(citation_precision, 6) AS citation_precision FROM cited",
+    "citation_precision": f"WITH {_RECORDS} SELECT query_id, turn, system, CAST(n_citations AS INTEGER) AS n_citations, round(citation_precision, 6) AS citation_precision FROM cited",
     "generation_summary": f"WITH {_RECORDS} SELECT system, dataset, {_SUMMARY} FROM cited WHERE relevance <> 0 GROUP BY system, dataset UNION ALL SELECT system, NULL, {_SUMMARY} FROM cited WHERE relevance <> 0 GROUP BY system",
     "generation_paired": f"""WITH {_RECORDS}, ok AS (SELECT * FROM cited WHERE relevance <> 0), long AS ({' UNION ALL '.join(f"SELECT dataset, query_id, system, turn, '{m}' AS measure, CAST({m} AS DOUBLE) AS value FROM ok" for m in ("relevance", "faithfulness", "citation_precision", "n_citations"))}),
       last AS (SELECT * FROM long QUALIFY row_number() OVER (PARTITION BY dataset, query_id, system, measure ORDER BY turn DESC) = 1),
-      p AS (SELECT measure, dataset, query_id, max(value) FILTER (system = 'even') AS a, max(value) FILTER (system = 'odd') AS b FROM last GROUP BY measure, dataset, query_id HAVING a IS NOT NULL AND b IS NOT NULL),
+      p AS (SELECT measure, dataset, query_id, max(value) FILTER (system = 'plain') AS a, max(value) FILTER (system = 'guided') AS b FROM last GROUP BY measure, dataset, query_id HAVING a IS NOT NULL AND b IS NOT NULL),
       diffs AS (SELECT measure, a - b AS diff FROM p), {_SIGNED.format(by='measure', source='diffs')}
-      SELECT measure, count(*) AS n_pairs, round(avg(a), 6) AS mean_even, round(avg(b), 6) AS mean_odd, round(coalesce(any_value(w_plus), 0), 6) AS w_plus, round(coalesce(any_value(z), 0), 6) AS z FROM p LEFT JOIN tested USING (measure) GROUP BY measure HAVING count(*) >= 10""",
+      SELECT measure, count(*) AS n_pairs, round(avg(a), 6) AS mean_plain, round(avg(b), 6) AS mean_guided, round(coalesce(any_value(w_plus), 0), 6) AS w_plus, round(coalesce(any_value(z), 0), 6) AS z FROM p LEFT JOIN tested USING (measure) GROUP BY measure HAVING count(*) >= 10""",
     "generation_contexts": f"{_A}, {_CONTEXT.format(run='run', by='query_id')} SELECT query_id, doc_ids, md5(context) AS context_md5 FROM contexts",
     "generation_tasks": f"""WITH {_RUNS}, {_qrels('papers', 'topics')}, asked AS (SELECT 'd' || (query_id % 3) AS dataset, query_id FROM topics QUALIFY row_number() OVER (PARTITION BY query_id % 3 ORDER BY substr(md5('20260813|' || query_id), 1, 8), query_id) <= 10),
       two AS (SELECT * FROM runs JOIN asked USING (query_id) WHERE method IN ('Neural-Hybrid', 'CA-HR')), {_CONTEXT.format(run='two', by='dataset, method, query_id')}

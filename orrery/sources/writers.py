@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -36,13 +37,24 @@ def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> Data
     return spark.read.parquet(path)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """`df` checkpointed, for tables that several steps read: in the folder that the cluster names, in local sessions else in a temporary one."""
-    context = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a local session that names none gets a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """`df` checkpointed, for tables that several steps read."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
