@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.text import hash_unit
 from orrery.operators.stats import mann_whitney
+from orrery.sources.writers import kept
 
 YEAR = 2024
 
@@ -101,13 +102,16 @@ def diagnostics(docs: DataFrame, relevant: DataFrame, times: int = 10, most: int
     docs: doc_id, has_record, citations, year; relevant: doc_id. Covered are records that have citations; elsewhere a record
     without them counts as one with none. The area between both sides has an interval, a normal score and a two-sided p.
     """
+    # Ids and numbers alone, each read several times.
+    relevant = kept(relevant.select("doc_id").distinct())
+    docs = kept(docs.select("doc_id", "has_record", "citations", "year"))
     coverage = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg((F.col("has_record") & F.col("citations").isNotNull()).cast("double")).alias("coverage"))
     known = docs.filter("has_record").withColumn("citations", F.coalesce("citations", F.lit(0)))
     age = F.when(F.col("year") != 0, YEAR - F.col("year"))
     whole = known.agg(F.median("citations").alias("median_citations"), F.avg("citations").alias("mean_citations"), F.avg((F.col("citations") == 0).cast("double")).alias("zero_share"), F.median(age).alias("median_age"))
     positive = known.join(relevant.select("doc_id").distinct(), "doc_id", "left_semi").select("citations", F.lit(True).alias("positive"))
     background = known.join(sampled_background(known, relevant, times, most, seed), "doc_id", "left_semi").select("citations", F.lit(False).alias("positive"))
-    told = positive.unionByName(background).withColumn("one", F.lit(1))
+    told = kept(positive.unionByName(background).withColumn("one", F.lit(1)))
     side = lambda test, name: [F.median(F.when(test, F.col("citations"))).alias(f"median_{name}"), F.avg(F.when(test, F.col("citations"))).alias(f"mean_{name}")]
     figures = told.agg(*side(F.col("positive"), "positive"), *side(~F.col("positive"), "background"))
     area = mann_whitney(told, ["one"], "citations", "positive").drop("one")

@@ -428,6 +428,19 @@ ABLATIONS = [("full", ALPHA, CITATION_WEIGHT, RECENCY_WEIGHT), ("no_citation", A
 SENSITIVITY = [(f"{b:.2f}/{g:.2f}", ALPHA, b, g) for b in (0.0, 0.05, 0.10, 0.15, 0.20, 0.30) for g in (0.0, 0.05, 0.10, 0.15, 0.20)]
 
 
+#: Content bases: whether they need the first or the second encoder's scores, and their share of BM25.
+BASES = {"SBERT-Dense": ("first", 0.0), "BGE-Dense": ("second", 0.0), "Neural-Hybrid": ("first", 0.5), "BGE-Hybrid": ("second", 0.5)}
+
+
+def available_bases(first: bool, second: bool, lexical: bool = True) -> list[str]:
+    """The content bases for which there are scores: of the first and the second encoder, and of BM25. None at all is an error."""
+    there = {"first": first, "second": second}
+    found = [base for base, (encoder, share) in BASES.items() if there[encoder] and (lexical or not share)]
+    if not found:
+        raise ValueError("no scores of documents' content")
+    return found
+
+
 def action_grid(alpha: float = ALPHA, base: str | None = None) -> list[tuple[str, float, float, float]]:
     """The actions on a content base, named after it if it is given."""
     return [(f"{base}|{name}" if base else name, alpha, b, g) for name, b, g in ACTIONS]

@@ -133,11 +133,12 @@ def second_rrf_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _measured(spark: SparkSession, d: str, run: DataFrame, by: str = "method") -> DataFrame:
     papers, topics = frames.papers(spark, d), frames.topics(spark, d)
-    return metrics.per_query(run, frames.judged(spark, d, papers, topics), topics, by)
+    # A few rows for each query and method, which the measures read more than once.
+    return metrics.per_query(kept(run), frames.judged(spark, d, papers, topics), topics, by)
 
 
 def _all_runs(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.all_runs(retrieval.score_table(*_sides(spark, d), alphas=(retrieval.ALPHA,)))
+    return retrieval.all_runs(kept(retrieval.score_table(*_sides(spark, d), alphas=(retrieval.ALPHA,))))
 
 
 def _all_measured(spark: SparkSession, d: str) -> DataFrame:
@@ -198,8 +199,9 @@ def sensitivity_grid(spark: SparkSession, d: str) -> DataFrame:
 def _action_measures(spark: SparkSession, d: str) -> DataFrame:
     """`base`, `action` (none: the base itself), `query_id` and measures of all actions on the four content bases."""
     runs = None
-    for second, bases in ((False, {"SBERT-Dense": 0.0, "Neural-Hybrid": 0.5}), (True, {"BGE-Dense": 0.0, "BGE-Hybrid": 0.5})):
-        grid = [row for base, alpha in bases.items() for row in [*retrieval.action_grid(alpha, base), (f"{base}|none", alpha, 0.0, 0.0)]]
+    for second in (False, True):
+        bases = retrieval.available_bases(not second, second)
+        grid = [row for base, alpha in ((base, retrieval.BASES[base][1]) for base in bases) for row in [*retrieval.action_grid(alpha, base), (f"{base}|none", alpha, 0.0, 0.0)]]
         run = retrieval.reranked_corpus(*_sides(spark, d, second), grid)
         runs = run if runs is None else runs.unionByName(run)
     measured = _measured(spark, d, runs, "variant")
@@ -567,6 +569,27 @@ def background_sample(spark: SparkSession, d: str) -> DataFrame:
     return metadata.sampled_background(papers, frames.judged(spark, d, frames.documents(spark, d), frames.items(spark, d)))
 
 
+def _seven_measured(spark: SparkSession, d: str) -> DataFrame:
+    """Measures of the seven compared methods, of which one ranks by latent-semantic vectors of the same corpus."""
+    papers, topics = frames.papers(spark, d), frames.topics(spark, d)
+    docs, asked = latent.latent_vectors(papers.select("doc_id", "text"), topics.select("query_id", "text"))
+    latent_run = retrieval.ranked(retrieval.dense(docs, asked), ["query_id"]).withColumn("method", F.lit("LSA-Dense"))
+    return _measured(spark, d, _all_runs(spark, d).filter("method <> 'Alpha-Hybrid'").unionByName(latent_run))
+
+
+@query
+def seven_metrics_mean(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.means(_seven_measured(spark, d)), *metrics.MEASURES)
+
+
+@query
+def seven_wilcoxon_holm(spark: SparkSession, d: str) -> DataFrame:
+    """CA-HR against the six other methods by all measures: effects, one-sided tests, p-values after Holm within each measure."""
+    diffs = kept(metrics.paired(_seven_measured(spark, d), "CA-HR"))
+    tests = stats.holm(stats.wilcoxon(diffs, ["method", "measure"], least=5).select("measure", "method", "n", "p"), ["measure"])
+    return rounded(tests.join(stats.cohens_d(diffs, ["method", "measure"]).select("method", "measure", "mean", "d"), ["method", "measure"]), "p", "p_holm", "mean", "d")
+
+
 @query
 def latent_topk(spark: SparkSession, d: str) -> DataFrame:
     docs, queries = latent.latent_vectors(frames.documents(spark, d), frames.items(spark, d))
