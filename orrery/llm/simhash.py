@@ -488,30 +488,33 @@ def _grouped(texts: DataFrame, width: int, similarity: float) -> tuple[DataFrame
     return rows, groups
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """`docs` with a key of each row, and the part that is compared.
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, DataFrame]:
+    """`docs` with a key of each row, the key's name, which no column has, and the part that is compared.
 
     The key of a row read from Parquet is its file and its place there. Other rows are numbered and written once, so that they keep
     their numbers.
     """
+    key = "_row"
+    while key in [c.lower() for c in docs.columns]:
+        key = f"_{key}"
     try:
-        keyed = docs.withColumn("_row", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+        keyed = docs.withColumn(key, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
     except AnalysisException:
-        keyed = written(docs.withColumn("_row", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "keyed")
-    return keyed, keyed.select("_row", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+        keyed = written(docs.withColumn(key, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "keyed")
+    return keyed, key, keyed.select(F.col(key).alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id`, `component_id` for every row of `docs`: groups of texts linked by similarity."""
-    rows, groups = _grouped(_keyed(docs, id_col, text_col)[1], width, similarity)
+    rows, groups = _grouped(_keyed(docs, id_col, text_col)[-1], width, similarity)
     return rows.join(groups, "fp").select("doc_id", F.nullif("first.id", F.lit(NO_ID)).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of similar texts, with all its columns: a row of the smallest id, or of none if the whole group has none."""
-    keyed, texts = _keyed(docs, id_col, text_col)
+    keyed, key, texts = _keyed(docs, id_col, text_col)
     rows, groups = _grouped(texts, width, similarity)
     gone = _small(rows.join(groups, "fp").filter(F.col("_row") != F.col("first._row")).select("_row"), "gone")
     dropped(rows)
     dropped(groups)
-    return keyed.join(gone, "_row", "left_anti").drop("_row")
+    return keyed.join(gone.withColumnRenamed("_row", key), key, "left_anti").drop(key)
