@@ -422,6 +422,14 @@ def fit_pairs(unit: np.ndarray, token: np.ndarray, share: np.ndarray, n: np.ndar
     return out
 
 
+def in_steps(added: np.ndarray) -> np.ndarray:
+    """Natural logarithms as steps of 1 / STEPS in log10, which must fit 16 bits."""
+    steps = np.rint(added / np.log(10) * STEPS)
+    if np.abs(steps).max(initial=0) > 32767:
+        raise ValueError(f"a pair's part of a score passes {32767 / STEPS:.0f} in log10; take fewer rounds")
+    return steps.astype(np.int16)
+
+
 def pair_scores(pairs: DataFrame, model: Model, rounds: int = PAIR_ROUNDS) -> DataFrame:
     """`chunk`, `target`, `added`: what the third softmax adds to each pair's log10 share, in steps of 1 / STEPS, in the order that the pairs came in."""
 
@@ -432,7 +440,7 @@ def pair_scores(pairs: DataFrame, model: Model, rounds: int = PAIR_ROUNDS) -> Da
         unit = np.repeat(before, _joined(table.column("runs"), np.int32)) * BUCKETS + bucket
         c = _joined(table.column("c"))
         share = np.where(c >= SEEN, model.share(c, bucket), 0)
-        added = np.rint(fit_pairs(unit, token, share, _joined(table.column("n")), rounds) / np.log(10) * STEPS).clip(-32768, 32767).astype(np.int16)
+        added = in_steps(fit_pairs(unit, token, share, _joined(table.column("n")), rounds))
         cuts = np.cumsum([0, *(len(_unpack(x.as_buffer(), np.int32)) for x in table.column("token"))])
         return pa.table({"chunk": table.column("chunk"), "target": table.column("target"), "added": pa.array([_pack(added[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())})
 

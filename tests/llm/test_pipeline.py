@@ -54,3 +54,17 @@ def test_columns_named_as_the_key(spark):
     df = spark.createDataFrame([(1, text, "a", 5), (2, text, "b", 6), (3, "other words", "c", 7)], "doc_id long, text string, _row string, __ROW int")
     got = simhash.keep_first(df)
     assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [(1, text, "a", 5), (3, "other words", "c", 7)]
+
+
+def test_scores_that_do_not_fit():
+    """A pair's part beyond what 16 bits hold is an error, not cut."""
+    import numpy as np
+    import pytest
+
+    from orrery.llm import maxent
+
+    fits = np.array([-15.9, 0.0, 15.9]) * np.log(10)
+    assert np.abs(maxent.in_steps(fits) / maxent.STEPS * np.log(10) - fits).max() < np.log(10) / maxent.STEPS
+    for value in (16.1, -16.1):
+        with pytest.raises(ValueError):
+            maxent.in_steps(np.array([value]) * np.log(10))
