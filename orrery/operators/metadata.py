@@ -39,6 +39,8 @@ def merged(rows: DataFrame, key: str, order: str, fields: list[str]) -> DataFram
 def resolve(ids: DataFrame, client: Callable[[list[str]], list[dict | None]], tasks: int = 8, batch: int = 400, tries: int = 8, pause: float = 0.0, budget: float | None = None) -> DataFrame:
     """Asks a metadata service, given as a function from ids to records, in batches; a batch that keeps failing gives nulls.
 
+    An answer of another length than the question is an error, since no record could be told to be of an id.
+
     pause: seconds before the second try, doubled for each one after. budget: seconds after which a task asks no more; ids that
     were not asked are left out, so that `writers.append_missing` of the result asks for them in the next run.
     """
@@ -54,6 +56,8 @@ def resolve(ids: DataFrame, client: Callable[[list[str]], list[dict | None]], ta
                 for attempt in range(tries):
                     try:
                         records = client(wanted)
+                        if len(records) != len(wanted):
+                            raise ValueError(f"{len(records)} records for {len(wanted)} ids")
                         break
                     except OSError:
                         time.sleep(pause * 2**attempt)

@@ -69,3 +69,11 @@ def test_diagnostics_of_nothing_relevant(spark):
     docs = spark.createDataFrame([(i, True, i, 2000) for i in range(3)], "doc_id long, has_record boolean, citations long, year int")
     got = metadata.diagnostics(docs, spark.createDataFrame([], "doc_id long")).collect()
     assert len(got) <= 1
+
+
+def test_short_answers(spark):
+    """A service that answers with fewer records than ids fails the query; no id is lost in silence."""
+    ids = spark.createDataFrame([(str(i),) for i in range(5)], "doc_id string")
+    with pytest.raises(Exception, match="4 records for 5 ids"):
+        metadata.resolve(ids, lambda wanted: [None] * (len(wanted) - 1), tasks=1).collect()
+    assert metadata.resolve(ids, lambda wanted: [None] * len(wanted), tasks=1).count() == 5
