@@ -49,7 +49,7 @@ SHARD_SIZE = 1024
 #: Of `near_duplicates` and `keep_first`: words of a shingle, and the least similarity.
 WIDTH, SIMILARITY = 5, 0.8
 #: Texts whose shingles are counted, and how many common shingles are told to the tasks.
-SAMPLE, COMMON = 15_000, 100_000
+SAMPLE, COMMON = 5_000, 20_000
 #: Words of 64 bits of the parities, and of those that they are folded to, that pairs are held against before their texts are read.
 PARITIES, FOLDED = 32, 4
 #: Texts whose sets a task holds at a time.
