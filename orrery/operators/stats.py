@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -14,6 +14,8 @@ from pyspark.sql.types import DoubleType
 
 #: Differences up to which signed ranks, and members of the smaller group up to which U, have exact distributions.
 EXACT, EXACT_GROUP = 50, 8
+#: Different rows that a task resamples at once.
+BUCKET = 4096
 
 
 def cohens_d(diffs: DataFrame, by: list[str]) -> DataFrame:
@@ -140,31 +142,66 @@ def mann_whitney(rows: DataFrame, by: list[str], value: str, positive: str) -> D
     return r.withColumn("p", F.least(F.lit(1.0), F.when(exact, 2 * tail).otherwise(2 * upper_tail(F.abs("z"))))).drop("_plain")
 
 
-def bootstrap(diffs: DataFrame, resamples: int = 10_000, seed: int = 2026, by: list[str] | None = None) -> DataFrame:
-    """2.5 and 97.5 percentiles of the mean of resampled `diff` (query_id, diff), for each group of `by`.
+def resampled(diffs: DataFrame, resamples: int, seed: int, by: list[str]) -> DataFrame:
+    """`*by`, `resample`, `times`, `total`: of each resample of `diff` (query_id, diff), how many rows it draws, and their sum.
 
-    Every difference draws by itself how often each resample has it, from a Poisson distribution with mean 1, so tasks need no
-    other rows than their own and hold a sum for each resample. Draws depend on the seed and the query alone.
+    A resample draws as many rows as the group has, with replacement. Rows are dealt to buckets by hash, and buckets are leaves of a
+    tree: at each node a binomial draw says how many of the node's rows come from its left half. A node's draws depend on the seed,
+    the group and the node alone, so every task gets the same ones and needs no other rows than its buckets'; equal rows of a query
+    are one row with a weight. Null differences count for nothing.
     """
+    group = F.to_json(F.struct(F.lit(0), *by), {"ignoreNullFields": "false"})
+    told = diffs.filter("diff IS NOT NULL").select(group.alias("_g"), *by, F.col("diff").cast("double").alias("diff"), F.xxhash64("query_id", "diff").alias("_key"))
+    names = told.select("_g", *by).dropDuplicates(["_g"])
+    rows = told.groupBy("_g", "_key", "diff").agg(F.count(F.lit(1)).alias("weight"))
+    # As many buckets, a power of two, as leave about BUCKET different rows in each.
+    sizes = rows.groupBy("_g").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / BUCKET))).cast("int").alias("bits"))
+    bucket = F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(_key, 64 - bits)"))
+    rows = rows.join(sizes, "_g").withColumn("bucket", bucket)
+    leaves = rows.groupBy("_g", "bits", "bucket").agg(F.sum("weight").alias("weight"))
+    up = lambda level: F.expr(f"shiftright(bucket, bits - {level})")
+    nodes = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("bits")))).groupBy("_g", "level", up("level").alias("node")).agg(F.sum("weight").alias("weight"))
+    # The nodes above a bucket, each with its rows and those of its left half; a bucket that is the root itself has one line too.
+    path = leaves.select("_g", "bits", "bucket", F.explode(F.sequence(F.lit(0), F.greatest(F.col("bits") - 1, F.lit(0)))).alias("level"))
+    path = path.withColumn("node", up("level")).withColumn("left", F.col("node") * 2).withColumn("below", F.col("level") + 1)
+    path = path.withColumn("right", (F.col("bits") > 0) & (up("below") != F.col("left")))
+    path = path.join(nodes, ["_g", "level", "node"])
+    halves = nodes.select("_g", F.col("level").alias("below"), F.col("node").alias("left"), F.col("weight").alias("half"))
+    path = path.join(halves, ["_g", "below", "left"], "left").fillna(0, ["half"])
+    path = path.select(F.col("_g").alias("g"), F.col("bucket").alias("leaf"), F.col("bits").alias("depth"), "level", "node", "right", F.col("weight").alias("whole"), "half")
+    rows = rows.select("_g", "bucket", "_key", "diff", "weight")
+
+    def run(key: tuple, rows: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
+        own = zlib.crc32(key[0].encode())
+        drawn = None
+        for depth, level, node, right, whole, half in path.sort_values("level")[["depth", "level", "node", "right", "whole", "half"]].itertuples(index=False):
+            drawn = np.full(resamples, whole, np.int64) if drawn is None else drawn
+            if depth:
+                left = np.random.default_rng([seed, own, level, node]).binomial(drawn, half / whole)
+                drawn = drawn - left if right else left
+        rows = rows.sort_values(["_key", "diff"])
+        diff, ends = rows["diff"].to_numpy(), np.append(0, np.cumsum(rows["weight"].to_numpy()))
+        rng, total, open_nodes = np.random.default_rng([seed, own, 2**20, key[1]]), np.zeros(resamples), [(0, len(diff), drawn)]
+        while open_nodes:
+            a, b, times = open_nodes.pop()
+            if b - a == 1:
+                total += times * diff[a]
+                continue
+            middle = (a + b) // 2
+            left = rng.binomial(times, (ends[middle] - ends[a]) / (ends[b] - ends[a]))
+            open_nodes += [(a, middle, left), (middle, b, times - left)]
+        return pd.DataFrame({"_g": key[0], "resample": np.arange(resamples), "times": drawn, "total": total})
+
+    drawn = rows.groupBy("_g", "bucket").cogroup(path.groupBy("g", "leaf")).applyInPandas(run, "_g string, resample int, times long, total double")
+    out = drawn.groupBy("_g", "resample").agg(F.sum("times").alias("times"), F.sum("total").alias("total"))
+    return out.join(names, "_g").select(*by, "resample", "times", "total")
+
+
+def bootstrap(diffs: DataFrame, resamples: int = 10_000, seed: int = 2026, by: list[str] | None = None) -> DataFrame:
+    """2.5 and 97.5 percentiles of the mean of resampled `diff` (query_id, diff), for each group of `by`."""
     by = by or []
-    keys = [f"_k{i}" for i in range(len(by))]
-    told = diffs.select(*[F.col(c).cast("string").alias(k) for c, k in zip(by, keys)], F.xxhash64("query_id").alias("_key"), F.col("diff").cast("double").alias("diff"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for *group, key, diff in batch.itertuples(index=False):
-                times = np.random.default_rng([seed, int(key) % 2**64]).poisson(1, resamples)
-                sums = held.setdefault(tuple(group), np.zeros((2, resamples)))
-                sums[0] += times
-                sums[1] += times * diff
-        for group, sums in held.items():
-            yield pd.DataFrame({**{k: [g] * resamples for k, g in zip(keys, group)}, "resample": np.arange(resamples), "times": sums[0], "total": sums[1]})
-
-    schema = ", ".join([*[f"{k} string" for k in keys], "resample int, times double, total double"])
-    drawn = told.mapInPandas(run, schema).groupBy(*keys, "resample").agg((F.sum("total") / F.nullif(F.sum("times"), F.lit(0.0))).alias("mean"))
-    out = drawn.groupBy(*keys).agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
-    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "low", "high")
+    means = resampled(diffs, resamples, seed, by).withColumn("mean", F.col("total") / F.col("times"))
+    return means.groupBy(*by).agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
 
 
 def weighted_effects(neighbours: DataFrame, by: list[str]) -> DataFrame:
