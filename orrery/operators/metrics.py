@@ -89,6 +89,27 @@ def reconstruction(both: DataFrame, most_shift: float = 1e-3, most_mismatches: f
     return told.withColumn("ok", (F.col("mean_shift") <= most_shift) & (F.col("mismatches") <= most_mismatches))
 
 
+def reconstruction_checks(most_shift: float = 1e-3, most_mismatches: float = 0.01) -> dict[str, Column]:
+    """The same limits as checks on the rows `rebuilt`, `released` while they are written (`writers.write_checked`)."""
+    gap = F.col("rebuilt") - F.col("released")
+    near = F.abs(F.avg(gap)) <= most_shift
+    few = F.sum((F.abs(gap) > 1e-9).cast("long")) <= F.ceil(most_mismatches * F.count(F.lit(1)))
+    return {"mean of rebuilt is near that of released": near, "few queries differ": few, "no outcome is missing": F.bool_and(gap.isNotNull())}
+
+
+def archive(rows: DataFrame) -> DataFrame:
+    """From `base`, `action`, `query_id`, `outcome` a row for each query: `outcomes`, sorted structs of the other three."""
+    return rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("base", "action", "outcome"))).alias("outcomes"))
+
+
+def archive_checks(bases: list[str], actions: list[str]) -> dict[str, Column]:
+    """That an archive's queries have every base without an action (`none`) and with each action once, and finite outcomes."""
+    wanted = F.array(*[F.struct(F.lit(b), F.lit(a)) for b in sorted(bases) for a in sorted([*actions, "none"])])
+    names = F.transform("outcomes", lambda o: F.struct(o["base"], o["action"]))
+    finite = F.forall("outcomes", lambda o: o["outcome"].isNotNull() & ~F.isnan(o["outcome"]) & (F.abs(o["outcome"]) < float("inf")))
+    return {"each action once on each base": F.bool_and(names == wanted), "finite outcomes": F.bool_and(finite)}
+
+
 def oracles(measured: DataFrame, routed: list[str]) -> DataFrame:
     """For every measure the mean of each query's best routed method, the best method's mean, and the room between them."""
     chosen = long(measured.filter(F.col("method").isin(routed)))

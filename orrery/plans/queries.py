@@ -11,7 +11,7 @@ from orrery.functions import text as T
 from orrery.operators import generation, latent, metadata, metrics, policy, postings, retrieval, router, stats
 from orrery.plans import frames
 from orrery.sources.readers import first_supplied, table
-from orrery.sources.writers import kept, missing, new_folder
+from orrery.sources.writers import kept, missing, new_folder, write_checked
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ROUTED = ["UMA-RAG", "LP-RAG", "CA-HR"]
@@ -456,6 +456,25 @@ def policy_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, "outcome", "fallback", "gain", "coverage", "w_plus", "z", "p", "low", "high")
 
 
+@query
+def policy_datasets(spark: SparkSession, d: str) -> DataFrame:
+    """The strict policy against its fallback, cross-fitted and tested dataset by dataset."""
+    queries, bases, outcomes = _policy_tables(spark, d)
+    routes = kept(policy.route_datasets(queries.withColumn("dataset", frames.dataset_of("query_id")), bases, outcomes))
+    return rounded(policy.primary_family(routes), "outcome", "fallback", "gain", "coverage", "d", "p", "p_holm")
+
+
+@query
+def action_archive(spark: SparkSession, d: str) -> DataFrame:
+    """Every query's outcomes of all actions on all bases, written under checks that fail the write, and read back."""
+    path = new_folder(spark, "archive")
+    rows = metrics.archive(_action_measures(spark, d).select("base", "action", "query_id", F.col("n10").alias("outcome")))
+    write_checked(rows, path, metrics.archive_checks(list(retrieval.BASES), [name for name, *_ in retrieval.ACTIONS]))
+    told = spark.read.parquet(path).select("query_id", F.inline("outcomes"))
+    fallback = told.filter("action = 'none'").select("query_id", "base", F.col("outcome").alias("fallback"))
+    return rounded(told.filter("action <> 'none'").join(fallback, ["query_id", "base"]), "fallback", "outcome")
+
+
 @query
 def selected_counts(spark: SparkSession, d: str) -> DataFrame:
     return policy.selected_counts(_route(spark, d)[0])

@@ -197,6 +197,7 @@ ORACLES: dict[str, str] = {
     "ablation_grid": f"{_variants(_ABLATION)} SELECT variant, {_MEAN} FROM measured GROUP BY variant",
     "sensitivity_grid": f"{_variants(_GRID, True)} SELECT variant, {_MEAN} FROM measured GROUP BY variant",
     "action_outcomes": f"{_actions()} SELECT base, action, query_id, round(n10, 6) AS outcome FROM acted",
+    "action_archive": f"{_actions()} SELECT a.query_id, a.base, a.action, round(a.n10, 6) AS outcome, round(f.n10, 6) AS fallback FROM acted a JOIN acted f ON f.query_id = a.query_id AND f.base = a.base AND f.action = 'none' WHERE a.action <> 'none'",
     "archive_audit": f"{_actions()}, per AS (SELECT base, query_id, count(*) AS n, count(DISTINCT action) AS parts FROM acted WHERE action <> 'none' GROUP BY base, query_id) SELECT base, count(*) AS n_queries, bool_and(n = 9 AND parts = 9) AS complete, (SELECT count(DISTINCT action) FROM acted a WHERE a.base = per.base AND action <> 'none') AS n_parts FROM per GROUP BY base",
     "content_results": f"{_actions()} SELECT query_id, {', '.join(f'round(max(n10) FILTER (base = {_quoted(b)}), 6) AS {b.lower().replace(chr(45), chr(95))}' for bases in _BASES.values() for b in bases)} FROM acted WHERE action = 'none' GROUP BY query_id",
     "reconstruction_check": f"{_ALL_MEASURED}, own AS (SELECT query_id, n10 AS released FROM measured WHERE method = 'Neural-Hybrid'), rebuilt AS (SELECT * FROM ({_actions()} SELECT query_id, n10 AS rebuilt FROM acted WHERE base = 'Neural-Hybrid' AND action = 'none')), t AS (SELECT count(*) AS n_queries, abs(avg(rebuilt - released)) AS s, avg(CAST(abs(rebuilt - released) > 1e-9 AS INTEGER)) AS m FROM own JOIN rebuilt USING (query_id)) SELECT n_queries, round(s, 6) AS mean_shift, round(m, 6) AS mismatches, s <= 1e-3 AND m <= 0.01 AS ok FROM t",

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def missing(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,3 +66,27 @@ def results(rows: DataFrame, path: str, by: str = "dataset") -> None:
 def documents_json(rows: DataFrame, path: str) -> None:
     """Rows as JSON lines, nested columns as nested objects."""
     rows.write.mode("overwrite").json(path)
+
+
+def write_checked(rows: DataFrame, path: str, checks: dict[str, Column]) -> None:
+    """Writes `rows` as Parquet to `path`, which must not be there yet, if all checks hold; else raises ValueError and leaves nothing.
+
+    checks: name and aggregate that must be true. They are observed while the rows are written, so rows are made once; the table gets
+    its name only then. Of no rows most aggregates are null, which counts as a failed check.
+    """
+    spark = rows.sparkSession
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    staged, goal = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path.rstrip('/')}-{uuid.uuid4().hex}", path))
+    system = goal.getFileSystem(conf)
+    if system.exists(goal):
+        raise ValueError(f"{path} is there already")
+    seen = Observation(f"checks-{uuid.uuid4().hex}")
+    try:
+        rows.observe(seen, *[check.alias(f"c{i}") for i, check in enumerate(checks.values())]).write.parquet(staged.toString())
+        failed = [name for i, name in enumerate(checks) if seen.get[f"c{i}"] is not True]
+        if failed:
+            raise ValueError(f"{path} isn't written, checks failed: {', '.join(failed)}")
+        if not system.rename(staged, goal):
+            raise OSError(f"{path} can't be named")
+    finally:
+        system.delete(staged, True)
