@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from orrery.sources.writers import kept
+
 #: Differences up to which signed ranks, and members of the smaller group up to which U, have exact distributions.
 EXACT, EXACT_GROUP = 50, 8
 #: Different rows that a task resamples at once.
@@ -37,8 +39,8 @@ def tied_ranks(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def signed_rank(diffs: DataFrame, by: list[str]) -> DataFrame:
     """Wilcoxon's W+ over differences that aren't zero, their number, and the normal score with ties taken into account."""
-    kept = diffs.filter(F.abs("diff") > 1e-15).withColumn("size", F.round(F.abs("diff"), 12))
-    rows = tied_ranks(kept, by, "size")
+    moved = diffs.filter(F.abs("diff") > 1e-15).withColumn("size", F.round(F.abs("diff"), 12))
+    rows = tied_ranks(moved, by, "size")
     ties = F.col("ties")
     sums = rows.groupBy(*by).agg(
         F.sum(F.when(F.col("diff") > 0, F.col("avg_rank")).otherwise(0.0)).alias("w_plus"),
@@ -151,7 +153,8 @@ def resampled(diffs: DataFrame, resamples: int, seed: int, by: list[str]) -> Dat
     are one row with a weight. Null differences count for nothing.
     """
     group = F.to_json(F.struct(F.lit(0), *by), {"ignoreNullFields": "false"})
-    told = diffs.filter("diff IS NOT NULL").select(group.alias("_g"), *by, F.col("diff").cast("double").alias("diff"), F.xxhash64("query_id", "diff").alias("_key"))
+    # Read for sizes, the tree and the rows: kept, so that differences are made once.
+    told = kept(diffs.filter("diff IS NOT NULL").select(group.alias("_g"), *by, F.col("diff").cast("double").alias("diff"), F.xxhash64("query_id", "diff").alias("_key")))
     names = told.select("_g", *by).dropDuplicates(["_g"])
     rows = told.groupBy("_g", "_key", "diff").agg(F.count(F.lit(1)).alias("weight"))
     # As many buckets, a power of two, as leave about BUCKET different rows in each.
