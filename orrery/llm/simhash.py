@@ -15,13 +15,14 @@ How groups are found. Each linked fingerprint takes the smallest label of its ne
 label, until nothing changes; every round is written to the shared folder.
 
 Similar texts. `near_duplicates` and `keep_first` compare whole texts: two are linked if the sets of their five-word shingles
-have a Jaccard similarity of 0.8 or more. Fingerprints of such pairs differ by 10 bits of 64 on average and by 20 at times, so no
-radius that still tells unlike texts apart finds them all. Candidates are found without loss instead: put the shingles of every
+have a Jaccard similarity of 0.8 or more. First the fingerprints of those shingles go through the same sharded BK-trees, and the links
+within RADIUS bits are checked by the whole sets. But fingerprints of such pairs differ by 10 bits of 64 on average and by 20 at times,
+so no radius that still tells unlike texts apart finds them all. The rest is found without loss: put the shingles of every
 set into one order; two sets that are similar enough share a shingle among the first of both (all but 0.8 of a set, and one).
 Any order is right; the common shingles of a sample come last, so that few texts meet by them. Of the
 sets that share a first shingle the least one is the others' pivot. Each set is compared with its best pivot, and components are
-made; then with all pivots in other components; then with all other sets there. Sizes and parities of ever more hashed bits rule
-out pairs that can't be similar enough; the others are compared in full.
+made; then with its best pivot in another component; then with all other sets there. Sizes and parities of hashed bits, more for larger
+sets, rule out pairs that can't be similar enough where the lists of sets are, before there are rows of pairs; the others are compared in full.
 
 Edge cases. Null, empty and blank texts have no words: their fingerprint is zero and links like any other. A text with
 fewer words than the shingle has one shingle, all its words. Repeated rows stay and share a group. Null ids take part and
@@ -48,10 +49,14 @@ SEED = 42
 SHARD_SIZE = 1024
 #: Of `near_duplicates` and `keep_first`: words of a shingle, and the least similarity.
 WIDTH, SIMILARITY = 5, 0.8
+#: Bits in which fingerprints of those may differ to be looked at first.
+RADIUS = 4
 #: Texts whose shingles are counted, and how many common shingles are told to the tasks.
 SAMPLE, COMMON = 5_000, 20_000
-#: Words of 64 bits of the parities, and of those that they are folded to, that pairs are held against before their texts are read.
-PARITIES, FOLDED = 32, 4
+#: Words of 64 bits, at most and at least, of the parities that pairs are held against before their texts are read.
+PARITIES, FOLDED = 32, 8
+#: Pairs of places in lists looked at together; pairs of whole sets sent to a task together.
+PAIRS, PAIRS_HELD = 500_000, 200
 #: Texts whose sets a task holds at a time.
 TEXTS = 256
 #: A table with more rows than this is never broadcast.
@@ -74,15 +79,19 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())], np.uint64)
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The fingerprint as an unsigned integer."""
-    hashes = shingle_hashes(text, width)
+def _majority(hashes: np.ndarray) -> int:
+    """Each bit that is set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The fingerprint as an unsigned integer."""
+    return _majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id`, `fp` (the fingerprint's bits as a signed long) of every row."""
 
@@ -258,12 +267,6 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(shingle_hashes(text, width))
 
 
-def _possible(size: np.ndarray, bits: np.ndarray, size_b: np.ndarray, bits_b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of these sizes and parities can be similar enough; their difference has at least as many members as parities differ."""
-    fits = np.minimum(size, size_b) >= similarity * np.maximum(size, size_b) - 1e-9
-    return fits & (np.bitwise_count(bits.view(np.uint64) ^ bits_b.view(np.uint64)) <= (size + size_b) * (1 - similarity) / (1 + similarity) + 1e-9)
-
-
 def _parities(h: np.ndarray, words: int = PARITIES) -> bytes:
     """For each of 64 * words bits whether an odd number of hashes falls on it; words: a power of two."""
     counts = np.bincount((h >> np.uint64(6) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words)
@@ -300,8 +303,13 @@ def _common(texts: DataFrame, width: int) -> np.ndarray:
     return found.column("h").to_numpy()[::-1].view(np.uint64)
 
 
+def _words(size: int) -> int:
+    """Words of the parities that a set of this size is found by: a bit a hash at least, within bounds."""
+    return min(PARITIES, max(FOLDED, 1 << max(0, size - 1).bit_length() >> 6))
+
+
 def _sets(texts: DataFrame, common: np.ndarray, width: int, similarity: float) -> DataFrame:
-    """`_row`, `doc_id`, `fp` (a hash of the whole set), `size`, `bits`, `folded` and `parities` (of ever more bits), `first` (the set's first shingles) of every text."""
+    """`_row`, `doc_id`, `fp` (a hash of the whole set), `sim` (the fingerprint), `size`, `folded` and `parities`, `first` (the set's first shingles) of every text."""
     order = np.argsort(common)
     ranked = common[order]
 
@@ -309,20 +317,30 @@ def _sets(texts: DataFrame, common: np.ndarray, width: int, similarity: float) -
         for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, len(b), TEXTS)):
             out = []
             for text in batch.column(2):
-                h = shingle_set(text.as_py(), width)
+                every = shingle_hashes(text.as_py(), width)
+                h = np.unique(every)
                 least = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
                 rank = np.full(len(h), -1)
                 if len(ranked):
                     at = np.minimum(ranked.searchsorted(h), len(ranked) - 1)
                     rank[ranked[at] == h] = order[at[ranked[at] == h]]
                 first = h[np.argsort(rank, kind="stable")[:least]].view(np.int64)
-                bits = np.bitwise_xor.reduce(np.left_shift(np.uint64(1), h & np.uint64(63)), initial=np.uint64(0))
-                fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED), bits], np.uint64).view(np.int64)
-                out.append((int(fp[0]), len(h), int(fp[1]), (parities := _parities(h)), _folded(parities), first))
+                fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED), _majority(every)], np.uint64).view(np.int64)
+                out.append((int(fp[0]), int(fp[1]), len(h), _folded(parities := _parities(h, _words(len(h)))), parities, first))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]], ["_row", "doc_id", "fp", "size", "bits", "parities", "folded", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]], ["_row", "doc_id", "fp", "sim", "size", "folded", "parities", "first"])
+
+    return texts.select("_row", "doc_id", "_text").mapInArrow(run, "_row struct<file:long,at:long>, doc_id long, fp long, sim long, size long, folded binary, parities binary, first array<long>")
+
 
-    return texts.select("_row", "doc_id", "_text").mapInArrow(run, "_row struct<file:long,at:long>, doc_id long, fp long, size long, bits long, parities binary, folded binary, first array<long>")
+def _near_fingerprints(sets: DataFrame, radius: int) -> DataFrame:
+    """`a`, `b`: sets whose fingerprints the BK-trees link; where sets share a fingerprint, the least one and each other one."""
+    own = written(sets.select("sim", "fp").distinct(), "fingerprints")
+    least = own.groupBy("sim").agg(F.min("fp").alias("least"))
+    links = written(links_of(least.select(F.col("sim").alias("fp")), radius).distinct(), "near")
+    side = lambda end: least.select(F.col("sim").alias(f"sim_{end}"), F.col("least").alias(end))
+    found = links.toDF("sim_a", "sim_b").join(side("a"), "sim_a").join(side("b"), "sim_b").select("a", "b")
+    return own.join(least, "sim").filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).unionByName(found)
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -342,139 +360,174 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-def _shared(sets: DataFrame, similarity: float) -> DataFrame:
-    """`h`, `fp`, `size`, `bits`: different sets that share a first shingle; `pivot`: the least of them, null where it can't be similar."""
+def _shared(sets: DataFrame) -> DataFrame:
+    """`h`, `fp`: different sets that share a first shingle. Nothing else goes with them, since most first shingles aren't shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, fp, size, bits in _lists(batches):
+        for h, fp in _lists(batches):
             new = np.concatenate(([True], (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])))
-            h, fp, size, bits = (x[new] for x in (h, fp, size, bits))
-            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            sizes = np.diff(np.append(starts, len(h)))
-            first, more = np.repeat(starts, sizes), np.repeat(sizes > 1, sizes)
-            alone = (fp[first] == fp) | ~_possible(size[first], bits[first], size, bits, similarity)
+            h, fp = h[new], fp[new]
+            sizes = np.diff(np.append(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))), len(h)))
+            more = np.repeat(sizes > 1, sizes)
             for i in range(0, len(h), 50_000):
-                part = np.arange(i, min(len(h), i + 50_000))[more[i : i + 50_000]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[part]) for x in (h, fp, size, bits)), pa.array(fp[first[part]], mask=alone[part])], ["h", "fp", "size", "bits", "pivot"])
+                part = slice(i, i + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x[part][more[part]]) for x in (h, fp)], ["h", "fp"])
+
+    postings = sets.select(F.explode("first").alias("h"), "fp").repartition("h").sortWithinPartitions("h", "fp")
+    return postings.mapInArrow(run, "h long, fp long")
 
-    postings = sets.select(F.explode("first").alias("h"), "fp", "size", "bits").repartition("h").sortWithinPartitions("h", "fp")
-    return postings.mapInArrow(run, "h long, fp long, size long, bits long, pivot long")
 
+def _index_pairs(starts: np.ndarray, n: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs within lists, a bounded number at a time (or those of one place); of each list all, or the first one's."""
+    sizes = np.diff(np.append(starts, n))
+    own = np.arange(n) if every else starts
+    others = np.repeat(starts + sizes, sizes) - own - 1 if every else sizes - 1
+    ends = np.cumsum(others)
+    low = 0
+    while low < len(own):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, "right")))
+        times = others[low:high]
+        a = np.repeat(own[low:high], times)
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times)
+        low = high
 
-def _best_pivots(shared: DataFrame) -> DataFrame:
-    """`a`, `b`: each set with the one of its pivots that it shares most first shingles with."""
-    counts = shared.filter("pivot IS NOT NULL").groupBy("fp", "pivot").count()
-    return counts.groupBy(F.col("fp").alias("b")).agg(F.max_by("pivot", F.struct("count", "pivot")).alias("a")).select("a", "b")
 
+def _apart(levels: dict[int, np.ndarray], words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many parities differ between rows a and b, at the fewer of both rows' words."""
+    apart, shared = np.zeros(len(a), np.int64), np.minimum(words[a], words[b])
+    for w, rows in levels.items():
+        at = np.flatnonzero(shared == w)
+        for i in range(0, len(at), 50_000):
+            part = at[i : i + 50_000]
+            apart[part] = np.bitwise_count(rows[a[part]] ^ rows[b[part]]).sum(axis=1, dtype=np.int64)
+    return apart
 
-def _pairs_across(shared: DataFrame, groups: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """`a`, `b`: pairs that share a first shingle, may be similar and aren't in one group yet; of each list of sets that share one
-    those with the least, or every pair. groups: fp, folded, first.
 
-    Folded parities are looked at here, so that pairs that they rule out are never rows."""
+def _possible_pairs(told: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """`a`, `b`: pairs of sets of one list, but not of one group, whose sizes and parities let them be similar enough; their difference
+    has at least as many members as parities differ. Of each list all pairs, or those with its least set. told: h, fp, size, bits, group.
+
+    Lists bring their sets' parities, one row a set, so that pairs that are ruled out are never rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held = [], 0
-        for h, fp, size, bits, group, folded in _lists(batches):
+        for h, fp, size, bits, group in _lists(batches):
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            mixed = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
-            wide = np.frombuffer(b"".join(folded.tolist()), np.uint64).reshape(len(h), -1)
-            for a, b in zip(starts[mixed].tolist(), np.append(starts, len(h))[1:][mixed].tolist()):
-                for i in range(a, b - 1 if every else a + 1):
-                    to = slice(i + 1, b)
-                    keep = np.flatnonzero((group[to] != group[i]) & _possible(size[i], bits[i : i + 1], size[to], bits[to], similarity))
-                    if len(keep):
-                        apart = np.bitwise_count(wide[to][keep] ^ wide[i]).sum(axis=1, dtype=np.int64)
-                        keep = keep[apart <= (size[i] + size[to][keep]) * (1 - similarity) / (1 + similarity) + 1e-9]
-                    if len(keep):
-                        ends = fp[to][keep]
-                        found.append((np.full(len(ends), fp[i]), ends))
-                        held += len(ends)
-                    if held > 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
-                        found, held = [], 0
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
-
-    told = shared.drop("pivot").join(groups.withColumnRenamed("first", "group"), "fp")
-    dealt = told.repartition("h").sortWithinPartitions("h", "fp").select("h", "fp", "size", "bits", "group", "folded")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, similarity: float, kinds: tuple[str, ...] = ("folded", "parities")) -> DataFrame:
-    """Those of the pairs `a`, `b` whose sets, made again from their texts, are similar enough; kinds: parities they are held against first."""
+            words, levels = np.array(list(map(len, bits))) // 8, {}
+            for w in np.unique(words).tolist():
+                levels[w] = np.zeros((len(h), w), np.uint64)
+                for wider in np.unique(words[words >= w]).tolist():
+                    at = np.flatnonzero(words == wider)
+                    # Places of the fewer parities are those of the more, modulo their number.
+                    levels[w][at] = np.bitwise_xor.reduce(np.frombuffer(b"".join(bits[at].tolist()), np.uint64).reshape(len(at), -1, w), axis=1)
+            for a, b in _index_pairs(starts, len(h), every):
+                keep = (group[a] != group[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9)
+                a, b = a[keep], b[keep]
+                keep = _apart(levels, words, a, b) <= (size[a] + size[b]) * (1 - similarity) / (1 + similarity) + 1e-9
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[a[keep]]), pa.array(fp[b[keep]])], ["a", "b"])
+
+    dealt = told.repartition("h").sortWithinPartitions("h", "fp").select("h", "fp", "size", "bits", "group")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _pivots(shared: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """`a`, `b`, `n`: sets with the least sets of their lists, where they may be similar, and in how many lists they meet."""
+    told = shared.join(distinct.select("fp", "size", F.col("folded").alias("bits"), F.col("fp").alias("group")), "fp")
+    return _possible_pairs(told, similarity, False).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def _best(pivots: DataFrame) -> DataFrame:
+    """`a`, `b`: each set with the one of its pivots that it meets most."""
+    return pivots.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+
+
+def _numbered(groups: DataFrame, fp: str = "fp", group: str = "group") -> DataFrame:
+    return groups.select(F.col("fp").alias(fp), F.xxhash64("first").alias(group))
+
+
+def _other_pivots(pivots: DataFrame, tried: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pivots in other groups that weren't tried."""
+    told = pivots.join(tried, ["a", "b"], "left_anti").join(_numbered(groups, "b", "group_b"), "b").join(_numbered(groups, "a", "group_a"), "a")
+    return told.filter("group_a <> group_b").select("a", "b", "n")
+
+
+def _pairs_across(shared: DataFrame, distinct: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """`a`, `b`: all pairs that share a first shingle, may be similar and aren't in one group yet."""
+    grouped = written(shared.join(_numbered(groups), "fp"), "grouped")
+    mixed = grouped.groupBy("h").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("h")
+    told = grouped.join(mixed, "h", "left_semi").join(distinct.select("fp", "size", F.col("parities").alias("bits")), "fp")
+    found = written(_possible_pairs(told, similarity, True).distinct(), "across")
+    dropped(grouped)
+    return found
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs `a`, `b` whose sets, made again from their texts, are similar enough."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, len(b), TEXTS)):
-            found = [shingle_set(t.as_py(), width) for t in batch.column(2)]
+            found = [shingle_set(t.as_py(), width) for t in batch.column(1)]
             made = [pa.array(x, pa.binary()) for x in ([h.tobytes() for h in found], [_wide(h) for h in found])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["fp", "size", "data", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["fp", "data", "wide"])
+
+    def kept(batch: pa.RecordBatch, keep: list[bool]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for *sizes, a, b in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-                words = min(len(a), len(b)) // 8
-                a, b = (np.frombuffer(_folded(x, words), np.uint64) for x in (a, b))
-                keep.append(int(np.bitwise_count(a ^ b).sum()) <= sum(sizes) * (1 - similarity) / (1 + similarity) + 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for size_a, size_b, a, b in zip(*(batch.column(i) for i in range(2, 6))):
+                words = min(len(a.as_buffer()), len(b.as_buffer())) // 8
+                x, y = (np.frombuffer(_folded(side.as_buffer(), words), np.uint64) for side in (a, b))
+                keep.append(int(np.bitwise_count(x ^ y).sum()) <= (size_a.as_py() + size_b.as_py()) * (1 - similarity) / (1 + similarity) + 1e-9)
+            yield kept(batch, keep)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5)] if batch.num_rows else []
-            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64) if bits else size
-            keep = apart <= size * (1 - similarity) / (1 + similarity) + 1e-9
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for a, b in zip(batch.column(4), batch.column(5)):
+                x, y = (np.frombuffer(side.as_buffer(), np.uint64) for side in (a, b))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield kept(batch, keep)
 
-    def both(pairs: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    def both(pairs: DataFrame, column: str) -> DataFrame:
         for side in "ab":
-            pairs = pairs.join(known.select(F.col("fp").alias(side), F.col("size").alias(f"size_{side}"), F.col(column).alias(f"{column}_{side}")), side)
+            size = (F.octet_length("data") / 8).cast("long").alias(f"size_{side}")
+            pairs = pairs.join(data.select(F.col("fp").alias(side), size, F.col(column).alias(f"{column}_{side}")), side)
         return pairs.select("a", "b", "size_a", "size_b", f"{column}_a", f"{column}_b")
 
-    # Few bits first: most pairs end there, and what goes with each pair through the shuffles stays small.
-    first, ended = sets.dropDuplicates(["fp"]), None
-    for kind in kinds:
-        pairs = written(both(pairs, first, kind).mapInArrow(near, "a long, b long"), "pairs")
-        if ended is not None:
-            dropped(ended)
-        ended = pairs
     wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    rows = _small(sets.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("_row").alias("_row"), F.first("size").alias("size")), "wanted")
-    made = texts.select("_row", "_text").join(rows, "_row").select("fp", "size", "_text")
-    data = written(made.mapInArrow(hashed, "fp long, size long, data binary, wide binary"), "data")
-    pairs = written(both(pairs, data, "wide").mapInArrow(wide, "a long, b long"), "pairs")
-    links = written(both(pairs, data, "data").select("a", "b", "data_a", "data_b").mapInArrow(compared, "a long, b long"), "links")
-    for table in (ended, data, pairs):
+    rows = _small(sets.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("_row").alias("_row")), "wanted")
+    data = written(texts.select("_row", "_text").join(rows, "_row").select("fp", "_text").mapInArrow(hashed, "fp long, data binary, wide binary"), "data")
+    # Pairs come with two whole sets each, so few at a time.
+    possible = written(both(pairs, "wide").mapInArrow(wide, "a long, b long"), "possible", PAIRS_HELD)
+    links = written(both(possible, "data").mapInArrow(compared, "a long, b long"), "links", PAIRS_HELD)
+    for table in (data, possible, rows):
         dropped(table)
     return links
 
 
-def _grouped(texts: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+def _grouped(texts: DataFrame, width: int, similarity: float, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """`_row`, `doc_id`, `fp` of every row of `texts` (_row, doc_id, _text), and `fp`, `first`: the least row of its group."""
     sets = written(_sets(texts, _common(texts, width), width, similarity), "sets")
     # The order of a group: ids first, the smallest first, then the rows without one.
     own = written(sets.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "_row")).alias("first")), "distinct")
-    shared = written(_shared(sets, similarity), "shared")
-    groups, links, ended = own, None, []
-    # Best pivots join most of a group, so that the other two steps, which compare across groups only, find few pairs left.
-    folded = sets.select("fp", "folded").dropDuplicates(["fp"])
-    for step in (0, 1, 2):
-        if step:
-            numbered = folded.join(groups.select("fp", F.xxhash64("first").alias("first")), "fp")
-            found = _verified(_pairs_across(shared, numbered, similarity, step == 2), sets, texts, width, similarity, ("parities",))
+    shared = written(_shared(sets), "shared")
+    distinct = sets.select("fp", "size", "folded", "parities").dropDuplicates(["fp"])
+    pivots = written(_pivots(shared, distinct, similarity), "pivots")
+    groups, links, tried = own, None, []
+    # The first two steps join most of a group, so that the last one, which compares all across groups, finds few pairs left.
+    for step in range(3):
+        if step == 0:
+            pairs = written(_near_fingerprints(sets, radius).unionByName(_best(pivots)).distinct(), "pairs")
+        elif step == 1:
+            pairs = written(_best(_other_pivots(pivots, tried[0], groups)), "pairs")
         else:
-            found = _verified(_best_pivots(shared), sets, texts, width, similarity)
-        ended.append(found)
+            pairs = _pairs_across(shared, distinct, groups, similarity)
+        tried.append(pairs)
+        found = _verified(pairs, sets, texts, width, similarity)
+        tried.append(found)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             joined = components(links, own).withColumnRenamed("first", "least")
@@ -483,7 +536,7 @@ def _grouped(texts: DataFrame, width: int, similarity: float) -> tuple[DataFrame
                 dropped(before)
             dropped(joined)
     rows = written(sets.select("_row", "doc_id", "fp"), "rows")
-    for table in (sets, shared, *ended, *([own] if groups is not own else [])):
+    for table in (sets, shared, pivots, *tried, *([own] if groups is not own else [])):
         dropped(table)
     return rows, groups
 

@@ -1,5 +1,6 @@
 """The pipeline from end to end, and names that its stages use themselves."""
 
+import random
 
 import corpus_pipeline
 from orrery.llm import packing, quality, rules, simhash
@@ -68,3 +69,36 @@ def test_scores_that_do_not_fit():
     for value in (16.1, -16.1):
         with pytest.raises(ValueError):
             maxent.in_steps(np.array([value]) * np.log(10))
+
+
+def test_near_copies_by_fingerprints_first(spark, monkeypatch):
+    """The stage's near copies come through the BK-trees where fingerprints are near, even if nothing else finds them; the whole sets are compared."""
+    rng = random.Random(8)
+    base = [rng.choices([f"w{i}" for i in range(5000)], k=400) for _ in range(3)]
+    fingerprint = lambda words: simhash.fingerprint(" ".join(words), simhash.WIDTH)
+    edits = lambda words: ([*words[: -1 - i], f"end{i}"] for i in range(50))
+    near = [next(x for x in edits(b) if 0 < (fingerprint(b) ^ fingerprint(x)).bit_count() <= simhash.RADIUS) for b in base]
+    texts = [" ".join(t) for both in zip(base, near) for t in both] + [" ".join(base[0][:200] + base[1][200:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    radii, own = [], simhash.links_of
+    monkeypatch.setattr(simhash, "links_of", lambda *a: radii.append(a[1]) or own(*a))
+    monkeypatch.setattr(simhash, "_best", lambda pivots: pivots.filter("false").select("a", "b"))
+    monkeypatch.setattr(simhash, "_pairs_across", lambda *a: simhash.written(own(docs.select(F.col("doc_id").alias("fp")).filter("false"), 2), "none"))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2, 4, 6]
+    assert radii == [simhash.RADIUS]
+
+
+def test_unlike_texts_that_share_lines(spark, monkeypatch):
+    """Of long unlike texts that share rare lines only a text's best pivots are made pairs, not all; near copies among them are found."""
+    rng, words = random.Random(9), [f"w{i}" for i in range(20_000)]
+    texts = [rng.choices(words, k=1700) for _ in range(60)]
+    for _ in range(450):
+        line = rng.choices(words, k=9)
+        for i in rng.sample(range(60), 4):
+            texts[i] += line
+    texts.append(texts[7][:-100])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    pairs, own = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda found, *a: pairs.append(found.count()) or own(found, *a))
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {i: i for i in range(60)} | {60: 7}
+    assert sum(pairs) <= 2 * len(texts)
