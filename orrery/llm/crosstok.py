@@ -37,8 +37,8 @@ from orrery.llm.common import written
 
 #: Bytes of a range of a long text; longer texts are divided. Fragments that a step of the tree joins.
 CHUNK, FAN = 32_768, 16
-#: Links of a lot; parts that are remembered, and their longest length.
-LOT, REMEMBERED, SHORT = 2_000_000, 400_000, 64
+#: Links of a lot, and texts of it that are looked at together; parts that are remembered (some 450 bytes each), and their longest length.
+LOT, TOGETHER, REMEMBERED, SHORT = 2_000_000, 100, 100_000, 64
 #: Latin, Greek and Cyrillic letters come before this one.
 SETTLED = "\u0500"
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
@@ -374,11 +374,16 @@ _LOT_NAMES = [c.split()[0] for c in _LOT.split(", ")]
 
 def _lot(number: int, rows: list[tuple], links: list[np.ndarray]) -> pa.RecordBatch:
     """A lot: its pairs and how often it has them, its texts, and each text's links as places among the pairs."""
-    pairs, place, times = np.unique(np.concatenate(links), return_inverse=True, return_counts=True)
-    kind = np.uint32 if len(pairs) > 1 << 16 else np.uint16
-    cuts = np.cumsum([0, *map(len, links)])
-    place = place.astype(kind)
-    values = [number, pairs, times, *zip(*rows), kind is np.uint32, [place[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]]
+    # A few texts at a time: a lot has far fewer pairs than links.
+    some = [slice(i, i + TOGETHER) for i in range(0, len(links), TOGETHER)]
+    pairs = np.unique(np.concatenate([np.unique(np.concatenate(links[part])) for part in some]))
+    kind, times, places = np.uint32 if len(pairs) > 1 << 16 else np.uint16, np.zeros(len(pairs), np.int64), []
+    for part in some:
+        place = pairs.searchsorted(np.concatenate(links[part]))
+        times += np.bincount(place, minlength=len(pairs))
+        cuts = np.cumsum([0, *map(len, links[part])])
+        places += [place[a:b].astype(kind).tobytes() for a, b in zip(cuts, cuts[1:])]
+    values = [number, pairs, times, *zip(*rows), kind is np.uint32, places]
     kinds = [pa.int64(), *[pa.list_(pa.int64())] * 6, pa.list_(pa.string()), pa.bool_(), pa.list_(pa.binary())]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], _LOT_NAMES)
 
@@ -428,7 +433,7 @@ def _long_fragments(docs: DataFrame, path_a: str, path_b: str, chunk: int) -> Da
                 f = range_fragment(aligner, r["text"], r["low"], r["high"])
                 pairs, times = np.unique(np.array(f.links if f else [], np.int64), return_counts=True)
                 columns = _columns(r["row"], r["doc_id"], r["chunk"], f, len(f.links) if f else 0, [])
-                aligner.forget_long(set(aligner.known) & {p for p in BETWEEN.split(r["text"]) if len(p) > SHORT})
+                aligner.forget_long({p for p in BETWEEN.split(r["text"]) if p in aligner.known})
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([pairs], pa.list_(pa.int64())), pa.array([times], pa.list_(pa.int64()))], [*_FRAGMENT_NAMES, "pairs", "times"])
 
     spread = docs.mapInArrow(cut, "row long, doc_id long, chunk int, text string, low long, high long").repartition("row", "chunk")

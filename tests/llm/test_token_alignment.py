@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import tracemalloc
 from collections import Counter
 from functools import lru_cache, reduce
 
@@ -158,3 +159,28 @@ def test_slices():
             if want[0]:
                 done = crosstok.finished(reduce(lambda x, y: x.joined(y, aligner.base), found), aligner.base)
                 assert done.groups.decode() == want[0]
+
+
+def test_memory_of_a_lot():
+    """A lot's pairs are found in a few times the memory that its links take, and are those of all links."""
+    rng = np.random.default_rng(4)
+    links = [rng.integers(0, 12_000, n) ** 2 for n in (0, 1, *[1000] * 1000)]
+    rows = [(i, 0, 0, 0, "") for i in range(len(links))]
+    tracemalloc.start()
+    batch = crosstok._lot(7, rows, links)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 * sum(x.nbytes for x in links)
+    lot = batch.to_pylist()[0]
+    pairs, times = np.unique(np.concatenate(links), return_counts=True)
+    assert lot["pairs"] == pairs.tolist() and lot["times"] == times.tolist() and not lot["wide"]
+    assert all((pairs[np.frombuffer(p, np.uint16)] == x).all() for p, x in zip(lot["places"], links, strict=True))
+
+
+def test_remembered_parts_are_bounded():
+    """Words that occur once don't pile up."""
+    aligner = crosstok.Aligner(A, B)
+    for i in range(0, 200_000, 20_000):
+        aligner.learn({f"w{j}" for j in range(i, i + 20_000)})
+        assert len(aligner.known) <= 100_000
+    assert aligner.closed(["w199999"]).n_groups > 0
