@@ -304,8 +304,8 @@ def _common(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def _words(size: int) -> int:
-    """Words of the parities that a set of this size is found by: a bit a hash at least, within bounds."""
-    return min(PARITIES, max(FOLDED, 1 << max(0, size - 1).bit_length() >> 6))
+    """Words of the parities that a set of this size is found by: 0.6 bits a hash at least, which tell unlike sets apart, within bounds."""
+    return min(PARITIES, max(FOLDED, 1 << max(0, size * 3 // 5 - 1).bit_length() >> 6))
 
 
 def _sets(texts: DataFrame, common: np.ndarray, width: int, similarity: float) -> DataFrame:
@@ -508,15 +508,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, s
     return links
 
 
+def _merged(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """The groups (fp, first) that links between their sets join. Groups are joined, not sets, so that many links between two count once."""
+    ends = found.join(_numbered(groups, "a", "group_a"), "a").join(_numbered(groups, "b", "group_b"), "b")
+    links = written(ends.filter("group_a <> group_b").select(F.col("group_a").alias("a"), F.col("group_b").alias("b")).distinct(), "between")
+    numbered = written(groups.select("fp", "first", F.xxhash64("first").alias("group")), "numbered")
+    joined = components(links, numbered.select(F.col("group").alias("fp"), "first").distinct()).toDF("group", "least")
+    merged = written(numbered.join(joined, "group", "left").select("fp", F.coalesce("least", "first").alias("first")), "groups")
+    for table in (links, numbered, joined):
+        dropped(table)
+    return merged
+
+
 def _grouped(texts: DataFrame, width: int, similarity: float, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """`_row`, `doc_id`, `fp` of every row of `texts` (_row, doc_id, _text), and `fp`, `first`: the least row of its group."""
-    sets = written(_sets(texts, _common(texts, width), width, similarity), "sets")
+    whole = written(_sets(texts, _common(texts, width), width, similarity), "whole")
+    shared = written(_shared(whole), "shared")
+    # First shingles are most of the table and not needed any more.
+    sets = written(whole.drop("first"), "sets")
+    dropped(whole)
     # The order of a group: ids first, the smallest first, then the rows without one.
     own = written(sets.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "_row")).alias("first")), "distinct")
-    shared = written(_shared(sets), "shared")
     distinct = sets.select("fp", "size", "folded", "parities").dropDuplicates(["fp"])
     pivots = written(_pivots(shared, distinct, similarity), "pivots")
-    groups, links, tried = own, None, []
+    groups, tried = own, []
     # The first two steps join most of a group, so that the last one, which compares all across groups, finds few pairs left.
     for step in range(3):
         if step == 0:
@@ -529,12 +544,9 @@ def _grouped(texts: DataFrame, width: int, similarity: float, radius: int = RADI
         found = _verified(pairs, sets, texts, width, similarity)
         tried.append(found)
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            joined = components(links, own).withColumnRenamed("first", "least")
-            before, groups = groups, written(own.join(joined, "fp", "left").select("fp", F.coalesce("least", "first").alias("first")), "groups")
+            before, groups = groups, _merged(groups, found)
             if before is not own:
                 dropped(before)
-            dropped(joined)
     rows = written(sets.select("_row", "doc_id", "fp"), "rows")
     for table in (sets, shared, pivots, *tried, *([own] if groups is not own else [])):
         dropped(table)
