@@ -11,8 +11,8 @@ search them as rows of a shuffle, never by way of the driver. Each shard builds
 distance to their parent; a search follows only edges within the radius) and answers with the links of a spanning forest,
 fewer than it has members.
 
-How groups are found. Each linked fingerprint takes the smallest label of its neighbours and then the label of that
-label, until nothing changes; every round is written to the shared folder.
+How groups are found. In each round every linked fingerprint goes to the one of least draw among itself and its neighbours, and
+only the links between those that are left go into the next round, until there are none; every round is written to the shared folder.
 
 Similar texts. `near_duplicates` and `keep_first` compare whole texts: two are linked if the sets of their five-word shingles
 have a Jaccard similarity of 0.8 or more. First the fingerprints of those shingles go through the same sharded BK-trees, and the links
@@ -20,9 +20,10 @@ within RADIUS bits are checked by the whole sets. But fingerprints of such pairs
 so no radius that still tells unlike texts apart finds them all. The rest is found without loss: put the shingles of every
 set into one order; two sets that are similar enough share a shingle among the first of both (all but 0.8 of a set, and one).
 Any order is right; the common shingles of a sample come last, so that few texts meet by them. Of the
-sets that share a first shingle the least one is the others' pivot. Each set is compared with its best pivot, and components are
-made; then with its best pivot in another component; then with all other sets there. Sizes and parities of hashed bits, more for larger
-sets, rule out pairs that can't be similar enough where the lists of sets are, before there are rows of pairs; the others are compared in full.
+sets that share a first shingle the least one is the others' pivot. Shingles that the same sets share make one list. Each set is compared
+with its best pivot, and components are made; then with the likest set in another component; then with all other sets there. Sizes and parities
+of hashed bits, more for larger sets, rule out pairs that can't be similar enough where the lists of sets are, before there are rows of pairs; lists
+with the same pivot are looked at together, so that a pair comes once from all of them. The others are compared in full.
 
 Edge cases. Null, empty and blank texts have no words: their fingerprint is zero and links like any other. A text with
 fewer words than the shingle has one shingle, all its words. Repeated rows stay and share a group. Null ids take part and
@@ -54,9 +55,11 @@ RADIUS = 4
 #: Texts whose shingles are counted, and how many common shingles are told to the tasks.
 SAMPLE, COMMON = 5_000, 20_000
 #: Words of 64 bits, at most and at least, of the parities that pairs are held against before their texts are read.
-PARITIES, FOLDED = 32, 8
+PARITIES, FOLDED = 128, 8
 #: Pairs of places in lists looked at together; pairs of whole sets sent to a task together.
 PAIRS, PAIRS_HELD = 500_000, 200
+#: Places in lists with the same least set that are looked at together.
+BLOCK = 10_000
 #: Texts whose sets a task holds at a time.
 TEXTS = 256
 #: A table with more rows than this is never broadcast.
@@ -233,21 +236,26 @@ def links_of(distinct: DataFrame, radius: int = 2, shard_size: int = SHARD_SIZE)
 
 def components(links: DataFrame, ids: DataFrame) -> DataFrame:
     """`fp`, `first`: for every linked fp of `ids` (fp, first) the smallest `first` that its links reach."""
-    edges = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    ends = edges.select(F.col("a").alias("fp")).distinct()
-    labels = written(ids.join(ends, "fp", "left_semi").select("fp", "first", F.col("fp").alias("to")), "labels")
-    while True:
-        seen = edges.join(labels.select(F.col("fp").alias("b"), "first", "to"), "b").groupBy(F.col("a").alias("fp")).agg(F.min(F.struct("first", "to")).alias("seen"))
-        least = F.least(F.struct("first", "to"), F.col("seen"))
-        hooked = written(labels.join(seen, "fp", "left").select("fp", F.col("first").alias("old"), least.alias("l")).select("fp", "old", "l.first", "l.to"), "hooked")
-        over = hooked.select(F.col("fp").alias("to"), F.col("first").alias("next_first"), F.col("to").alias("next_to"))
-        jumped = written(hooked.join(over, "to").select("fp", F.col("next_first").alias("first"), F.col("next_to").alias("to"), (F.col("old") != F.col("next_first")).alias("moved")), "labels")
-        dropped(hooked)
-        dropped(labels)
-        labels = jumped
-        if labels.filter("moved").isEmpty():
-            dropped(edges)
-            return labels.select("fp", "first")
+    edges = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
+    reached, steps = edges.select(F.col("a").alias("fp"), F.col("a").alias("to")).distinct(), []
+    while not edges.isEmpty():
+        # Each end goes to the one of least draw among itself and its neighbours, by draws of this round; what is left are the links between those.
+        drawn = lambda c, n=len(steps): F.struct(F.xxhash64(F.lit(n), c).alias("draw"), F.col(c).alias("at"))
+        least = edges.groupBy("a").agg(F.min(drawn("b")).alias("least"))
+        step = written(least.select(F.col("a").alias("fp"), F.least("least", drawn("a"))["at"].alias("to")), "step")
+        side = lambda end: step.select(F.col("fp").alias(end), F.col("to").alias(f"to_{end}"))  # noqa: E731,B023
+        moved = edges.join(side("a"), "a").join(side("b"), "b").filter("to_a <> to_b")
+        left = written(moved.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct(), "edges")
+        onward = step.toDF("to", "next")
+        reached = reached.join(onward, "to", "left").select("fp", F.coalesce("next", "to").alias("to")) if steps else step
+        dropped(edges)
+        edges = left
+        steps.append(step)
+    told = written(ids.join(reached, "fp").select("fp", "first", "to"), "reached")
+    labels = written(told.join(told.groupBy("to").agg(F.min("first").alias("least")), "to").select("fp", F.col("least").alias("first")), "labels")
+    for table in (edges, told, *steps):
+        dropped(table)
+    return labels
 
 
 def fingerprint_groups(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_size: int = SHARD_SIZE) -> DataFrame:
@@ -361,35 +369,36 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def _shared(sets: DataFrame) -> DataFrame:
-    """`h`, `fp`: different sets that share a first shingle. Nothing else goes with them, since most first shingles aren't shared."""
+    """`least`, `list`, `fp`, `n`: different sets that share a first shingle, and the least set among them; lists of the same sets are one, of n shingles.
+    Nothing else goes with them, since most first shingles aren't shared. Should two lists have one name, they are compared as one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, fp in _lists(batches):
             new = np.concatenate(([True], (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])))
             h, fp = h[new], fp[new]
-            sizes = np.diff(np.append(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))), len(h)))
-            more = np.repeat(sizes > 1, sizes)
-            for i in range(0, len(h), 50_000):
-                part = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[part][more[part]]) for x in (h, fp)], ["h", "fp"])
+            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            sizes = np.diff(np.append(starts, len(h)))
+            starts, sizes = starts[sizes > 1], sizes[sizes > 1]
+            names = np.array([xxhash.xxh64_intdigest(fp[a : a + n].tobytes(), SEED) for a, n in zip(starts.tolist(), sizes.tolist())], np.uint64).view(np.int64)
+            rows = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            columns = np.repeat(fp[starts], sizes), np.repeat(names, sizes), fp[rows]
+            for i in range(0, len(rows), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in columns], ["least", "list", "fp"])
 
     postings = sets.select(F.explode("first").alias("h"), "fp").repartition("h").sortWithinPartitions("h", "fp")
-    return postings.mapInArrow(run, "h long, fp long")
+    return postings.mapInArrow(run, "least long, list long, fp long").groupBy("least", "list", "fp").agg(F.count("*").alias("n"))
 
 
-def _index_pairs(starts: np.ndarray, n: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the pairs within lists, a bounded number at a time (or those of one place); of each list all, or the first one's."""
-    sizes = np.diff(np.append(starts, n))
-    own = np.arange(n) if every else starts
-    others = np.repeat(starts + sizes, sizes) - own - 1 if every else sizes - 1
+def _index_pairs(own: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the places `own` with those from low to high, a bounded number at a time (or those of one place)."""
+    others = high - low
     ends = np.cumsum(others)
-    low = 0
-    while low < len(own):
-        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, "right")))
-        times = others[low:high]
-        a = np.repeat(own[low:high], times)
-        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times)
-        low = high
+    i = 0
+    while i < len(own):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+        times = others[i:j]
+        yield np.repeat(own[i:j], times), np.repeat(low[i:j] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        i = j
 
 
 def _apart(levels: dict[int, np.ndarray], words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -403,37 +412,75 @@ def _apart(levels: dict[int, np.ndarray], words: np.ndarray, a: np.ndarray, b: n
     return apart
 
 
-def _possible_pairs(told: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """`a`, `b`: pairs of sets of one list, but not of one group, whose sizes and parities let them be similar enough; their difference
-    has at least as many members as parities differ. Of each list all pairs, or those with its least set. told: h, fp, size, bits, group.
+def _possible_pairs(told: DataFrame, similarity: float, which: str) -> DataFrame:
+    """`a`, `b`, `n`: pairs of sets of one list, but not of one group, whose sizes and parities let them be similar enough; their difference
+    has at least as many members as parities differ. told: block, list, fp, size, bits, group, n.
+
+    which: "least" pairs each list's least set with the others (n: theirs), "every" makes all pairs, "nearest" pairs each set with the
+    one that is likest to it by parities (n: how much nearer than it has to be). Lists bring their sets' parities, so that pairs that are ruled
+    out are never rows, and lists of a block are looked at together, so that a pair that meets in many of them is one row."""
 
-    Lists bring their sets' parities, one row a set, so that pairs that are ruled out are never rows."""
+    def batch(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, fp, size, bits, group in _lists(batches):
-            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        for block, name, row_fp, row_size, row_bits, row_group, n in _lists(batches):
+            fp, one, row = np.unique(row_fp, return_index=True, return_inverse=True)
+            size, bits = row_size[one], row_bits[one]
             words, levels = np.array(list(map(len, bits))) // 8, {}
             for w in np.unique(words).tolist():
-                levels[w] = np.zeros((len(h), w), np.uint64)
+                levels[w] = np.zeros((len(fp), w), np.uint64)
                 for wider in np.unique(words[words >= w]).tolist():
                     at = np.flatnonzero(words == wider)
                     # Places of the fewer parities are those of the more, modulo their number.
                     levels[w][at] = np.bitwise_xor.reduce(np.frombuffer(b"".join(bits[at].tolist()), np.uint64).reshape(len(at), -1, w), axis=1)
-            for a, b in _index_pairs(starts, len(h), every):
-                keep = (group[a] != group[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9)
-                a, b = a[keep], b[keep]
-                keep = _apart(levels, words, a, b) <= (size[a] + size[b]) * (1 - similarity) / (1 + similarity) + 1e-9
-                if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(fp[a[keep]]), pa.array(fp[b[keep]])], ["a", "b"])
-
-    dealt = told.repartition("h").sortWithinPartitions("h", "fp").select("h", "fp", "size", "bits", "group")
-    return dealt.mapInArrow(run, "a long, b long")
+            new = np.concatenate(([True], (block[1:] != block[:-1]) | (name[1:] != name[:-1])))
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(row))
+            if which == "least":
+                places = starts, starts + 1, ends
+            else:
+                # A list's groups stand together, so the others begin where a set's own group ends.
+                runs = np.flatnonzero(new | np.concatenate(([True], row_group[1:] != row_group[:-1])))
+                sizes = np.diff(np.append(runs, len(row)))
+                places = np.arange(len(row)), np.repeat(runs + sizes, sizes), np.repeat(ends, ends - starts)
+            nearest, nearness, held = np.full(len(fp), -1), np.full(len(fp), -1.0), np.zeros(0, np.int64)
+            for a, b in _index_pairs(*places):
+                x, y = row[a], row[b]
+                if which != "least":
+                    x, y = np.divmod(np.unique(np.minimum(x, y) * len(fp) + np.maximum(x, y)), len(fp))
+                keep = np.flatnonzero(np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9)
+                x, y = x[keep], y[keep]
+                nearer = (size[x] + size[y]) * (1 - similarity) / (1 + similarity) + 1e-9 - _apart(levels, words, x, y)
+                at = np.flatnonzero(nearer >= 0)
+                x, y, nearer = x[at], y[at], nearer[at]
+                if which == "least":
+                    yield batch(fp[x], fp[y], n[b[keep[at]]].astype(float))
+                elif which == "nearest":
+                    order = np.argsort(nearer, kind="stable")
+                    for u, v in ((x[order], y[order]), (y[order], x[order])):
+                        last = len(u) - 1 - np.unique(u[::-1], return_index=True)[1]
+                        last = last[nearer[order][last] > nearness[u[last]]]
+                        nearest[u[last]], nearness[u[last]] = v[last], nearer[order][last]
+                else:
+                    held = np.union1d(held, x * len(fp) + y)
+                    if len(held) > PAIRS:
+                        yield batch(fp[held // len(fp)], fp[held % len(fp)], np.zeros(len(held)))
+                        held = held[:0]
+            if len(at := np.flatnonzero(nearest >= 0)):
+                yield batch(fp[nearest[at]], fp[at], nearness[at])
+            if len(held):
+                yield batch(fp[held // len(fp)], fp[held % len(fp)], np.zeros(len(held)))
+
+    dealt = told.repartition("block").sortWithinPartitions("block", "list", "group", "fp")
+    return dealt.select("block", "list", "fp", "size", "bits", "group", "n").mapInArrow(run, "a long, b long, n double")
 
 
 def _pivots(shared: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
     """`a`, `b`, `n`: sets with the least sets of their lists, where they may be similar, and in how many lists they meet."""
-    told = shared.join(distinct.select("fp", "size", F.col("folded").alias("bits"), F.col("fp").alias("group")), "fp")
-    return _possible_pairs(told, similarity, False).groupBy("a", "b").agg(F.count("*").alias("n"))
+    met = shared.groupBy("least", "fp").agg(F.sum("n").alias("n"))
+    told = met.join(distinct.select("fp", "size", F.col("folded").alias("bits"), F.col("fp").alias("group")), "fp")
+    return _possible_pairs(told.select("*", F.col("least").alias("block"), F.col("least").alias("list")), similarity, "least")
 
 
 def _best(pivots: DataFrame) -> DataFrame:
@@ -445,20 +492,25 @@ def _numbered(groups: DataFrame, fp: str = "fp", group: str = "group") -> DataFr
     return groups.select(F.col("fp").alias(fp), F.xxhash64("first").alias(group))
 
 
-def _other_pivots(pivots: DataFrame, tried: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pivots in other groups that weren't tried."""
-    told = pivots.join(tried, ["a", "b"], "left_anti").join(_numbered(groups, "b", "group_b"), "b").join(_numbered(groups, "a", "group_a"), "a")
-    return told.filter("group_a <> group_b").select("a", "b", "n")
+def _mixed(shared: DataFrame, distinct: DataFrame, groups: DataFrame) -> DataFrame:
+    """The lists that hold sets of several groups, in blocks of the same least set, large ones divided."""
+    grouped = written(shared.join(_numbered(groups), "fp"), "grouped")
+    several = grouped.groupBy("least", "list").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("least", "list")
+    mixed = written(grouped.join(several, ["least", "list"], "left_semi"), "mixed")
+    dropped(grouped)
+    large = _small(mixed.groupBy("least").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).filter("parts > 1"), "large")
+    told = mixed.join(large, "least", "left").withColumn("block", F.xxhash64("least", F.pmod("list", F.coalesce("parts", F.lit(1)))))
+    return told.join(distinct.select("fp", "size", F.col("parities").alias("bits")), "fp")
+
+
+def _nearest(shared: DataFrame, distinct: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """`a`, `b`, `n`: each set with the likest ones of other groups that share a first shingle and may be similar."""
+    return _possible_pairs(_mixed(shared, distinct, groups), similarity, "nearest")
 
 
 def _pairs_across(shared: DataFrame, distinct: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
     """`a`, `b`: all pairs that share a first shingle, may be similar and aren't in one group yet."""
-    grouped = written(shared.join(_numbered(groups), "fp"), "grouped")
-    mixed = grouped.groupBy("h").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("h")
-    told = grouped.join(mixed, "h", "left_semi").join(distinct.select("fp", "size", F.col("parities").alias("bits")), "fp")
-    found = written(_possible_pairs(told, similarity, True).distinct(), "across")
-    dropped(grouped)
-    return found
+    return written(_possible_pairs(_mixed(shared, distinct, groups), similarity, "every").select("a", "b").distinct(), "across")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -537,7 +589,7 @@ def _grouped(texts: DataFrame, width: int, similarity: float, radius: int = RADI
         if step == 0:
             pairs = written(_near_fingerprints(sets, radius).unionByName(_best(pivots)).distinct(), "pairs")
         elif step == 1:
-            pairs = written(_best(_other_pivots(pivots, tried[0], groups)), "pairs")
+            pairs = written(_best(_nearest(shared, distinct, groups, similarity)), "pairs")
         else:
             pairs = _pairs_across(shared, distinct, groups, similarity)
         tried.append(pairs)

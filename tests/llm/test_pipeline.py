@@ -102,3 +102,35 @@ def test_unlike_texts_that_share_lines(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_verified", lambda found, *a: pairs.append(found.count()) or own(found, *a))
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {i: i for i in range(60)} | {60: 7}
     assert sum(pairs) <= 2 * len(texts)
+
+
+def test_pairs_come_once(spark, monkeypatch):
+    """Sets that meet by many shingles are one pair, and of a large group of near copies there is about a row for each; no link is lost."""
+    rng, words = random.Random(10), [f"w{i}" for i in range(20_000)]
+    texts = []
+    for _ in range(40):
+        base = rng.choices(words, k=300)
+        texts += [base, base[:-9]]
+    base = rng.choices(words, k=300)
+    for _ in range(60):
+        texts.append(list(base))
+        for _ in range(2):
+            texts[-1][rng.randrange(300)] = rng.choice(words)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows, own = [], simhash._possible_pairs
+    monkeypatch.setattr(simhash, "_possible_pairs", lambda *a: rows.append(own(*a).count()) or own(*a))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got == {i: i // 2 * 2 if i < 80 else 80 for i in range(140)}
+    assert sum(rows) <= 3 * len(texts)
+
+
+def test_links_of_one_group_are_joined_once(spark, monkeypatch):
+    """A dense group is one after few rounds: later rounds meet only the links that are left."""
+    ids = spark.createDataFrame([(i, i) for i in range(100)], "fp long, first long")
+    links = spark.createDataFrame([(a, b) for a in range(40) for b in range(a)] + [(a, a + 1) for a in range(50, 99)], "a long, b long")
+    tables, own = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name, *a: tables.append((name, (made := own(df, name, *a)).count())) or made)
+    got = {r.fp: r.first for r in simhash.components(links, ids).collect()}
+    assert got == {i: 0 if i < 40 else 50 for i in [*range(40), *range(50, 100)]}
+    edges = [n for name, n in tables if name == "edges"]
+    assert edges[-1] == 0 and sum(edges[1:]) < edges[0]
