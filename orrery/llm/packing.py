@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +32,8 @@ ITEMS = 50_000
 NEARLY = 0.01
 #: A round that saves less than this share of its bins is the last.
 WORTHWHILE = 0.005
-REMEMBERED = 600_000
+#: Words that are remembered, and as many that were before those.
+REMEMBERED = 400_000
 #: Last bytes of a word that are tokens of their own behind one of these letters: a to z (words have A-Z lower-cased) and the
 #: accented ones of Latin-1 in both cases, all of which have one letter as their lower case.
 MARKS = frozenset((b".", b","))
@@ -43,7 +44,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordTokenizer:
     """Ids of texts under a tokenizer that lower-cases and drops white space, so that each word has ids of its own.
 
-    Words are encoded once and remembered, up to a bound. New words are encoded many in one string; a token belongs to the
+    Words are encoded once and remembered, up to a bound; then those that come again before as many others have come stay. New words are encoded many in one string; a token belongs to the
     word in which it starts. A comma or full stop behind a plain letter is always a token of its own, so such words are put
     together from two that are known.
     """
@@ -54,6 +55,13 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def _recall(self, words: Iterable[bytes]) -> set[bytes]:
+        """Puts those of these words that were known before among those known."""
+        held = self.before.keys() & words
+        self.known.update(zip(held, map(self.before.__getitem__, held)))
+        return held
 
     def _learn(self, words: list[bytes]) -> None:
         """Puts the ids of these words among those known."""
@@ -65,6 +73,8 @@ class WordTokenizer:
             else:
                 stems[word] = None
         new = [word for word in stems if word not in self.known]
+        held = self._recall(new)
+        new = [word for word in new if word not in held]
         for i in range(0, len(new), 1000):
             part = [word.decode() for word in new[i : i + 1000]]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
@@ -80,11 +90,12 @@ class WordTokenizer:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         split = [(text or "").encode().lower().split() for text in texts]
         words = set().union(*split)
-        new = words - self.known.keys()
+        # Looks up the words; minus the dictionary's keys would go through all of those.
+        new = words.difference(self.known)
         if len(self.known) + 2 * len(new) > REMEMBERED:
-            self.known.clear()
+            self.known, self.before = {}, self.known
             new = words
-        if new:
+        if new := new - self._recall(new):
             self._learn(list(new))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]

@@ -134,3 +134,18 @@ def test_links_of_one_group_are_joined_once(spark, monkeypatch):
     assert got == {i: 0 if i < 40 else 50 for i in [*range(40), *range(50, 100)]}
     edges = [n for name, n in tables if name == "edges"]
     assert edges[-1] == 0 and sum(edges[1:]) < edges[0]
+
+
+def test_frequent_words_stay_known(monkeypatch):
+    """Words that come again and again are encoded once, however many others come between; ids are the same as without memory."""
+    monkeypatch.setattr(packing, "REMEMBERED", 200)
+    tokenizer, learned = packing.WordTokenizer(WORD_BPE), []
+    own = tokenizer._learn
+    monkeypatch.setattr(tokenizer, "_learn", lambda words: learned.extend(words) or own(words))
+    for i in range(30):
+        text = "again, and once more. " + " ".join(f"w{i}x{j}" for j in range(20))
+        fresh = packing.WordTokenizer.__new__(packing.WordTokenizer)
+        fresh.tokenizer, fresh.known, fresh.before = tokenizer.tokenizer, {}, {}
+        assert tokenizer.encode([text]) == fresh.encode([text])
+    assert len(tokenizer.known) + len(tokenizer.before) <= 400
+    assert all(learned.count(word) == 1 for word in (b"again,", b"and", b"once", b"more."))
