@@ -231,6 +231,33 @@ def test_word_tokenizer_on_any_text():
         assert ids == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+class Unused:
+    def encode(self, *args, **kwargs):
+        raise AssertionError("the tokenizer was asked for a simple word")
+
+
+def test_simple_words_are_merged_in_arrays():
+    """Words of letters and symbols behind them have the tokenizer's ids without asking it, whatever merges in them."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, mine, rng = Tokenizer.from_file(path), packing.WordTokenizer(path), random.Random(9)
+    letters, syllables = "abcdefghijklmnopqrstuvwxyzABCXYZÀÉÖØÞßàéöøþÿ", ["the", "ing", "er", "aa", "ll", "für", "ción", "Éa", "x"]
+    stems = ["", *("".join(rng.choices(syllables if i % 2 else letters, k=rng.randrange(1, 15)))[:24] for i in range(20_000))]
+    marks = ["", "", ",", ".", "'", "...", "$$$", "|", "_-_", "</", "".join(map(chr, range(33, 48)))]
+    words = [word for stem in stems if (word := stem + rng.choice(marks))]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)] + [" ", "", " a.\n"]
+    mine.tokenizer = Unused()
+    for text, ids in zip(texts, mine.encode(texts)):
+        assert ids == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_case_where_marks_or_added_tokens_need_it():
+    """Some letters compose with a mark only if small, and added tokens are found as they are written."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, mine = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    texts = ["J\u030c j\u030c THE.", "T\u0323\u0308,", "<|ENDOFTEXT|> The <|endoftext|> x<|EndOfText|>y<|startoftext|>"]
+    assert mine.encode(texts) == [np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
+
+
 def test_rules(docs, nothing):
     for text in TEXTS:
         words = (text or "").encode().split()
