@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from orrery.operators import latent, metadata, retrieval
@@ -50,6 +51,27 @@ def test_singular_vectors(spark, monkeypatch, passes):
     assert latent.singular_vectors(rows, 40, 100, 2).shape[1] == 40
 
 
+def test_driver_holds_no_vectors_over_the_terms(spark, monkeypatch):
+    for name, value in (("TERM_BLOCK", 7), ("COLUMNS", 4), ("STEP", 3)):
+        monkeypatch.setattr(latent, name, value)
+    shared, broadcast = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: shared.append(value) or broadcast(self, value))
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 3, (80, 60)) * (rng.random((80, 60)) < 0.3)
+    counts[:, 0] = 1
+    texts = [(i, " ".join(f"t{j}t " * n for j, n in enumerate(row))) for i, row in enumerate(counts.tolist())]
+    corpus = spark.createDataFrame(texts, "doc_id int, text string").repartition(3)
+    latent.latent_vectors(corpus, corpus.withColumnRenamed("doc_id", "query_id"), rank=6, min_df=1, stop=[], passes=0)
+    # No array of one row for each term is a value of the driver's: tasks get pieces, which are made on their way.
+    assert not [v for v in shared if isinstance(v, np.ndarray) and len(v) == 60] and [v for v in shared if isinstance(v, latent._Piece)]
+    # A few entries at a time give the same products.
+    starts = np.concatenate(([0], np.cumsum((counts > 0).sum(axis=1))))
+    terms, weights, block = np.nonzero(counts)[1], counts[counts > 0].astype(float), rng.random((60, 5))
+    rows, total = latent._times(terms, weights, starts, block), np.zeros((60, 5))
+    latent._added(total, terms, weights, starts, rows)
+    assert np.allclose(rows, counts @ block) and np.allclose(total, counts.T @ counts @ block)
+
+
 def test_best_of_equal_means(spark, monkeypatch):
     rows = [(n, 0.5, 0.4, 0.3, 0.2, 0.1) for n in ("0.30/0.20", "0.05/0.10", "0.10/0.00")]
     told = spark.createDataFrame(rows, "variant string, n10 double, hybrid_n10 double, p_holm double, p double, gain double")
