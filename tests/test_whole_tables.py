@@ -1,12 +1,14 @@
 """Whole tables, vectors by blocks, ties of the grid, and which bases there are."""
 
+import os
+
 import duckdb
 import numpy as np
 import pytest
 from pyspark import SparkContext
 from pyspark.sql import functions as F
 
-from orrery.operators import latent, metadata, retrieval
+from orrery.operators import latent, metadata, metrics, retrieval
 from orrery.plans import frames
 from orrery.plans import queries as plans
 from orrery.plans import sql
@@ -118,3 +120,31 @@ def test_merged_fields_agree_with_sql_where_places_tie(spark, tmp_path):
     want = base.execute(sql.ORACLES["merge_fields"]).fetchall()
     got = [tuple(r) for r in plans.merge_fields(spark, str(tmp_path)).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 7
+
+
+SMALLEST = "/root/testdata/sf0.001"
+
+
+def test_runs_of_documents_stay_where_they_are_made(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "b c d a"), (3, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([(7, "x A b c"), (8, "c d a b"), (9, "a b")], "query_id long, text string")
+    found = metrics.overlap_judgements(docs, queries, 3)
+    assert "hashpartitioning(run" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(7, 1), (8, 2)}
+    assert {tuple(r) for r in found.collect()} == want
+    monkeypatch.setattr(metrics, "SHARED_CHARS", 0)
+    assert {tuple(r) for r in metrics.overlap_judgements(docs, queries, 3).collect()} == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALLEST), reason="needs the given tables")
+def test_pairs_are_of_measures_that_are_kept(spark):
+    """Differences don't read the tables again for each side of a pair."""
+    assert not plans._diffs(spark, SMALLEST).inputFiles()
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALLEST), reason="needs the given tables")
+def test_documents_are_scored_once_for_both_encoders(spark, monkeypatch):
+    calls, real = [], retrieval.score_table
+    monkeypatch.setattr(retrieval, "score_table", lambda *given, **named: calls.append(1) or real(*given, **named))
+    measured = plans._action_measures(spark, SMALLEST, actions=False)
+    assert len(calls) == 1 and {r.base for r in measured.select("base").distinct().collect()} == set(retrieval.BASES)
